@@ -15,6 +15,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    from .ngram_join import similarity_classes
+
+    return similarity_classes(documents(spark, sf_dir), words=4, percent=85)
+
+
+def op9_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition counts of all documents, the base rules and the robust outlier verdict."""
+    from .robust_rules import quality_rules
+
+    judged = quality_rules(documents(spark, sf_dir), ["doc_id"])
+    counts = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc.doc_id", *counts, "base_failed", "kept", "away")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed best-fit-decreasing into sequences of 1024 tokens."""
     from .packing import pack_documents
@@ -24,6 +40,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op9_robust_quality_rules": op9_robust_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
