@@ -22,6 +22,105 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(documents(spark, sf_dir), words=4, percent=85)
 
 
+def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with weak candidates where complementary parts lie beside them."""
+    from .secrets import secret_report
+
+    return secret_report(documents(spark, sf_dir))
+
+
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mixture of the sources, none passed over more than twice, holds each document."""
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    mixed = mix(documents(spark, sf_dir), ["doc_id", "source"], max_repetition=2.0)
+    return mixed.select("doc.doc_id", "doc.source", "n_tokens", F.round("weight", 6).alias("weight"), F.col("copies").cast("long").alias("copies"))
+
+
+OP4_SQL = """
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, coalesce(source, chr(3)) AS src,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_tokens,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw
+  FROM documents),
+totals AS (SELECT src, sum(n_tokens) AS tokens, count(*) AS n_rows FROM rows_ GROUP BY src),
+shares AS (SELECT src, tokens, n_rows, tokens / (SELECT sum(tokens) FROM totals)::DOUBLE AS p FROM totals),
+ends AS (SELECT min(p) FILTER (p > 0) AS least, max(p) AS top FROM shares),
+halves(k, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN pow(least / top, (low + high) / 2 - 1) > 2.0 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN pow(least / top, (low + high) / 2 - 1) > 2.0 THEN high ELSE (low + high) / 2 END
+  FROM halves, ends WHERE k < 50),
+fitted AS (SELECT high AS a FROM halves WHERE k = 50),
+quotas AS (
+  SELECT src, tokens, n_rows, CASE WHEN p > 0 THEN pow(p, a) / (SELECT sum(pow(p, a)) FROM shares, fitted WHERE p > 0) ELSE 0 END AS weight,
+         CASE WHEN p > 0 THEN floor(tokens * round(pow(p / top, a - 1), 6))::BIGINT ELSE 0 END AS quota
+  FROM shares, ends, fitted),
+split AS (
+  SELECT src, n_rows, weight, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest
+  FROM quotas),
+dealt AS (
+  SELECT r.*, s.weight, s.passes, s.rest,
+         CASE WHEN s.rest > 0 THEN CAST('0x' || substr(draw, 1, 8) AS BIGINT) % CAST(ceil(s.n_rows / 1000.0) AS BIGINT) ELSE 0 END AS block
+  FROM rows_ r JOIN split s USING (src)),
+blocks AS (
+  SELECT src, block, any_value(rest) AS rest, sum(n_tokens) AS block_tokens FROM dealt WHERE rest > 0 GROUP BY src, block),
+along AS (
+  SELECT src, block, block_tokens, rest,
+         sum(block_tokens) OVER (PARTITION BY src ORDER BY md5('mix:' || src || ':' || CAST(block AS VARCHAR)), block ROWS UNBOUNDED PRECEDING) - block_tokens AS before
+  FROM blocks),
+marked AS (
+  SELECT d.*, b.before, b.before + b.block_tokens <= d.rest AS whole, b.before < d.rest AS begun,
+         sum(n_tokens) OVER (PARTITION BY d.src, d.block ORDER BY d.draw ROWS UNBOUNDED PRECEDING) AS inside
+  FROM dealt d LEFT JOIN along b ON d.src = b.src AND d.block = b.block)
+SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight,
+       CAST(passes + CASE WHEN rest = 0 OR NOT begun THEN 0 WHEN whole THEN 1 WHEN before + inside <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM marked
+"""
+
+
+def op5_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand on six or more sources."""
+    from pyspark.sql import functions as F
+
+    from .line_spread import remove_widespread
+
+    cleaned = remove_widespread(documents(spark, sf_dir), ["doc_id"])
+    return cleaned.select("doc.doc_id", "n_lines", "n_wide", "n_removed", F.length("cleaned").cast("long").alias("n_chars"), F.md5(F.col("cleaned").cast("binary")).alias("text_md5"))
+
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT doc_id, source, text, coalesce(string_split(text, chr(10)), []) AS xs FROM documents),
+lines AS (
+  SELECT DISTINCT coalesce(source, chr(3)) AS site, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT source, unnest(xs) AS x FROM parts)),
+wide AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(*) >= 6),
+tagged AS (
+  SELECT row_number() OVER () AS r, doc_id, text, xs FROM parts),
+exploded AS (
+  SELECT r, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM tagged),
+judged AS (
+  SELECT e.r, e.k, e.x, w.line IS NOT NULL AS w, trim(e.x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS worded
+  FROM exploded e LEFT JOIN wide w ON trim(e.x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = w.line),
+summed AS (
+  SELECT r, count(*) FILTER (worded) AS n_lines, count(*) FILTER (w) AS n_wide,
+         coalesce(sum(length(x)) FILTER (w), 0) AS wide_chars, sum(length(x)) AS chars,
+         coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (NOT w), '') AS rest
+  FROM judged GROUP BY r),
+final AS (
+  SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_wide, 0) AS n_wide,
+         coalesce(n_wide > 0 AND wide_chars <= 0.5 * chars, false) AS goes, text, rest
+  FROM tagged t LEFT JOIN summed s USING (r))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_wide AS BIGINT) AS n_wide, CAST(CASE WHEN goes THEN n_wide ELSE 0 END AS BIGINT) AS n_removed,
+       CAST(length(CASE WHEN goes THEN rest ELSE text END) AS BIGINT) AS n_chars, md5(CASE WHEN goes THEN rest ELSE text END) AS text_md5
+FROM final
+"""
+
+
 def op9_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol and repetition counts of all documents, the base rules and the robust outlier verdict."""
     from .robust_rules import quality_rules
@@ -41,10 +140,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_secret_linking": op3_secret_linking,
+        "op4_temperature_mixing": op4_temperature_mixing,
+        "op5_line_site_spread": op5_line_site_spread,
         "op9_robust_quality_rules": op9_robust_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_temperature_mixing": OP4_SQL,
+        "op5_line_site_spread": OP5_SQL,
+    }
