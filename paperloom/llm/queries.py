@@ -15,6 +15,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a machine trained on the labels that aren't held out."""
+    from .toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, tables(spark, sf_dir, "labels")))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
     from .ngram_join import similarity_classes
@@ -139,6 +151,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_subsequence_toxicity": op1_subsequence_toxicity,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_secret_linking": op3_secret_linking,
         "op4_temperature_mixing": op4_temperature_mixing,
