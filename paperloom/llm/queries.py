@@ -133,6 +133,34 @@ FROM final
 """
 
 
+#: Fixed values of the URL contract.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op6_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL: fixed rules, else rules mined from the labels of the pages' ids (quality 0 is bad)."""
+    from pyspark.sql import functions as F
+
+    from .url_rules import Rule, judge
+
+    labels = tables(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return judge(tables(spark, sf_dir, "pages").select("page_id", "url"), labels, [Rule(*r) for r in URL_RULES])
+
+
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' bytes stored in MPEG frames and read back."""
+    from .mpeg_audio import audio_report
+
+    return audio_report(documents(spark, sf_dir))
+
+
+def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by an additive model with pairs, trained on the labels that aren't held out."""
+    from .gam_quality import quality
+
+    return quality(documents(spark, sf_dir), tables(spark, sf_dir, "labels"))
+
+
 def op9_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol and repetition counts of all documents, the base rules and the robust outlier verdict."""
     from .robust_rules import quality_rules
@@ -149,6 +177,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_subsequence_toxicity": op1_subsequence_toxicity,
@@ -156,8 +191,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_linking": op3_secret_linking,
         "op4_temperature_mixing": op4_temperature_mixing,
         "op5_line_site_spread": op5_line_site_spread,
+        "op6_association_url_filter": op6_association_url_filter,
+        "op7_mpeg_audio": op7_mpeg_audio,
+        "op8_additive_quality": op8_additive_quality,
         "op9_robust_quality_rules": op9_robust_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "pipeline": pipeline,
     }
 
 
