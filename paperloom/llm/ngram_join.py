@@ -5,8 +5,10 @@ neighbours.  For the band of the larger set at most H hashes differ between link
 the universe of shingles into segments with allowances of 0 (the segment's subset must agree) or 1 (it may
 differ by one deletion); where the allowances plus one add up to more than H, some segment of every
 linked pair agrees within its allowance.  How many segments get which allowance is chosen for each band by
-cost: rows indexed against partners met by chance.  Candidates that share an index key are verified
-exactly, first against a pivot of each key's group, then wherever a group still holds several components.
+cost: rows indexed against partners met by chance.  Candidates that share a key of few sets are verified
+exactly.  Sets of crowded keys are indexed once more with single shingles as segments, of which each set keeps
+the cheapest; groups of that index are verified against a pivot first, then wherever they still hold several
+components.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -27,6 +29,8 @@ from .textvec import U, mix, shingle_sets
 
 #: Segment layouts tried for a set with too many empty segments before empty ones are indexed as well.
 LAYOUTS = 6
+#: Share of the sets that a set has much in common with; classes from which on a key is crowded.
+ALIKE, CROWD = 0.002, 6
 #: Buckets of the bounded filter on the texts that verification reads.
 FILTER_BITS = 1 << 18
 
@@ -61,16 +65,16 @@ def allocate(upper: int, percent: int, sets: int) -> Level | None:
         return None  # only equal sets link, and those are one class beforehand
     best = None
     for share in (0, 1, 2, 3, 4):
-        for slack in sorted({0, 1, math.ceil(0.02 * differ + 3 * math.sqrt(0.02 * differ))}):
+        for slack in sorted({0, 1, 2, math.ceil(0.012 * differ), math.ceil(0.012 * differ + 3 * math.sqrt(0.012 * differ))}):
             budget = differ + 1 + slack
             near = budget // 2 * share // 4
             exact = budget - 2 * near
             many = near + exact
             each = 0.8 * upper / many
-            weak = many * math.exp(-each) * (1 + (each + 1) * near / many)
-            again = min(1.0, max(0.0, weak + 2 * math.sqrt(weak) - slack) / max(weak, 1e-9)) if weak > 0.02 * (slack + 1) else 0.0
-            rows = (exact + near * (1 + each)) * (1 + again)
-            chance = sets * many * math.exp(-1.2 * each) * 0.2
+            weak = exact * math.exp(-each) + 2 * near * (1 + each) * math.exp(-each)
+            beyond = 0.5 * math.erfc((slack + 0.5 - weak) / math.sqrt(2 * weak + 1e-9))  # share of sets that need another layout
+            rows = (exact + near * (1 + each)) * (1 + beyond)
+            chance = ALIKE * sets * (exact * math.exp(-1.2 * each) + near * (1 + each) * math.exp(-1.2 * each))
             if best is None or rows + chance < best[0]:
                 best = (rows + chance, Level(upper, differ, exact, near, slack))
     return best[1]
@@ -159,7 +163,7 @@ def _texts(words: int, wanted: np.ndarray):
     return texts
 
 
-def _verified(words: int, percent: int):
+def _verified(words: int):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
@@ -178,17 +182,44 @@ def _verified(words: int, percent: int):
     return verified
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Shared and joint sizes of each pair (a, b) of classes, from one text of each class."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+def _shingles(words: int, percent: int):
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(shingle_sets(batch.column(1), words))
+            size = [len(x) for x in own]
+            spare = [n - -(-n * percent // 100) + 1 for n in size]
+            columns = [np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64), *(np.repeat(np.array(x, np.int64), size) for x in (batch.column(0).to_pylist(), size, spare))]
+            yield pa.record_batch([pa.array(x) for x in columns], ["key", "cid", "n", "spare"])
+
+    return shingles
+
+
+def _rarest(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, cid, holders, n, alone, before): allocation by cost with single shingles as segments.  Linked sets share at least ``percent`` of the
+    larger one's shingles, so each may skip all but its n - ceil(percent n) + 1 cheapest segments, those that
+    the fewest sets hold (``before``: its cheaper ones); the ``alone`` ones that no other set holds need no row."""
+    held = texts.select("cid", "text").mapInArrow(_shingles(words, percent), "key long, cid long, n long, spare long")
+    common = held.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("holders > 1")
+    own = Window.partitionBy("cid")
+    placed = common.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("holders", "key")))
+    return placed.filter("alone + place <= spare").select("key", "cid", "holders", "n", "alone", (F.col("alone") + F.col("place") - 1).alias("before"))
+
+
+def _class_texts(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """One text of each class in ``needed`` (cid).  A filter of FILTER_BITS bits, whatever the input's size, spares
+    the exchange most texts that nobody asked for."""
     buckets = needed.select(F.col("cid").bitwiseAND(FILTER_BITS - 1).alias("k")).distinct().collect()  # at most FILTER_BITS rows
     wanted = np.zeros(FILTER_BITS, bool)
     wanted[[r["k"] for r in buckets]] = True
-    texts = docs.select("text").mapInArrow(_texts(words, wanted), "cid long, text string").dropDuplicates(["cid"])
-    texts = materialise(texts.join(needed.distinct(), "cid", "left_semi"), "texts")
+    texts = docs.select("text").mapInArrow(_texts(words, wanted), "cid long, text string")
+    return materialise(texts.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Shared and joint sizes of each pair (a, b) of classes."""
     one = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, percent), "a long, b long, shared long, together long"), texts
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words), "a long, b long, shared long, together long")
 
 
 def similarity_classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -202,54 +233,76 @@ def similarity_classes(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = materialise(docs.mapInArrow(_sizes(words), "doc_id long, n_shingles long, cid long"), "sizes")
-    roots, old = _roots(docs, sizes, words, percent)
+    roots = _roots(docs, sizes, words, percent)
     rooted = sizes.join(roots, sizes.cid == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "cid").alias("root"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> tuple[DataFrame, list]:
+def _sharing(keyed: DataFrame, order: str = "key") -> DataFrame:
+    """Rows of ``keyed`` (key, cid, ...) whose key several classes share, with the number of ``members``; of keys with
+    the same members the first by ``order`` stays."""
+    group = Window.partitionBy("key")
+    met = keyed.withColumn("least", F.min("cid").over(group)).withColumn("most", F.max("cid").over(group)).filter("least <> most").drop("least", "most").distinct()
+    met = materialise(met, "met")
+    same = met.groupBy("key").agg(F.first(order).alias("first"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("xor"))
+    alike = same.groupBy("members", "sum", "xor").agg(F.min(F.struct("first", "key"))["key"].alias("key"))
+    shared = materialise(met.join(alike.select("key", "members"), "key"), "shared")
+    discard(met)
+    return shared
+
+
+def _pairs(groups: DataFrame, condition: Column | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of classes of a key."""
+    x, y = (groups.select("key", *[F.col(c).alias(f"{c}_{k}") for c in groups.columns if c != "key"]) for k in "xy")
+    met = x.join(y, "key").filter(F.col("cid_x") < F.col("cid_y") if condition is None else condition)
+    return met.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b")).distinct()
+
+
+def _levels(counts: dict[int, int], ends: list[int], percent: int) -> dict[int, Level]:
+    reached = [k for k in range(len(ends)) if counts.get(k) and counts[k] + counts.get(k - 1, 0) > 1]
+    return {k: level for k in reached if (level := allocate(ends[k], percent, counts[k] + counts.get(k - 1, 0)))}
+
+
+def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the classes of equal sets that have links."""
     largest = sizes.agg(F.max("n_shingles")).first()[0] or 1
     ends = band_ends(largest, percent)
     classes = sizes.filter("n_shingles > 0").groupBy("cid").agg(F.first("n_shingles").alias("n"))
-    band = F.lit(0)
-    for k, end in enumerate(ends[:-1]):
-        band = F.when(F.col("n") > end, k + 1).otherwise(band) if k else F.when(F.col("n") > end, 1).otherwise(0)
+    band = F.aggregate(F.array(*map(F.lit, ends[:-1])), F.lit(0), lambda k, end: k + F.when(F.col("n") > end, 1).otherwise(0))
     counts = {r["band"]: r["sets"] for r in classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()}  # a row per band
-    levels = {k: level for k in range(len(ends)) if (n := counts.get(k, 0) + counts.get(k - 1, 0)) > 1 and counts.get(k) and (level := allocate(ends[k], percent, n))}
-
-    keyed = docs.select("text").mapInArrow(_index(words, ends, levels), "key long, cid long")
-    group = Window.partitionBy("key")
-    met = keyed.withColumn("least", F.min("cid").over(group)).withColumn("most", F.max("cid").over(group)).filter("least <> most").select("key", "cid").distinct()
-    met = materialise(met, "met")
-    # keys with the same members say the same: one of each is kept
-    same = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("xor"))
-    alike = same.groupBy("members", "sum", "xor").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))
-    groups = met.join(alike.select("key", "members", "times"), "key")
-    weight = groups.groupBy("cid").agg(F.sum(F.col("members") * F.col("times")).alias("weight"))
-    pivot = Window.partitionBy("key")
-    starred = materialise(groups.select("key", "cid").join(weight, "cid").withColumn("pivot", F.max(F.struct("weight", "cid")).over(pivot)["cid"]).select("key", "cid", "pivot"), "starred")
-    first = starred.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    checked, texts = _verify(docs, first, words, percent)
-    checked = materialise(checked, "checked")
-    links = checked.filter(F.expr(f"100 * shared >= {percent} * together"))
-    roots = materialise(components(links.select("a", "b")), "roots")
-
-    # groups that still hold several components: all pairs across components, but for those whose
-    # distances to the pivot already differ too much (Jaccard distance is a metric)
-    away = checked.select("a", "b", (1 - F.col("shared") / F.col("together")).alias("away"))
+    shared = _sharing(docs.select("text").mapInArrow(_index(words, ends, _levels(counts, ends, percent)), "key long, cid long"))
+    texts = _class_texts(docs, shared.select("cid").distinct(), words)
+
+    # keys of few classes are checked as they are; classes of crowded keys (a passage that many texts hold
+    # fills a segment now and then) are indexed anew, by their rarest shingles
+    crowded = materialise(shared.filter(F.col("members") > CROWD).select("cid").distinct(), "crowded")
+    groups = _sharing(_rarest(texts.join(crowded, "cid", "left_semi"), words, percent), "holders")
+    weight = groups.groupBy("cid").agg(F.sum("members").alias("weight"))
+    of_key = Window.partitionBy("key")
+    heaviest = F.max(F.struct("weight", "cid", "n", "before")).over(of_key)
+    starred = materialise(groups.join(weight, "cid").withColumn("pivot", heaviest).select("key", "cid", "n", "alone", "before", "pivot"), "starred")
+    # at the first shingle that a linked pair shares, all that stand before it count as differences
+    fits = f"({{0}}.before + {{1}}.before) * {100 + percent} <= {100 - percent} * ({{0}}.n + {{1}}.n)"
+    stars = starred.withColumn("own", F.struct("n", "before")).filter("cid <> pivot.cid").filter(F.expr(fits.format("own", "pivot"))).select(F.least("pivot.cid", "cid").alias("a"), F.greatest("pivot.cid", "cid").alias("b"))
+    checked = materialise(_verify(texts, _pairs(shared.filter(F.col("members") <= CROWD).select("key", "cid")).unionByName(stars).distinct(), words), "checked")
+    linked = F.expr(f"100 * shared >= {percent} * together")
+    roots = materialise(components(checked.filter(linked).select("a", "b")), "roots")
+
+    # groups that still hold several components: the pairs across components that fit.  What a set alone
+    # holds differs from any other set, and of the pivot's shingles two sets lack at least as many
+    # differently as the numbers that they lack differ
     parted = starred.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    parted = parted.withColumn("least", F.min("root").over(pivot)).withColumn("most", F.max("root").over(pivot)).filter("least <> most")
-    parted = parted.filter("cid <> pivot").join(away, (parted.pivot == away.a) & (parted.cid == away.b)).select("key", "cid", "root", "away")
-    parted = parted.join(classes, "cid")
-    x, y = (parted.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("cid", "root", "away", "n")]) for k in "xy")
-    limit = (100 - percent) / 100 + 1e-9
-    second = x.join(y, "key").filter("root_x < root_y").filter(F.abs(F.col("away_x") - F.col("away_y")) <= limit)
-    second = second.filter(F.expr(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"))
-    second = materialise(second.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b")).distinct(), "second")
+    parted = parted.withColumn("least", F.min("root").over(of_key)).withColumn("most", F.max("root").over(of_key)).filter("least <> most and cid <> pivot.cid")
+    parted = parted.withColumn("a", F.least("pivot.cid", "cid")).withColumn("b", F.greatest("pivot.cid", "cid")).join(checked, ["a", "b"], "left")
+    keys = groups.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("holders", "key"))), lambda k: k["key"]).alias("keys"))  # of one set
+    parted = parted.join(keys, "cid").select("key", "cid", "root", "keys", F.struct("n", "alone", "before", (F.col("pivot.n") - F.col("shared")).alias("lacks")).alias("own"))
+    differ = "(own_x.alone + own_y.alone + coalesce(abs(own_x.lacks - own_y.lacks), 0))"
+    near = (F.col("root_x") < F.col("root_y")) & F.expr(fits.format("own_x", "own_y")) & F.expr(f"{differ} * {100 + percent} <= {100 - percent} * (own_x.n + own_y.n)")
+    near = near & F.expr(f"100 * least(own_x.n, own_y.n) >= {percent} * greatest(own_x.n, own_y.n)")
+    near = near & F.expr("element_at(array_intersect(keys_x, keys_y), 1) = key")  # a pair once, at its first shingle
+    second = materialise(_pairs(parted, near), "second")
     if second.isEmpty():
-        return roots, [texts]
-    more, _ = _verify(docs, second, words, percent)
-    more = more.filter(F.expr(f"100 * shared >= {percent} * together")).select("a", "b")
-    return materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots"), [texts]
+        return roots
+    more = _verify(texts, second, words).filter(linked).select("a", "b")
+    return materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
