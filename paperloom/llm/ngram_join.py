@@ -239,6 +239,31 @@ def similarity_classes(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _with_class(words: int):
+    def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid = [class_ids(own) if len(own) else None for own in shingle_sets(batch.column(0), words)]
+            yield pa.record_batch([*batch.columns[1:], pa.array(cid, pa.int64())], [*batch.schema.names[1:], "cid"])
+
+    return with_class
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when each component of :func:`similarity_classes` keeps one document: that with the
+    smallest doc_id (a null one last), once.  Texts without words stay all; columns are those of ``docs``."""
+    small_batches(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = materialise(ids.mapInArrow(_sizes(words), "doc_id long, n_shingles long, cid long"), "sizes")
+    roots = _roots(ids, sizes, words, percent)
+    rooted = sizes.filter("cid is not null").join(roots, sizes.cid == roots.node, "left").select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid"))
+    kept = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.cid").alias("kept_cid"))
+    schema = f"row struct<{', '.join(f'`{c}`:{t}' for c, t in docs.dtypes)}>, id long, cid long"
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).mapInArrow(_with_class(words), schema)
+    one = rows.join(kept, (rows.cid == kept.kept_cid) & rows.id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["cid", "id"])
+    return one.unionByName(rows.filter("cid is null")).select("row.*")
+
+
 def _sharing(keyed: DataFrame, order: str = "key") -> DataFrame:
     """Rows of ``keyed`` (key, cid, ...) whose key several classes share, with the number of ``members``; of keys with
     the same members the first by ``order`` stays."""
