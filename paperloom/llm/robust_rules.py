@@ -37,8 +37,6 @@ def statistics(text: Column) -> Column:
     def let(value: Column, body) -> Column:
         return F.transform(F.array(value), body)[0]
 
-    none = F.array().cast("array<bigint>")
-
     def covered(grams: Column) -> Column:
         """Words in 8-word windows that occur again: sort windows by hash, keep those beside an equal one, join their spans."""
 
@@ -49,14 +47,17 @@ def statistics(text: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(let(F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), spans))
 
-    def counts(words: Column) -> Column:
-        def windows(h: Column) -> Column:
-            return F.when(F.size(h) < 8, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, 8))))
+    def paired(hashes: Column, apart: int) -> Column:
+        return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + apart)))
 
-        repeated = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), covered))
+    def counts(words: Column) -> Column:
+        # hashes of 2, 4 and 8 words from those of half as many
+        windows = let(paired(words, 1), lambda two: let(paired(two, 2), lambda four: F.slice(paired(four, 4), 1, F.size(words) - 7)))
+        repeated = F.when(F.size(words) < 8, 0).otherwise(let(windows, covered))
         return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated.cast("long").alias("n_repeat_words"))
 
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+    bare = F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.length(F.regexp_replace(text, SYMBOLS, ""))
     upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
