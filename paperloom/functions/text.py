@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Punctuation of which a run counts once, and the patterns of the steps.
 REPEATED = ",;:!?"
-DASHES = r"[-‐-‒–—]{3,}"
+DASHES = "[-\u2010-\u2012\u2013\u2014]{3,}"
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 
 
@@ -23,7 +23,8 @@ def nfc(text: Column) -> Column:
 
 
 def plain_spaces(text: Column) -> Column:
-    return F.translate(text, "   ", "   ")
+    """No-break spaces as plain ones."""
+    return F.translate(text, "\u00a0\u2007\u202f", "   ")
 
 
 def join_broken_words(text: Column) -> Column:
