@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,9 +93,15 @@ def is_suspect(s: Column, known: Column, least: int = 3) -> Column:
     )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas within use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` words joined by spaces."""
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return bound(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(runs(w)))
 
 
 def all_stop_words(words: Column, stop_words: Sequence[str]) -> Column:
@@ -104,5 +110,9 @@ def all_stop_words(words: Column, stop_words: Sequence[str]) -> Column:
 
 def windows(words: Column, hit, before: int) -> Column:
     """For each word that ``hit`` accepts the slice of up to ``before`` words before it, itself and one fewer behind it."""
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: (i < F.size(words)) & hit(F.get(words, i)))
-    return F.transform(places, lambda i: F.slice(words, F.greatest(F.lit(0), i - before) + 1, F.least(F.size(words), i + before) - F.greatest(F.lit(0), i - before)))
+
+    def around(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: (i < F.size(w)) & hit(F.get(w, i)))
+        return F.transform(places, lambda i: F.slice(w, F.greatest(F.lit(0), i - before) + 1, F.least(F.size(w), i + before) - F.greatest(F.lit(0), i - before)))
+
+    return bound(words, around)
