@@ -24,7 +24,7 @@ from .storage import materialise, small_batches
 from .textvec import blocks
 
 #: Labelled documents of either class that are read; units of labelled sentences that are read; landmarks of either class.
-SAMPLE, UNITS, LANDMARKS = 6000, 40_000, 240
+SAMPLE, UNITS, LANDMARKS = 6000, 24_000, 160
 REACH, DECAY = 5, 0.7
 #: Weight of good units against bad ones: a document has hundreds of units, and one of them decides.
 NEGATIVE = 200.0
@@ -130,7 +130,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((32768, len(landmarks)), np.float32)
     np.add.at(dense, (codes, rows), weights)
     dense /= norms(landmarks)
-    out = np.zeros((len(words), len(landmarks)), np.float64)
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     for lo in range(0, len(words), 500):
         part = words[lo : lo + 500]
         r, c, w = features(part)
@@ -185,7 +185,8 @@ class Machine:
 
 def train_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4e5, steps: int = 40) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on the units inside the margin; ``y`` is -1 or 1."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    del x
     weight = cost * weight / weight.sum()
     prior = np.ones(z.shape[1])
     prior[-1] = 1e-3
@@ -197,8 +198,12 @@ def train_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float =
     now = loss(w)
     for _ in range(steps):
         inside = y * (z @ w) < 1
-        za, wa = z[inside], weight[inside]
-        step = np.linalg.solve((za * wa[:, None]).T @ za + np.diag(prior), za.T @ (wa * y[inside])) - w
+        hessian, pull = np.diag(prior), np.zeros(len(w))
+        for k in np.array_split(np.flatnonzero(inside), 1 + int(inside.sum()) // 4000):  # a part at a time bounds the copies
+            za = z[k].astype(np.float64)
+            hessian += (za * weight[k, None]).T @ za
+            pull += za.T @ (weight[k] * y[k])
+        step = np.linalg.solve(hessian, pull) - w
         size = 1.0
         while (new := loss(w + size * step)) > now and size > 1e-4:
             size /= 2
@@ -213,7 +218,7 @@ def fit_machine(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks:
     between = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     root = vectors @ np.diag(np.where(values > 1e-6 * values.max(), 1 / np.sqrt(np.maximum(values, 1e-12)), 0)) @ vectors.T
-    w, offset = train_linear(kernel(words, landmarks) @ root, y, weight)
+    w, offset = train_linear(kernel(words, landmarks) @ root.astype(np.float32), y, weight)
     beta = root @ w
     rows, codes, weights = features(landmarks)
     by_code = np.zeros(32768)
