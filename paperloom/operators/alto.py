@@ -42,7 +42,7 @@ def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
                     lines = [{"v": x.get("VPOS"), "h": x.get("HPOS"), "text": _line(x)} for x in block.findall(f"{SPACE}TextLine")]
                     out.append(base | {"block_idx": k, "bad_xml": False, "lines": lines} | {a.lower(): block.get(a) for a in ("ID", "HEIGHT", "WIDTH", "HPOS", "VPOS")})
             columns = [*keys, "block_idx", "bad_xml", "id", "height", "width", "hpos", "vpos", "lines"]
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     types = dict(pages.dtypes)
     return pages.mapInPandas(parsed, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["block_idx int, bad_xml boolean", BLOCK]))

@@ -32,7 +32,7 @@ def read_xml_pages(spark: SparkSession, root: str) -> DataFrame:
 def read_json_pages(spark: SparkSession, root: str, schema: str = PAGE, name: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Readable pages, and the paths of files that don't parse."""
     read = spark.read.schema(schema + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    rows = read.json(root).withColumn("path", F.input_file_name())
+    rows = read.json(root).withColumn("path", F.input_file_name()).persist()  # a plan may not read the rejects' column alone
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("path", "_bad")
 
 
