@@ -67,6 +67,7 @@ class CalibratedSVM:
 
     @classmethod
     def fit(cls, rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, cost: float = 1.0, steps: int = 50) -> CalibratedSVM:
+        rows = rows.persist()
         featurizer = Pipeline(stages=features()).fit(rows)
         ready = fold(featurizer.transform(rows), label, key, folds).withColumn("label", F.col(label).cast("double")).select("features", "label", "fold").cache()
         n = ready.count()
@@ -77,6 +78,7 @@ class CalibratedSVM:
             sigmoid = LogisticRegression(featuresCol="margins", maxIter=steps, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__l").fit(held)
             models.append((svm, sigmoid))
         ready.unpersist()
+        rows.unpersist()
         return cls(featurizer, models)
 
     def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
@@ -91,13 +93,13 @@ class CalibratedSVM:
         return now.withColumn(out, total / len(self.folds)).select(*rows.columns, out)
 
 
-def cross_validate(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5) -> DataFrame:
+def cross_validate(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, steps: int = 30) -> DataFrame:
     """(fold, accuracy, precision, recall, f1) of the uncalibrated SVM on held-out folds."""
     parted = fold(rows, label, key, folds).cache()
     spark, out = rows.sparkSession, []
     for k in range(folds):
         learn = parted.filter(F.col("fold") != k).withColumn("label", F.col(label).cast("double"))
-        model = Pipeline(stages=[*features(), LinearSVC(maxIter=30, regParam=0.01)]).fit(learn)
+        model = Pipeline(stages=[*features(), LinearSVC(maxIter=steps, regParam=0.01)]).fit(learn)
         t = model.transform(parted.filter(F.col("fold") == k)).agg(*[F.count_if((F.col(label) == a) & (F.col("prediction") == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)]).first()
         right, hit = t.c00 + t.c11, t.c11
         precision, recall = hit / max(1, t.c11 + t.c01), hit / max(1, t.c11 + t.c10)

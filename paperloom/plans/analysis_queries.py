@@ -404,13 +404,13 @@ def training_rows(spark, d):
 
 @query()
 def clf10_cv_metrics(spark, d):
-    return relevance.cross_validate(training_rows(spark, d), folds=3)
+    return relevance.cross_validate(training_rows(spark, d), folds=3, steps=8)
 
 
 @query()
 def clf12_scores(spark, d):
     rows = training_rows(spark, d)
-    return relevance.CalibratedSVM.fit(rows, folds=3, steps=20).score(rows).select("block_id", "label", "score")
+    return relevance.CalibratedSVM.fit(rows, folds=3, steps=8).score(rows).select("block_id", "label", "score")
 
 
 # passages and terms
