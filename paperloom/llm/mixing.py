@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 #: Documents of a source that one block holds on average.
 BLOCK_ROWS = 1000
@@ -74,14 +74,17 @@ def mix(docs: DataFrame, carry: list[str], max_repetition: float | None = 2.0, t
     A null source is a source; null and empty texts have no tokens and are held as often as whole passes go;
     equal rows may differ by one copy; an empty table gives an empty result."""
     rows = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col("source"), F.lit(NONE)).alias("src"), token_count(F.col("text")).alias("n_tokens"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).alias("draw"))
-    rows = materialise(rows, "mixing")
-    quotas = materialise(source_quotas(rows.select("src", "n_tokens"), max_repetition, target_entropy), "quotas")
+    light = materialise(rows.drop("doc"), "mixing")  # ``doc`` may hold texts, which are read again instead
+    quotas = materialise(source_quotas(light.select("src", "n_tokens"), max_repetition, target_entropy), "quotas")
     hashed = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
-    dealt = rows.join(quotas.drop("tokens"), "src").withColumn("block", F.when(F.col("rest") > 0, hashed % F.ceil(F.col("n_rows") / BLOCK_ROWS)).otherwise(F.lit(0)))
-    blocks = dealt.filter("rest > 0").groupBy("src", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("rest").alias("block_rest"))
+    in_block = F.when(F.col("rest") > 0, hashed % F.ceil(F.col("n_rows") / BLOCK_ROWS)).otherwise(F.lit(0))
+    dealt = rows.join(quotas.drop("tokens"), "src").withColumn("block", in_block)
+    blocks = light.join(quotas.drop("tokens"), "src").withColumn("block", in_block)
+    blocks = blocks.filter("rest > 0").groupBy("src", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("rest").alias("block_rest"))
     order = Window.partitionBy("src").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "src", F.col("block").cast("string"))), "block")
     blocks = blocks.withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens"))
     blocks = materialise(blocks.select("src", "block", "before", (F.col("before") + F.col("block_tokens") <= F.col("block_rest")).alias("whole"), (F.col("before") < F.col("block_rest")).alias("begun")), "blocks")
+    discard(light)
     placed = dealt.join(blocks, ["src", "block"], "left")
     out = ["doc", "src", "n_tokens", "weight"]
     plain = placed.filter("rest = 0 or whole or not begun").select(*out, (F.col("passes") + F.when(F.col("whole"), 1).otherwise(0)).alias("copies"))

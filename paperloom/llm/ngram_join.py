@@ -327,7 +327,8 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     near = near & F.expr(f"100 * least(own_x.n, own_y.n) >= {percent} * greatest(own_x.n, own_y.n)")
     near = near & F.expr("element_at(array_intersect(keys_x, keys_y), 1) = key")  # a pair once, at its first shingle
     second = materialise(_pairs(parted, near), "second")
-    if second.isEmpty():
-        return roots
-    more = _verify(texts, second, words).filter(linked).select("a", "b")
-    return materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+    if not second.isEmpty():
+        more = _verify(texts, second, words).filter(linked).select("a", "b")
+        roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+    discard(shared, texts, crowded, groups, starred, checked, second)
+    return roots

@@ -77,14 +77,14 @@ def _vector(s: Column) -> list[Column]:
     return [F.round(1000 * x).cast("long") for x in raw]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Add ``grp``: language and source, or the language's small groups together, or all of those together."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """(lg, src, grp): language and source, or the language's small groups together, or all of those together."""
     pair = rows.groupBy("lg", "src").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < GROUP_ROWS
     by_language = Window.partitionBy("lg")
     named = pair.withColumn("rest", F.sum(F.when(small, F.col("n")).otherwise(0)).over(by_language))
     named = named.withColumn("grp", F.when(~small, F.concat_ws("\x01", "lg", "src")).when(F.col("rest") >= GROUP_ROWS, F.concat_ws("\x01", "lg", F.lit("\x02"))).otherwise(F.lit("\x02")))
-    return rows.join(named.select("lg", "src", "grp"), ["lg", "src"])
+    return materialise(named.select("lg", "src", "grp"), "groups")
 
 
 def _least_bin(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -143,21 +143,28 @@ def fit(rows: DataFrame) -> DataFrame:
     return materialise(out, "fitted")
 
 
-def quality_rules(docs: DataFrame, carry: list[str], language: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: list[str], language: str = "lang", source: str = "source", cutoff: float = CUTOFF, recount: bool = False) -> DataFrame:
     """Judge each row of ``docs``: struct ``doc`` (the columns in ``carry``), struct ``stats``, ``base_failed``,
     ``away`` (squared robust distance in its group, null where base rules failed it) and ``kept``.
 
     Null texts count as empty, fail the base rules and are rejected; rows with a null language or source form
     groups of their own; repeated rows are judged each, alike.  A group of fewer than 200 rows joins its
     language's other small ones, then those of all languages; if they stay fewer the method rejects none of
-    them.  Names in ``carry`` may be any, as they stay inside ``doc``; an empty table gives an empty result."""
+    them.  Names in ``carry`` may be any, as they stay inside ``doc``; an empty table gives an empty result.
+    ``recount``: count the statistics once more for the verdict instead of keeping ``doc`` on disk meanwhile."""
     judged = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(language), F.lit("\x03")).alias("lg"), F.coalesce(F.col(source), F.lit("\x03")).alias("src"), statistics(F.coalesce(F.col("text"), F.lit(""))).alias("stats"))
-    rows = materialise(judged.withColumn("base_failed", base_failed(F.col("stats"))), "statistics")
+    judged = judged.withColumn("base_failed", base_failed(F.col("stats")))
+    rows = materialise(judged.drop("doc") if recount else judged, "statistics")
     vector = [x.alias(f"x{i}") for i, x in enumerate(_vector(F.col("stats")))]
-    measured = materialise(_grouped(rows.filter("not base_failed").select("lg", "src", *vector)).drop("lg", "src"), "vectors")
+    usable = rows.filter("not base_failed").select("lg", "src", *vector)
+    groups = _groups(usable)
+    measured = materialise(usable.join(groups, ["lg", "src"]).drop("lg", "src"), "vectors")
     fitted = fit(measured)
     discard(measured)
-    named = _grouped(rows.filter("not base_failed").select("doc", "lg", "src", "stats", *vector))
+    if recount:
+        discard(rows)
+        rows = judged
+    named = rows.filter("not base_failed").select("doc", "lg", "src", "stats", *vector).join(groups, ["lg", "src"])
     scored = _distances(named, fitted).withColumn("away", F.when(F.col("rows_of_group") >= GROUP_ROWS, F.col("away") / F.col("scale")).otherwise(0.0))
     good = scored.select("doc", "stats", F.lit(False).alias("base_failed"), "away", (F.col("away") <= cutoff).alias("kept"))
     bad = rows.filter("base_failed").select("doc", "stats", F.lit(True).alias("base_failed"), F.lit(None).cast("double").alias("away"), F.lit(False).alias("kept"))
