@@ -17,7 +17,7 @@ from paperloom.llm.storage import materialise
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the robust distance reject."""
-    return quality_rules(docs, docs.columns).filter("kept").select("doc.*")
+    return quality_rules(docs, docs.columns, recount=True).filter("kept").select("doc.*")
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
