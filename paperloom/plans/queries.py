@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import alto, correct, dictionary, mentions, mining, quality, relevance, spelling, terms, timelines
-from ..sources import pages as sources
-from .adapter import BLOCKS, FAMILIES, LABELS, PAIRS, STOP_WORDS, WORDS, blocks, labels, line_pairs, word_pairs, words
+from ..operators import alto, correct, mentions
+from .adapter import BLOCKS, FAMILIES, STOP_WORDS, WORDS, blocks, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
