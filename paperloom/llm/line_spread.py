@@ -2,8 +2,8 @@
 
 A HyperLogLog sketch of the sites of each line hash merges by aggregation; lines whose estimate lies near the
 threshold get an exact distinct count.  Lines that enough sites share are boilerplate and go, except from
-texts that consist mostly of such lines: those are copies of one document, which near-duplicate removal
-handles as a whole.
+texts without any other line: those are copies of one document, which near-duplicate removal handles as a
+whole.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 
-#: Sites that make a line boilerplate; log2 of a sketch's registers; part of a text's characters that may go.
-SITES, LOG_REGISTERS, MOST = 6, 10, 0.5
+#: Sites that make a line boilerplate; log2 of a sketch's registers.
+SITES, LOG_REGISTERS = 6, 10
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -38,13 +38,13 @@ def widespread_lines(rows: DataFrame, sites: int = SITES) -> DataFrame:
     return materialise(spread.filter(F.col("about") > sites + error).select("line").unionByName(exact.select("line")), "wide")
 
 
-def remove_widespread(docs: DataFrame, carry: list[str], sites: int = SITES, most: float = MOST, site: str = "source") -> DataFrame:
+def remove_widespread(docs: DataFrame, carry: list[str], sites: int = SITES, most: float | None = None, site: str = "source") -> DataFrame:
     """For each row of ``docs``: struct ``doc`` (columns in ``carry``), ``cleaned`` text, ``n_lines`` (with a word), ``n_wide``
     and ``n_removed`` lines.
 
-    Null texts stay null and empty ones empty, with no lines; a null site counts as one site; texts of which
-    more than ``most`` of the characters are widespread stay whole; repeated rows are treated alike, as
-    decisions go by text; an empty table gives an empty result."""
+    Null texts stay null and empty ones empty, with no lines; a null site counts as one site; texts whose lines
+    with a word are all widespread stay whole, or, with ``most``, those of which more than that part of the
+    characters is; repeated rows are treated alike, as decisions go by text; an empty table gives an empty result."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.struct(*carry).alias("doc"), F.col("text").alias("t"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
     exploded = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\x03")).alias("site"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line")).filter("line is not null")
@@ -58,7 +58,8 @@ def remove_widespread(docs: DataFrame, carry: list[str], sites: int = SITES, mos
     parts = joined.withColumn("parts", F.when(F.size("wide") > 0, marked))
     size = lambda keep: F.aggregate(F.filter("parts", keep), F.lit(0), lambda a, p: a + F.length(p["x"]))
     judged = parts.withColumn("n_wide", F.when(F.col("parts").isNull(), 0).otherwise(F.size(F.filter("parts", lambda p: p["w"]))).cast("long"))
-    judged = judged.withColumn("goes", (F.col("n_wide") > 0) & (size(lambda p: p["w"]) <= most * size(lambda p: F.lit(True))))
-    cleaned = F.when(F.col("goes"), F.array_join(F.transform(F.filter(F.coalesce("parts", F.array().cast("array<struct<x:string,w:boolean>>")), lambda p: ~p["w"]), lambda p: p["x"]), "\n")).otherwise(F.col("t"))
     lines = F.size(F.filter(F.coalesce(_lines(F.col("t")), none), lambda x: F.trim(x, F.lit(BLANKS)) != "")).cast("long")
+    rest = F.col("n_wide") < lines if most is None else size(lambda p: p["w"]) <= most * size(lambda p: F.lit(True))
+    judged = judged.withColumn("goes", (F.col("n_wide") > 0) & rest)
+    cleaned = F.when(F.col("goes"), F.array_join(F.transform(F.filter(F.coalesce("parts", F.array().cast("array<struct<x:string,w:boolean>>")), lambda p: ~p["w"]), lambda p: p["x"]), "\n")).otherwise(F.col("t"))
     return judged.select("doc", cleaned.alias("cleaned"), lines.alias("n_lines"), "n_wide", F.when(F.col("goes"), F.col("n_wide")).otherwise(0).cast("long").alias("n_removed"))

@@ -144,6 +144,14 @@ def test_equals_sql(spark, sf_dir, name, sql):
     assert str(got) == str(sql_rows(sql, sf_dir))
 
 
+def test_widespread_lines_go_from_texts_with_own_lines(spark):
+    wide = "a long line that stands on every one of the sources"
+    rows = [(k, wide, f"s{k}") for k in range(6)] + [(6, f"{wide}\nown\n\n{wide}", "s0"), (7, f"{wide}\n \n{wide}", "s1")]
+    out = {r.doc.doc_id: r for r in remove_widespread(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
+    assert (out[6].cleaned, out[6].n_wide, out[6].n_removed) == ("own\n", 2, 2)
+    assert all((out[k].cleaned, out[k].n_removed) == (rows[k][1], 0) for k in (0, 5, 7))
+
+
 def test_entropy_target(spark):
     rows = [(k, "w " * 10, "en", "big" if k < 90 else "small", None, "", "", "", "") for k in range(100)]
     out = mix(spark.createDataFrame(rows, DOCS), ["doc_id"], max_repetition=None, target_entropy=0.6)
