@@ -257,8 +257,7 @@ def min3_phrase_mining(spark, d):
 
 @query()
 def fix1_phrase_apply(spark, d):
-    frequent = phrases(spark, d).filter("count >= 20")
-    out = correct.apply_phrases(blocks(spark, d), mining.patch_index(frequent))
+    out = correct.apply_phrases(blocks(spark, d), mining.patch_index(phrases(spark, d)), lengths=(2,))
     return out.select("block_id", F.md5(F.col("text_patched").cast("binary")).alias("text_md5"))
 
 
@@ -278,8 +277,8 @@ def fix3_spell_pass(spark, d):
 @query()
 def fix4_full_fix(spark, d):
     vocabulary = words(spark, d).filter("n >= 10")
-    index = mining.patch_index(phrases(spark, d).filter("count >= 20"))
-    out = correct.fix_text(blocks(spark, d), "block_id", index, vocabulary, vocabulary.withColumnRenamed("n", "count"), dictionary.corpus_zipf(words(spark, d)), least_gain=0.8)
+    index = mining.patch_index(phrases(spark, d))
+    out = correct.fix_text(blocks(spark, d), "block_id", index, vocabulary, vocabulary.withColumnRenamed("n", "count"), dictionary.corpus_zipf(words(spark, d)), least_gain=0.8, lengths=(2,))
     return out.select("block_id", F.md5(F.col("text_cleaned").cast("binary")).alias("text_md5"))
 
 

@@ -80,6 +80,13 @@ def test_phrase_patches(spark):
     assert [r.text_patched for r in correct.apply_phrases(rows, index).collect()] == ["de la casa, grande", "  y", None, ""]
 
 
+def test_phrase_patches_without_a_bound(spark):
+    many = spark.range(1_000_001).select(F.array(F.lit("q"), F.col("id").cast("string")).alias("raw_norm"), F.array(F.lit("Q")).alias("fixed_span"))
+    longer = spark.createDataFrame([(["a", "b", "c"], ["abc"]), (["a", "b"], ["ab"])], many.schema)
+    rows = spark.createDataFrame([("q 1000000, q x A b c",), ("a b. q 7",), ("a",)] * 2, "text string")
+    assert sorted(r.text_patched for r in correct.apply_phrases(rows, many.unionByName(longer)).collect()) == sorted(["Q, q x abc", "ab. Q", "a"] * 2)
+
+
 def test_dictionary(spark):
     side = lambda rows: spark.createDataFrame(rows, "word string, n long")
     merged = dictionary.merge_counts(side([("a", 60), ("b", 7), ("d", 200)]), side([("a", 30), ("c", 3), ("d", 200)]))
