@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,12 @@ def fold(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
 
 
+def with_pairs(tokens: Column) -> Column:
+    """The tokens and the pairs of neighbouring ones."""
+    ahead = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.concat(tokens, F.zip_with(ahead, F.slice(tokens, 2, F.size(ahead)), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def document_frequencies(df: DataFrame, key: str, tokens: str, least: int) -> DataFrame:
     """(term, df) of terms in at least ``least`` rows."""
     return df.select(key, F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
@@ -94,15 +101,18 @@ class CalibratedSVM:
 
 
 def cross_validate(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, steps: int = 30) -> DataFrame:
-    """(fold, accuracy, precision, recall, f1) of the uncalibrated SVM on held-out folds."""
+    """(fold, accuracy, precision, recall, f1, roc_auc) of the uncalibrated SVM on held-out folds."""
     parted = fold(rows, label, key, folds).cache()
     spark, out = rows.sparkSession, []
     for k in range(folds):
         learn = parted.filter(F.col("fold") != k).withColumn("label", F.col(label).cast("double"))
         model = Pipeline(stages=[*features(), LinearSVC(maxIter=steps, regParam=0.01)]).fit(learn)
-        t = model.transform(parted.filter(F.col("fold") == k)).agg(*[F.count_if((F.col(label) == a) & (F.col("prediction") == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)]).first()
+        tried = model.transform(parted.filter(F.col("fold") == k)).select(F.col(label).cast("double").alias(label), "prediction", "rawPrediction").cache()
+        t = tried.agg(*[F.count_if((F.col(label) == a) & (F.col("prediction") == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)]).first()
+        area = BinaryClassificationEvaluator(labelCol=label, numBins=0).evaluate(tried)
+        tried.unpersist()
         right, hit = t.c00 + t.c11, t.c11
         precision, recall = hit / max(1, t.c11 + t.c01), hit / max(1, t.c11 + t.c10)
-        out.append((k, right / max(1, sum(t)), precision, recall, 2 * precision * recall / max(1e-12, precision + recall)))
+        out.append((k, right / max(1, sum(t)), precision, recall, 2 * precision * recall / max(1e-12, precision + recall), area))
     parted.unpersist()
-    return spark.createDataFrame(out, "fold int, accuracy double, precision double, recall double, f1 double")
+    return spark.createDataFrame(out, "fold int, accuracy double, precision double, recall double, f1 double, roc_auc double")

@@ -343,6 +343,12 @@ def clf2_vocabulary(spark, d):
     return relevance.document_frequencies(rows, "block_id", "tokens", 5)
 
 
+@query(f"WITH {TOKENS}, g AS (SELECT block_id, unnest(list_distinct(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])))) AS term FROM toks) SELECT term, count(*) AS df FROM g GROUP BY term HAVING count(*) >= 5")
+def clf2_pair_vocabulary(spark, d):
+    rows = blocks(spark, d).select("block_id", mentions.lower_tokens(F.col("text")).alias("tokens"))
+    return relevance.document_frequencies(rows.select("block_id", relevance.with_pairs(F.col("tokens")).alias("terms")), "block_id", "terms", 5)
+
+
 @query(f"WITH {TOKENS} SELECT block_id FROM toks WHERE len(list_filter(range(1, len(t) + 1), lambda i: l[i] IN {quoted(TERMS)} AND list_contains(l[greatest(1, i - 20):least(len(t), i + 19)], 'the'))) > 0")
 def clf3_candidates(spark, d):
     return blocks(spark, d).filter(F.array_contains(F.transform(mentions.context(F.col("text"), TERMS, 20), F.lower), "the")).select("block_id")
@@ -403,13 +409,13 @@ def training_rows(spark, d):
 
 @query()
 def clf10_cv_metrics(spark, d):
-    return relevance.cross_validate(training_rows(spark, d), folds=3, steps=8)
+    return relevance.cross_validate(training_rows(spark, d))
 
 
 @query()
 def clf12_scores(spark, d):
     rows = training_rows(spark, d)
-    return relevance.CalibratedSVM.fit(rows, folds=3, steps=8).score(rows).select("block_id", "label", "score")
+    return relevance.CalibratedSVM.fit(rows).score(rows).select("block_id", "label", "score")
 
 
 # passages and terms

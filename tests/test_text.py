@@ -138,6 +138,18 @@ def test_relevance_rule(spark):
     assert rows.filter(relevance.relevant(F.col("label"), F.col("n"), F.col("score")) != F.col("want")).count() == 0
 
 
+def test_pair_vocabulary(spark):
+    rows = spark.createDataFrame([(k, ["a", "b"][: 2 - k]) for k in range(3)], "block_id long, tokens array<string>")
+    pairs = rows.select("block_id", relevance.with_pairs(F.col("tokens")).alias("terms"))
+    assert {(r.term, r.df) for r in relevance.document_frequencies(pairs, "block_id", "terms", 1).collect()} == {("a", 2), ("b", 1), ("a b", 1)}
+
+
+def test_cross_validation_has_the_area(spark):
+    rows = [(k, [w, "the"], [w, "a", "x"], k % 2) for k in range(12) for w in [("good", "bad")[k % 2]]]
+    out = relevance.cross_validate(spark.createDataFrame(rows, "block_id long, tokens array<string>, context array<string>, label long"), folds=2, steps=3)
+    assert [r.roc_auc for r in out.collect()] == [1.0, 1.0]
+
+
 def test_page_sums(spark):
     rows = spark.createDataFrame([("p", 1900, "t", 10, 2, True), ("p", 1900, "t", 20, 5, False)], "link string, year int, title string, doc_length long, a_count long, relevant_a boolean")
     page = timelines.page_sums(rows, ["a"]).first()
