@@ -29,8 +29,9 @@ from .textvec import U, mix, shingle_sets
 
 #: Segment layouts tried for a set with too many empty segments before empty ones are indexed as well.
 LAYOUTS = 6
-#: Share of the sets that a set has much in common with; classes from which on a key is crowded.
-ALIKE, CROWD = 0.002, 6
+#: Share of the sets whose segments a set meets as if they had half in common (measured on the larger test table: one partner
+#: for every two sets); classes from which on a key is crowded.
+ALIKE, CROWD = 2e-5, 6
 #: Buckets of the bounded filter on the texts that verification reads.
 FILTER_BITS = 1 << 18
 
@@ -43,12 +44,18 @@ class Level:
     differ: int
     exact: int
     near: int
-    slack: int
+    percent: int
 
     @property
     def segments(self) -> int:
         return self.exact + self.near
 
+    def slack(self, size: int) -> int:
+        """How many allowances may go unused for a set of ``size``: a linked set of this band is no larger than the band's
+        end nor than ``size`` / threshold, which bounds the hashes that differ more tightly for smaller sets."""
+        largest = min(self.upper, size * 100 // self.percent)
+        return self.exact + 2 * self.near - 1 - (size + largest) * (100 - self.percent) // (100 + self.percent)
+
 
 def band_ends(largest: int, percent: int) -> list[int]:
     """Upper ends of the size bands, from 1 up to ``largest`` and one band more."""
@@ -65,18 +72,21 @@ def allocate(upper: int, percent: int, sets: int) -> Level | None:
         return None  # only equal sets link, and those are one class beforehand
     best = None
     for share in (0, 1, 2, 3, 4):
-        for slack in sorted({0, 1, 2, math.ceil(0.012 * differ), math.ceil(0.012 * differ + 3 * math.sqrt(0.012 * differ))}):
+        for slack in sorted({0, 1, 2, 4, math.ceil(0.012 * differ), math.ceil(0.012 * differ + 3 * math.sqrt(0.012 * differ))}):
             budget = differ + 1 + slack
             near = budget // 2 * share // 4
-            exact = budget - 2 * near
-            many = near + exact
-            each = 0.8 * upper / many
-            weak = exact * math.exp(-each) + 2 * near * (1 + each) * math.exp(-each)
-            beyond = 0.5 * math.erfc((slack + 0.5 - weak) / math.sqrt(2 * weak + 1e-9))  # share of sets that need another layout
-            rows = (exact + near * (1 + each)) * (1 + beyond)
-            chance = ALIKE * sets * (exact * math.exp(-1.2 * each) + near * (1 + each) * math.exp(-1.2 * each))
-            if best is None or rows + chance < best[0]:
-                best = (rows + chance, Level(upper, differ, exact, near, slack))
+            level = Level(upper, differ, budget - 2 * near, near, percent)
+            rows = chance = 0.0
+            for size in (upper, 0.9 * upper, 0.81 * upper):
+                each = size / level.segments
+                weak = level.exact * math.exp(-each) + 2 * near * (1 + each) * math.exp(-each)
+                beyond = 0.5 * math.erfc((level.slack(int(size)) + 0.5 - weak) / math.sqrt(2 * weak + 1e-9))  # share of sets that need another layout
+                rows += (level.exact + near * (1 + each)) * (1 + beyond) / 3
+                chance += ALIKE * sets * (level.exact + near * (1 + each)) * math.exp(-1.5 * each) / 3
+            # a set that meets many by chance is indexed anew, at a row for each of its shingles at most
+            cost = rows + min(chance, upper)
+            if best is None or cost < best[0]:
+                best = (cost, level)
     return best[1]
 
 
@@ -93,7 +103,7 @@ def signatures(own: np.ndarray, level: Level) -> np.ndarray:
         label = mix(np.arange(many, dtype=np.uint64) + U((level.upper << 24) + (layout << 56)))
         weak = int((size[level.near :] == 0).sum() + 2 * (size[: level.near] <= 1).sum())
         last = layout == LAYOUTS - 1
-        enough = weak <= level.slack
+        enough = weak <= level.slack(len(own))
         kept = np.flatnonzero(size > 0) if not (last and not enough) else np.arange(many)
         out.append(mix(total[kept] ^ label[kept]))
         if level.near:
@@ -116,11 +126,17 @@ def _sizes(words: int):
             for own in shingle_sets(batch.column(1), words):
                 n.append(len(own))
                 cid.append(class_ids(own) if len(own) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64())], ["doc_id", "n_shingles", "cid"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "cid", "hash"])
 
     return sizes
 
 
+def _sized(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, class ``cid`` (null without words) and the ``hash`` of the text, a row per document."""
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    return materialise(hashed.mapInArrow(_sizes(words), "doc_id long, n_shingles long, cid long, hash long"), "sizes")
+
+
 def _index(words: int, ends: list[int], levels: dict[int, Level]):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a partition are indexed once
@@ -147,18 +163,18 @@ def _index(words: int, ends: list[int], levels: dict[int, Level]):
     return index
 
 
-def _texts(words: int, wanted: np.ndarray):
+def _texts(wanted: np.ndarray):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cid = [class_ids(own) if len(own) else None for own in shingle_sets(batch.column(0), words)]
+            hashes = batch.column(0).to_numpy()
             keep = []
-            for k, x in enumerate(cid):
-                if x is not None and x not in seen and wanted[x & FILTER_BITS - 1]:
-                    seen.add(x)
+            for k in np.flatnonzero(wanted[hashes & FILTER_BITS - 1]).tolist():
+                if hashes[k] not in seen:
+                    seen.add(hashes[k])
                     keep.append(k)
             if keep:
-                yield pa.record_batch([pa.array([cid[k] for k in keep], pa.int64()), batch.column(0).take(pa.array(keep))], ["cid", "text"])
+                yield batch.take(pa.array(keep))
 
     return texts
 
@@ -185,11 +201,10 @@ def _verified(words: int):
 def _shingles(words: int, percent: int):
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(shingle_sets(batch.column(1), words))
-            size = [len(x) for x in own]
-            spare = [n - -(-n * percent // 100) + 1 for n in size]
-            columns = [np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64), *(np.repeat(np.array(x, np.int64), size) for x in (batch.column(0).to_pylist(), size, spare))]
-            yield pa.record_batch([pa.array(x) for x in columns], ["key", "cid", "n", "spare"])
+            for cid, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
+                n = len(own)
+                same = [pa.array(np.full(n, x, np.int64)) for x in (cid, n, n - -(-n * percent // 100) + 1)]
+                yield pa.record_batch([pa.array(own.view(np.int64)), *same], ["key", "cid", "n", "spare"])
 
     return shingles
 
@@ -205,14 +220,18 @@ def _rarest(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return placed.filter("alone + place <= spare").select("key", "cid", "holders", "n", "alone", (F.col("alone") + F.col("place") - 1).alias("before"))
 
 
-def _class_texts(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """One text of each class in ``needed`` (cid).  A filter of FILTER_BITS bits, whatever the input's size, spares
-    the exchange most texts that nobody asked for."""
-    buckets = needed.select(F.col("cid").bitwiseAND(FILTER_BITS - 1).alias("k")).distinct().collect()  # at most FILTER_BITS rows
+def _class_texts(docs: DataFrame, sizes: DataFrame, needed: DataFrame) -> DataFrame:
+    """One text of each class in ``needed`` (cid), found by its hash.  A filter of FILTER_BITS bits, whatever the input's
+    size, spares the exchange most texts that nobody asked for."""
+    one = sizes.groupBy("cid").agg(F.min("hash").alias("hash"))
+    wanted_hash = materialise(one.join(needed, "cid"), "wanted")
+    buckets = wanted_hash.select(F.col("hash").bitwiseAND(FILTER_BITS - 1).alias("k")).distinct().collect()  # at most FILTER_BITS rows
     wanted = np.zeros(FILTER_BITS, bool)
     wanted[[r["k"] for r in buckets]] = True
-    texts = docs.select("text").mapInArrow(_texts(words, wanted), "cid long, text string")
-    return materialise(texts.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").mapInArrow(_texts(wanted), "hash long, text string")
+    out = materialise(texts.join(wanted_hash, "hash").dropDuplicates(["hash"]).select("cid", "text"), "texts")
+    discard(wanted_hash)
+    return out
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -231,37 +250,37 @@ def similarity_classes(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     is one shingle.  Repeated rows stay rows.  A null doc_id is never the smallest unless a component has
     no other.  Further columns of ``docs`` are ignored; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = materialise(docs.mapInArrow(_sizes(words), "doc_id long, n_shingles long, cid long"), "sizes")
-    roots = _roots(docs, sizes, words, percent)
-    rooted = sizes.join(roots, sizes.cid == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "cid").alias("root"))
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sizes = _sized(docs, words)
+    of_class = _component_of_class(sizes, _roots(docs, sizes, words, percent), F.min("doc_id"))
+    named = of_class.select("cid", F.col("first").alias("component_id"))
+    return sizes.join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _with_class(words: int):
-    def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid = [class_ids(own) if len(own) else None for own in shingle_sets(batch.column(0), words)]
-            yield pa.record_batch([*batch.columns[1:], pa.array(cid, pa.int64())], [*batch.schema.names[1:], "cid"])
-
-    return with_class
+def _component_of_class(sizes: DataFrame, roots: DataFrame, least: Column) -> DataFrame:
+    """``cid``, ``root`` and ``first``, the minimum ``least`` over the component's documents.  Minima are taken by class, then by
+    component, and written before they are joined, so that joins by a hot class or component can be split."""
+    classes = sizes.filter("cid is not null").groupBy("cid").agg(least.alias("own"))
+    rooted = materialise(classes.join(roots, classes.cid == roots.node, "left").select("cid", "own", F.coalesce("root", "cid").alias("root")), "rooted")
+    first = materialise(rooted.groupBy("root").agg(F.min("own").alias("first")), "first")
+    out = materialise(rooted.join(first, "root").select("cid", "root", "first"), "component")
+    discard(roots, rooted, first)
+    return out
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when each component of :func:`similarity_classes` keeps one document: that with the
-    smallest doc_id (a null one last), once.  Texts without words stay all; columns are those of ``docs``."""
+    smallest doc_id (a null one last), once.  Texts without words stay all; columns are those of ``docs``, whatever
+    their names.  Null texts count as empty, repeated rows are copies, an empty table gives an empty result."""
     small_batches(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = materialise(ids.mapInArrow(_sizes(words), "doc_id long, n_shingles long, cid long"), "sizes")
-    roots = _roots(ids, sizes, words, percent)
-    rooted = sizes.filter("cid is not null").join(roots, sizes.cid == roots.node, "left").select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid"))
-    kept = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.cid").alias("kept_cid"))
-    schema = f"row struct<{', '.join(f'`{c}`:{t}' for c, t in docs.dtypes)}>, id long, cid long"
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).mapInArrow(_with_class(words), schema)
-    one = rows.join(kept, (rows.cid == kept.kept_cid) & rows.id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["cid", "id"])
-    return one.unionByName(rows.filter("cid is null")).select("row.*")
+    sizes = _sized(docs, words)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")
+    of_class = _component_of_class(sizes, _roots(docs, sizes, words, percent), F.min(place))
+    kept = materialise(of_class.select("first.none", "first.id", "first.hash").distinct(), "kept")
+    discard(sizes, of_class)
+    key = ["none", "id", "hash"]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    one = rows.filter("worded").join(kept, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+    return one.select("row.*").unionByName(rows.filter("not worded").select("row.*"))
 
 
 def _sharing(keyed: DataFrame, order: str = "key") -> DataFrame:
@@ -297,7 +316,7 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     band = F.aggregate(F.array(*map(F.lit, ends[:-1])), F.lit(0), lambda k, end: k + F.when(F.col("n") > end, 1).otherwise(0))
     counts = {r["band"]: r["sets"] for r in classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()}  # a row per band
     shared = _sharing(docs.select("text").mapInArrow(_index(words, ends, _levels(counts, ends, percent)), "key long, cid long"))
-    texts = _class_texts(docs, shared.select("cid").distinct(), words)
+    texts = _class_texts(docs, sizes, shared.select("cid").distinct())
 
     # keys of few classes are checked as they are; classes of crowded keys (a passage that many texts hold
     # fills a segment now and then) are indexed anew, by their rarest shingles

@@ -4,24 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts are a few kB, so that a batch stays within tens of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Removes the shuffle files of a write when it ends, rather than when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+    Where neither is set, a local session uses a temporary one and any other is refused: its executors would write apart."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            return context.get()
-        found = tempfile.mkdtemp(prefix="paperloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if context.isDefined():
+        return context.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -29,9 +37,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     rows survive the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._paperloom_path = path
+    if _OPEN:
+        _OPEN[-1].append(back)
     return back
 
 
@@ -44,11 +59,26 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """On leaving, delete the tables that :func:`materialise` made inside, but for the last one: those behind a lazy result
+    can go once that result is written."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        made = _OPEN.pop()
+        if _OPEN and made:
+            _OPEN[-1].append(made[-1])
+        discard(*made[:-1])
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that Python workers hold few long texts at once."""
+    """Bound the rows and bytes of an Arrow batch, so that Python workers hold few long texts at once."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

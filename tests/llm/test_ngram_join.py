@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from paperloom.llm.ngram_join import allocate, band_ends, signatures, similarity_classes
+from paperloom.llm.ngram_join import allocate, band_ends, representatives, signatures, similarity_classes
 
 SCHEMA = "doc_id long, text string, lang string, n_shingles string, component_id double"
 
@@ -104,3 +104,35 @@ def test_every_linked_pair_shares_a_key():
                     assert set(a) == set(b)
                 else:
                     assert np.intersect1d(signatures(np.unique(a), level), signatures(np.unique(b), level)).size
+
+
+@pytest.mark.parametrize("sets", [10**8, 10**10])
+def test_one_deletion_neighbourhoods_share_a_key(sets):
+    """Where many sets meet by chance the allocation takes segments of allowance 1; linked pairs of any size in the band still meet."""
+    rng = np.random.default_rng(7)
+    near = 0
+    for top in (12, 40, 150, 700):
+        for percent in (80, 85):
+            level = allocate(top, percent, sets)
+            near += level.near
+            for _ in range(60):
+                n = int(rng.integers(top * percent // 100, top + 1))
+                a = rng.integers(0, 2**63, n).astype(np.uint64)
+                away = (n + top) * (100 - percent) // (100 + percent)
+                drop = int(rng.integers(0, away + 1))
+                b = np.concatenate([a[drop:], rng.integers(0, 2**63, rng.integers(0, away - drop + 1)).astype(np.uint64)])
+                both, joint = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                if 100 * both >= percent * joint and len(b) <= top:
+                    assert np.intersect1d(signatures(np.unique(a), level), signatures(np.unique(b), level)).size
+    assert near
+
+
+def test_representatives_keep_one_row_of_each_component(spark):
+    rows = corpus(3, [5, 12, 40, 120], 7)
+    rows += [(900, None), (901, ""), (902, "\n "), (903, rows[0][1]), (903, rows[0][1]), (None, rows[1][1]), (None, "alone here"), (None, "alone here")]
+    df = spark.createDataFrame([(d, t, 1, None, "x") for d, t in rows], "doc_id long, text string, hash long, none boolean, row string")
+    out = representatives(df)
+    assert out.columns == df.columns
+    expected = {c for _, _, c in brute(rows, 5, 80)}
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(expected, key=str)
+    assert representatives(df.limit(0)).collect() == []
