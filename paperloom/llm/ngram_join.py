@@ -6,9 +6,9 @@ the universe of shingles into segments with allowances of 0 (the segment's subse
 differ by one deletion); where the allowances plus one add up to more than H, some segment of every
 linked pair agrees within its allowance.  How many segments get which allowance is chosen for each band by
 cost: rows indexed against partners met by chance.  Candidates that share a key of few sets are verified
-exactly.  Sets of crowded keys are indexed once more with single shingles as segments, of which each set keeps
-the cheapest; groups of that index are verified against a pivot first, then wherever they still hold several
-components.
+exactly.  Segments with crowded keys are left aside as far as a set's slack goes; sets with more of them are
+indexed once more with single shingles as segments, of which each set keeps the cheapest; groups of that index are
+verified against a pivot first, then wherever they still hold several components.
 """
 
 from __future__ import annotations
@@ -50,6 +50,10 @@ class Level:
     def segments(self) -> int:
         return self.exact + self.near
 
+    def cost(self, unusable: np.ndarray) -> int:
+        """Allowances (plus one each) of the segments marked: those of allowance 1 stand first and count twice."""
+        return int(unusable.sum() + unusable[: self.near].sum())
+
     def slack(self, size: int) -> int:
         """How many allowances may go unused for a set of ``size``: a linked set of this band is no larger than the band's
         end nor than ``size`` / threshold, which bounds the hashes that differ more tightly for smaller sets."""
@@ -90,30 +94,51 @@ def allocate(upper: int, percent: int, sets: int) -> Level | None:
     return best[1]
 
 
-def signatures(own: np.ndarray, level: Level) -> np.ndarray:
-    """Index keys of one set at a level."""
-    many, out = level.segments, []
+def _layout(own: np.ndarray, level: Level, layout: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Keys of one set in one layout, the segment of each, which segments can't tell sets apart (too few of the set's hashes
+    lie in them), and whether so many can that any linked set agrees in one of those."""
+    many = level.segments
     token = mix(own ^ U(0x5BD1E995))
     low, high = (token & U(0xFFFFFFFF)).astype(np.float64), (token >> U(32)).astype(np.float64)
+    spread = mix(own + U(layout * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U(32)
+    segment = ((spread * U(many)) >> U(32)).astype(np.int64)
+    size = np.bincount(segment, minlength=many)
+    total = np.bincount(segment, low, many).astype(np.uint64) + (np.bincount(segment, high, many).astype(np.uint64) << U(32))
+    label = mix(np.arange(many, dtype=np.uint64) + U((level.upper << 24) + (layout << 56)))
+    weak = size <= (np.arange(many) < level.near)
+    enough = level.cost(weak) <= level.slack(len(own))
+    every = layout == LAYOUTS - 1 and not enough  # the last resort: empty segments are indexed like others
+    kept = np.arange(many) if every else np.flatnonzero(size > 0)
+    keys, at = [mix(total[kept] ^ label[kept])], [kept]
+    if level.near:
+        inside = np.flatnonzero((segment < level.near) & ((size[segment] > 1) | every))
+        keys.append(mix((total[segment[inside]] - token[inside]) ^ label[segment[inside]]))
+        at.append(segment[inside])
+    return np.concatenate(keys), np.concatenate(at), np.zeros(many, bool) if every else weak, enough or every
+
+
+def signatures(own: np.ndarray, level: Level) -> np.ndarray:
+    """Index keys of one set at a level: of one layout, or of several until one has enough segments."""
+    out = []
     for layout in range(LAYOUTS):
-        spread = mix(own + U(layout * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U(32)
-        segment = ((spread * U(many)) >> U(32)).astype(np.int64)
-        size = np.bincount(segment, minlength=many)
-        total = np.bincount(segment, low, many).astype(np.uint64) + (np.bincount(segment, high, many).astype(np.uint64) << U(32))
-        label = mix(np.arange(many, dtype=np.uint64) + U((level.upper << 24) + (layout << 56)))
-        weak = int((size[level.near :] == 0).sum() + 2 * (size[: level.near] <= 1).sum())
-        last = layout == LAYOUTS - 1
-        enough = weak <= level.slack(len(own))
-        kept = np.flatnonzero(size > 0) if not (last and not enough) else np.arange(many)
-        out.append(mix(total[kept] ^ label[kept]))
-        if level.near:
-            inside = np.flatnonzero((segment < level.near) & ((size[segment] > 1) | (last and not enough)))
-            out.append(mix((total[segment[inside]] - token[inside]) ^ label[segment[inside]]))
+        keys, _, _, enough = _layout(own, level, layout)
+        out.append(keys)
         if enough:
             break
     return np.unique(np.concatenate(out))
 
 
+def served(own: np.ndarray, level: Level, crowded: np.ndarray) -> bool:
+    """Whether any linked set of the band agrees in a segment without a ``crowded`` key (sorted): like empty segments, those
+    with crowded keys may be left aside as far as the slack goes."""
+    for layout in range(LAYOUTS):
+        keys, at, unusable, enough = _layout(own, level, layout)
+        if enough:
+            unusable[at[np.isin(keys, crowded)]] = True
+            return level.cost(unusable) <= level.slack(len(own))
+    raise AssertionError("the last layout has enough segments")
+
+
 def class_ids(own: np.ndarray) -> int:
     """A set's identity as a signed 64-bit integer."""
     return int(mix(mix(own).sum(keepdims=True, dtype=np.uint64) + U(len(own))).view(np.int64)[0])
@@ -209,6 +234,21 @@ def _shingles(words: int, percent: int):
     return shingles
 
 
+def _unserved(words: int, ends: list[int], levels: dict[int, Level]):
+    def unserved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, crowded = batch.column(0).to_pylist(), batch.column(2)
+            out = []
+            for k, own in enumerate(shingle_sets(batch.column(1), words)):
+                band = bisect_left(ends, len(own))
+                keys = np.sort(crowded[k].values.to_numpy().view(np.uint64))
+                if not all(served(own, levels[b], keys) for b in (band, band + 1) if b in levels):
+                    out.append(cids[k])
+            yield pa.record_batch([pa.array(out, pa.int64())], ["cid"])
+
+    return unserved
+
+
 def _rarest(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, cid, holders, n, alone, before): allocation by cost with single shingles as segments.  Linked sets share at least ``percent`` of the
     larger one's shingles, so each may skip all but its n - ceil(percent n) + 1 cheapest segments, those that
@@ -283,17 +323,18 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return one.select("row.*").unionByName(rows.filter("not worded").select("row.*"))
 
 
-def _sharing(keyed: DataFrame, order: str = "key") -> DataFrame:
-    """Rows of ``keyed`` (key, cid, ...) whose key several classes share, with the number of ``members``; of keys with
-    the same members the first by ``order`` stays."""
+def _meeting(keyed: DataFrame) -> DataFrame:
+    """Distinct rows of ``keyed`` (key, cid, ...) whose key several classes share."""
     group = Window.partitionBy("key")
     met = keyed.withColumn("least", F.min("cid").over(group)).withColumn("most", F.max("cid").over(group)).filter("least <> most").drop("least", "most").distinct()
-    met = materialise(met, "met")
+    return materialise(met, "met")
+
+
+def _sharing(met: DataFrame, order: str = "key") -> DataFrame:
+    """Rows of ``met`` with the number of ``members`` of their key; of keys with the same members the first by ``order`` stays."""
     same = met.groupBy("key").agg(F.first(order).alias("first"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("xor"))
     alike = same.groupBy("members", "sum", "xor").agg(F.min(F.struct("first", "key"))["key"].alias("key"))
-    shared = materialise(met.join(alike.select("key", "members"), "key"), "shared")
-    discard(met)
-    return shared
+    return materialise(met.join(alike.select("key", "members"), "key"), "shared")
 
 
 def _pairs(groups: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -315,13 +356,20 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     classes = sizes.filter("n_shingles > 0").groupBy("cid").agg(F.first("n_shingles").alias("n"))
     band = F.aggregate(F.array(*map(F.lit, ends[:-1])), F.lit(0), lambda k, end: k + F.when(F.col("n") > end, 1).otherwise(0))
     counts = {r["band"]: r["sets"] for r in classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()}  # a row per band
-    shared = _sharing(docs.select("text").mapInArrow(_index(words, ends, _levels(counts, ends, percent)), "key long, cid long"))
+    levels = _levels(counts, ends, percent)
+    met = _meeting(docs.select("text").mapInArrow(_index(words, ends, levels), "key long, cid long"))
+    shared = _sharing(met)
     texts = _class_texts(docs, sizes, shared.select("cid").distinct())
 
-    # keys of few classes are checked as they are; classes of crowded keys (a passage that many texts hold
-    # fills a segment now and then) are indexed anew, by their rarest shingles
-    crowded = materialise(shared.filter(F.col("members") > CROWD).select("cid").distinct(), "crowded")
-    groups = _sharing(_rarest(texts.join(crowded, "cid", "left_semi"), words, percent), "holders")
+    # keys of few classes are checked as they are.  Crowded keys (a passage that many texts hold fills a segment now and
+    # then) are left aside by sets whose other segments suffice; the other sets are indexed anew, by their rarest shingles
+    crowds = met.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD).select("key")
+    crowded = met.join(crowds, "key").groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most a set's own keys
+    unserved = materialise(texts.join(crowded, "cid").select("cid", "text", "keys").mapInArrow(_unserved(words, ends, levels), "cid long"), "unserved")
+    discard(met)
+    again = _meeting(_rarest(texts.join(unserved, "cid", "left_semi"), words, percent))
+    groups = _sharing(again, "holders")
+    discard(again)
     weight = groups.groupBy("cid").agg(F.sum("members").alias("weight"))
     of_key = Window.partitionBy("key")
     heaviest = F.max(F.struct("weight", "cid", "n", "before")).over(of_key)
@@ -349,5 +397,5 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     if not second.isEmpty():
         more = _verify(texts, second, words).filter(linked).select("a", "b")
         roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-    discard(shared, texts, crowded, groups, starred, checked, second)
+    discard(shared, texts, unserved, groups, starred, checked, second)
     return roots
