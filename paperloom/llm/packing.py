@@ -9,8 +9,9 @@ by (length, rank among pieces of that length).
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise, small_batches
+from .storage import materialise, small_batches, unused
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct spelling units whose ids a worker keeps.
@@ -107,109 +108,102 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
     return runs, bins
 
 
-#: How the byte-level splitter parts a text.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that the byte-level splitter parts from a letter before them, as one run.
+MARKS = ".,!?;:#*$%&|<>()[]{}\"=+/@~"
 
 
-def _ranked(tokenizer, path: str) -> Callable[[str], list[int]] | None:
-    """An encoder by merge ranks for a byte-level vocabulary, or None where it doesn't give the tokenizer's ids."""
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    try:
-        ranks = {bytes(letter[c] for c in word): k for word, k in vocabulary.items() if all(c in letter for c in word) and not word.startswith("<|")}
-        encoder = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        for probe in (" Ünïcödé words", "it's 1898, don't", "a.b|c_ ×10 日本", "x" * 300):
-            if encoder.encode_ordinary(probe) != tokenizer.encode(probe, add_special_tokens=False).ids:
-                return None
-    except (KeyError, ValueError):
-        return None
-    return encoder.encode_ordinary
-
-
-def tokenizer_units(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian 32-bit bytes.
+class Tokens:
+    """Ids of texts by a tokenizer file, as little-endian 32-bit bytes.
 
     The byte-level splitter attaches a single space to the word behind it, lets a single line feed stand
-    alone and parts a letter from a closing mark, so a text without touching white space may be cut at
-    those places and each unit encoded (and remembered) by itself.  Other texts are encoded whole.
-    Units go through the same vocabulary as merge ranks, which costs a fifth of the tokenizer's call;
-    a vocabulary whose ids are not its merge ranks goes through the tokenizer alone."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-
-    ranked = _ranked(tokenizer, path)
-
-    def encoded(texts: list[str]) -> list[bytes]:
-        if ranked is not None:
-            return [array("I", ranked(x)).tobytes() for x in texts]
-        return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    marks = dict(zip(".,!?;:", encoded(list(".,!?;:")), strict=True))
-
-    def fresh(missing: list[str]) -> dict[str, bytes]:
-        """Ids of units not yet known; a word and its closing mark are looked up apart."""
-        apart = {x: x[:-1] for x in missing if x[-1] in marks and x[-2:-1].isalpha()}
-        new = list({y for x in missing if (y := apart.get(x, x)) not in known})
-        ids = dict(zip(new, encoded(new), strict=True))
-        found = {x: (ids.get(y) or known[y]) + marks[x[-1]] for x, y in apart.items()}
-        return ids | found
-
-    def entire(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
+    alone and parts a letter from a run of marks, so a text without touching white space may be cut at
+    those places; units are encoded once, by one call of the tokenizer for all new ones of a batch, and
+    remembered.  Texts with other white space or an added token, and all texts where the tokenizer splits
+    otherwise, are encoded whole.  ``special``: whether an added token's spelling gives its id, as in the
+    tokenizer's plain call, or is text."""
+
+    def __init__(self, path: str, special: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        splitter = parts.get("pre_tokenizer") or {}
+        self.cuts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not parts.get("normalizer")
+        self.added = [x["content"] for x in parts.get("added_tokens") or []]
+        self.known: dict[str, bytes] = {}
+
+    def entire(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def units(self, text: str) -> list[str] | None:
+        """The text's units; None where it has to be encoded whole."""
+        if not self.cuts or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x00" in text or any(x in text for x in self.added):
+            return None
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+
+    @staticmethod
     def touching(unit: str) -> bool:
         """Whether other white space stands at an edge of the unit, beside the cut."""
         edge = unit[1:] if unit[0] == " " else unit
         return unit != "\n" and (edge[:1].isspace() or edge[-1:].isspace())
 
-    def ids(text: str) -> bytes:
-        if not text:
-            return b""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x00" in text:
-            return entire(text)
-        units = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        parts = list(map(known.get, units))
-        if None in parts:
-            missing = list({x for x, y in zip(units, parts, strict=True) if y is None and x})
-            if any(touching(x) for x in missing):
-                return entire(text)
-            here = fresh(missing)
-            here[""] = b""
-            parts = [here[x] if y is None else y for x, y in zip(units, parts, strict=True)]
-            if len(known) + len(here) <= CACHED_UNITS:
-                known.update(here)
-        return b"".join(parts)
+    def learn(self, missing: set[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Ids of ``missing`` units, and those of them that can't stand alone."""
+        missing.discard("")
+        odd = {x for x in missing if self.touching(x)}
+        body = {x: x.rstrip(MARKS) for x in missing - odd}
+        apart = {x: y for x, y in body.items() if y != x and y and y[-1].isalpha() and y[-1] < "\u0250"}
+        wanted = [y for y in {*apart.values(), *(x[len(y) :] for x, y in apart.items()), *(body.keys() - apart.keys())} if y not in self.known]
+        found: dict[str, bytes] = {}
+        if wanted:
+            encoding = self.tokenizer.encode(wanted, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(encoding.ids, "<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(wanted)))
+            found = {x: ids[a:b] for x, a, b in zip(wanted, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        pick = lambda y: found[y] if y in found else self.known[y]
+        return found | {x: pick(y) + pick(x[len(y) :]) for x, y in apart.items()}, odd
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        units = [self.units(x) if x else [] for x in texts]
+        missing = {y for x in units if x for y in x} - self.known.keys()
+        here, odd = self.learn(missing)
+        here[""] = b""
+        if len(self.known) + len(here) <= CACHED_UNITS:
+            self.known |= here
+            here = self.known
+        for text, own in zip(texts, units, strict=True):
+            if own is None or odd and not odd.isdisjoint(own):
+                yield self.entire(text)
+            elif here is self.known:
+                yield b"".join(map(here.__getitem__, own))
+            else:
+                yield b"".join([self.known[y] if y in self.known else here[y] for y in own])
+
 
-    return ids
+def tokenizer_units(path: str, special: bool = False) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian 32-bit bytes; added tokens' spellings are text unless ``special``."""
+    tokens = Tokens(path, special)
+    return lambda text: next(tokens.batch([text]))
 
 
-_UNITS: dict[str, Callable[[str], bytes]] = {}
+_TOKENS: dict[str, Tokens] = {}
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _UNITS:
-            _UNITS[path] = tokenizer_units(path)
-        ids = _UNITS[path]
+        if path not in _TOKENS:
+            _TOKENS[path] = Tokens(path)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             keys, doc, piece, start, length, crc = [], [], [], [], [], []
-            for k, text in enumerate(texts):
-                body = ids(text.as_py() or "") + end
+            for k, own in enumerate(_TOKENS[path].batch(texts)):
+                body = own + end
                 total = len(body) // 4
                 cut, n = 0, 0
                 key = f"{zlib.crc32(body)}:{total}"
@@ -237,7 +231,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES)
 
 
-def _placed(runs: list[Run]):
+def _placed(runs: list[Run], rank: str):
     """A Pandas function placing (length, rank): runs of a length are searched by first rank."""
     by: dict[int, tuple] = {}
     for length in {r.length for r in runs}:
@@ -247,7 +241,7 @@ def _placed(runs: list[Run]):
     def place(frames):
         for frame in frames:
             sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            lengths, ranks = frame["length"].to_numpy(), frame["rank"].to_numpy()
+            lengths, ranks = frame["length"].to_numpy(), frame[rank].to_numpy()
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
                 first, bins, per, off = by[int(length)]
@@ -255,7 +249,7 @@ def _placed(runs: list[Run]):
                 inside = ranks[at] - first[k]
                 sequence[at] = bins[k] + inside // per[k]
                 offset[at] = off[k] + inside % per[k] * length
-            yield frame.drop(columns=["rank", "bucket", "base"], errors="ignore").assign(sequence_id=sequence, offset=offset)
+            yield frame.drop(columns=[rank]).assign(sequence_id=sequence, offset=offset)
 
     return place
 
@@ -265,20 +259,22 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket:
 
     Ranks among pieces of a length are counted in two levels, hash buckets and rows within a bucket, so
     that a length that most pieces share is not ordered in one task.  The packing equals sequential
-    best-fit decreasing.  No rows give no rows; repeated rows are packed as often as they occur."""
-    spark = pieces.sparkSession
-    order = [c for c in ("doc_id", "row_key", "piece", "start") if c in pieces.columns]
-    total = pieces.count()
-    buckets = max(8, total // rows_per_bucket)
-    hashed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = hashed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    bases = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
+    best-fit decreasing.  No rows give no rows; repeated rows are packed as often as they occur; other columns
+    pass through, but for ``sequence_id`` and ``offset``."""
+    pieces = pieces.drop("sequence_id", "offset")
+    bucket, base, rank = (unused(name, pieces.columns) for name in ("bucket", "base", "rank"))
+    order = [c for c in ("doc_id", "row_key", "piece", "start") if c in pieces.columns] or [c for c in pieces.columns]
+    buckets = max(8, pieces.count() // rows_per_bucket)
+    hashed = pieces.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = hashed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("length", bucket, F.coalesce(before, F.lit(0)).alias(base))
     counts = {r["length"]: r["n"] for r in hashed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = pack_histogram(counts, capacity)
-    within = Window.partitionBy("length", "bucket").orderBy(*order)
-    ranked = hashed.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "bucket"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
+    within = Window.partitionBy("length", bucket).orderBy(*order)
+    ranked = hashed.withColumn(rank, F.row_number().over(within) - 1).join(bases, ["length", bucket]).withColumn(rank, (F.col(rank) + F.col(base)).cast("long"))
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c != "length")
-    return ranked.select("length", *[c for c in pieces.columns if c != "length"], "rank").mapInPandas(_placed(runs), f"length long, {schema}, sequence_id long, offset long")
+    return ranked.select("length", *[c for c in pieces.columns if c != "length"], rank).mapInPandas(_placed(runs, rank), f"length long, {schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -253,3 +253,44 @@ def test_mined_url_rules_equal_counting(spark):
     for tokens, (confidence, hits) in found.items():
         with_ = [bad for t, bad in rows if tokens <= set(t)]
         assert hits == sum(with_) and confidence == pytest.approx(sum(with_) / len(with_)) and confidence >= 0.7
+
+
+SPACES = [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x200B, 0x3000)]
+SIGNS = ["a", "Ö", "ß", "ʰ", "İ", "中", "7", "٣", "Ⅷ", ".", "!!", "'", "'s", "'LL", "#*", "_", "€", "<|endoftext|>", "<|", "\x00", "😀", "é", "Ᲊ"]
+
+
+def test_ids_equal_the_tokenizers_plain_call():
+    """All pairs of splitter classes with every white space between them, added tokens, and random strings of them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(11)
+    texts = [x + s + y for x in SIGNS for y in SIGNS for s in ["", *SPACES]]
+    texts += ["".join(rng.choice(SIGNS + SPACES + [" "] * 20) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    texts += ["", "x<|endoftext|>y", "word " * 5000, "longword" * 3000]
+    tokens = packing.Tokens(tokenizer_path())
+    for k in range(0, len(texts), 700):
+        for text, ids in zip(texts[k : k + 700], tokens.batch(texts[k : k + 700]), strict=True):
+            assert ids == np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    packing.CACHED_UNITS, kept = 3, packing.CACHED_UNITS
+    try:
+        small = packing.Tokens(tokenizer_path())
+        assert list(small.batch(texts[-300:])) == list(tokens.batch(texts[-300:]))
+        assert list(small.batch(texts[:300])) == list(tokens.batch(texts[:300]))
+    finally:
+        packing.CACHED_UNITS = kept
+
+
+def test_packing_keeps_clashing_columns(spark):
+    rows = [(k % 9 + 1, k, f"b{k}", k * 2, "r", 7) for k in range(60)] + [(3, None, None, None, None, None)] * 2
+    pieces = spark.createDataFrame(rows, "length long, doc_id long, bucket string, base long, rank string, offset long")
+    out = packing.best_fit_pack(pieces, capacity=10)
+    assert set(out.columns) == {"length", "doc_id", "bucket", "base", "rank", "sequence_id", "offset"}
+    got = out.toPandas()
+    assert len(got) == 62 and (got.dropna().bucket == "b" + got.dropna().doc_id.astype(int).astype(str)).all()
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 10
+    assert packing.best_fit_pack(pieces.limit(0), capacity=10).count() == 0
