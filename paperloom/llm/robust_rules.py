@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise
+from .storage import discard, materialise, spread_join
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -32,7 +32,7 @@ TAIL = 1e-10
 #: Median of chi-squared with six degrees of freedom.
 MEDIAN = 5.348
 #: Estimates of up to so many groups are broadcast (300 bytes each); of more they are joined by salted keys.
-BROADCAST_GROUPS, SALTS = 20_000, 16
+BROADCAST_GROUPS = 20_000
 D = len(FLOORS)
 LOWER = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -117,11 +117,7 @@ def _least_bin(rows: DataFrame, by: list[str], value: str, shares: dict[str, flo
 
 def _joined(rows: DataFrame, table: DataFrame, key: str, few: bool, how: str = "inner") -> DataFrame:
     """``rows`` with the row of ``table`` of their ``key``; no group is one task's."""
-    if few:
-        return rows.join(F.broadcast(table), key, how)
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mine = [F.col(f"x{i}") for i in range(D) if f"x{i}" in rows.columns]
-    return rows.withColumn("salt", F.pmod(F.hash(*mine), F.lit(SALTS))).join(salted, [key, "salt"], how).drop("salt")
+    return spread_join(rows, table, [key], few, [F.col(f"x{i}") for i in range(D)], how)
 
 
 def _inverse(matrix: Column) -> Column:

@@ -9,7 +9,7 @@ its first and last part of a class, so that the join's rows grow with the parts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise
@@ -28,6 +28,11 @@ KINDS = ("assign", "access", "hex", "weak", "ident", "endpoint")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _located(text: Column, pattern: str, kind: int, long_enough: tuple[int, int] | None = None) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches: lengths of what lies between them and of the
     matches, summed along the text.  ``long_enough``: a group and its least length, applied to the matches found."""
@@ -46,9 +51,20 @@ def _located(text: Column, pattern: str, kind: int, long_enough: tuple[int, int]
             counts = x["size"].isNotNull() & (x["value"] >= (long_enough[1] if long_enough else 0))
             return F.struct(end.alias("at"), F.when(counts, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), add)["out"]
+        def shifted(runs: Column) -> Column:
+            before = F.aggregate(runs, F.array(F.lit(0)), lambda a, run: F.concat(a, F.array(F.element_at(a, -1) + run["at"])))
+            move = lambda by: lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"))
+            return _let(before, lambda b: F.flatten(F.transform(runs, lambda run, k: F.transform(run["out"], move(F.get(b, k))))))
+
+        # sums along runs of about the root of all steps, then along the runs: appending to one array of all would copy it each time
+        def summed(all_: Column) -> Column:
+            many = F.ceil(F.sqrt(F.size(all_))).cast("int")
+            runs = F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / many).cast("int")), lambda k: F.slice(all_, k * many + 1, many))
+            return _let(F.transform(runs, lambda run: F.aggregate(run, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), add)), shifted)
+
+        return _let(steps, summed)
 
-    return F.transform(F.array(between), lambda parts: F.when(F.size(parts) == 1, F.array().cast(SPAN)).otherwise(spans(parts)))[0]
+    return _let(between, lambda parts: F.when(F.size(parts) == 1, F.array().cast(SPAN)).otherwise(spans(parts)))
 
 
 def _joined(spans: Column) -> Column:
@@ -75,10 +91,12 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     strong = F.concat(_located(text, ASSIGN, 0, (2, LEAST_VALUE)), _located(text, ACCESS, 1), _located(text, HEX, 2))
     weak = F.concat(_weak_secrets(text), _located(text, IDENT, 4), _located(text, ENDPOINT, 5))
     spans = materialise(scanned.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), strong.alias("strong"), weak.alias("weak")), "spans")
-    free = F.filter("weak", lambda w: ~F.exists("strong", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
-    parted = spans.filter("size(weak) > 0").dropDuplicates(["k1", "k2"]).select("k1", "k2", free.alias("weak"), "strong").filter("size(weak) > 0 and size(weak) + size(strong) > 1")
+    parted = spans.filter("size(weak) > 0 and size(weak) + size(strong) > 1").dropDuplicates(["k1", "k2"])
     kinds = lambda *x: F.col("p.kind").isin(*x)
     parts = parted.select("k1", "k2", F.explode(F.concat("weak", "strong")).alias("p"))
+    # weak parts within a strong one go: strong ones that begin no later reach to their end
+    reach = F.max(F.when(kinds(0, 1, 2), F.col("p.end"))).over(Window.partitionBy("k1", "k2").orderBy("p.start"))
+    parts = parts.withColumn("reach", F.coalesce(reach, F.lit(0))).filter(kinds(0, 1, 2) | (F.col("reach") < F.col("p.end")))
     # identifiers: access, ident; secrets: assign, hex, weak
     parts = parts.select("k1", "k2", "p", F.when(kinds(1, 4), "id").when(kinds(0, 2, 3), "secret").otherwise("endpoint").alias("class"), F.floor(F.col("p.start") / scope).alias("bucket"))
     ends = parts.filter("class <> 'endpoint'").groupBy("k1", "k2", "bucket", "class").agg(F.min("p.start").alias("first"), F.max("p.start").alias("last"))
@@ -88,7 +106,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     met = parts.filter("p.kind >= 3").join(spread, ["k1", "k2", "bucket"]).filter(near & (F.col("other") != F.col("class")))
     found = met.groupBy("k1", "k2", "p", "class").agg(F.max(F.col("other") == "id").alias("id"), F.max(F.col("other") == "secret").alias("secret"))
     found = found.filter("(class = 'secret' and id) or (class = 'id' and secret) or (class = 'endpoint' and id and secret)")
-    linked = found.groupBy("k1", "k2").agg(F.collect_set("p").alias("linked"))  # parts of one text
+    # of one text; written first, so that a text with many copies can be split where it is joined
+    linked = materialise(found.groupBy("k1", "k2").agg(F.collect_set("p").alias("linked")), "linked")
     return spans.join(linked, ["k1", "k2"], "left").select("doc_id", "strong", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"))
 
 

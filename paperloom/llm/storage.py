@@ -7,12 +7,15 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Removes the shuffle files of a write when it ends, rather than when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Places that a key's rows are dealt to where the table joined to them is too large to broadcast.
+SALTS = 16
 
 _OPEN: list[list[DataFrame]] = []
 
@@ -81,6 +84,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], few: bool, by: list[Column], how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``table`` of their ``keys``, so that no key is one task's: ``few`` rows (a checked number) are
+    broadcast; of more, each is dealt to SALTS places, and so are ``rows``, by a hash of ``by``."""
+    if few:
+        return rows.join(F.broadcast(table), keys, how)
+    salt = unused("salt", [*rows.columns, *table.columns])
+    salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.hash(*by), F.lit(SALTS))).join(salted, [*keys, salt], how).drop(salt)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, longer by as many underscores as it takes to differ from all ``columns``, in any case."""
     taken = {c.lower() for c in columns}
