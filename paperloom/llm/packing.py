@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .storage import materialise, small_batches, unused
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct spelling units whose ids a worker keeps.
-CACHED_UNITS = 500_000
+CACHED_UNITS = 1_000_000
 PIECES = "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -138,50 +140,66 @@ class Tokens:
     def entire(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def units(self, text: str) -> list[str] | None:
-        """The text's units; None where it has to be encoded whole."""
-        if not self.cuts or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x00" in text or any(x in text for x in self.added):
-            return None
-        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-
-    @staticmethod
-    def touching(unit: str) -> bool:
-        """Whether other white space stands at an edge of the unit, beside the cut."""
-        edge = unit[1:] if unit[0] == " " else unit
-        return unit != "\n" and (edge[:1].isspace() or edge[-1:].isspace())
+    def whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts have to be encoded whole."""
+        if not self.cuts:
+            return np.ones(len(texts), bool)
+        return pc.match_substring_regex(texts, "|".join(map(re.escape, ["  ", "\n\n", " \n", "\n ", "\x00", *self.added]))).to_numpy(zero_copy_only=False)
 
     def learn(self, missing: set[str]) -> tuple[dict[str, bytes], set[str]]:
-        """Ids of ``missing`` units, and those of them that can't stand alone."""
-        missing.discard("")
-        odd = {x for x in missing if self.touching(x)}
-        body = {x: x.rstrip(MARKS) for x in missing - odd}
-        apart = {x: y for x, y in body.items() if y != x and y and y[-1].isalpha() and y[-1] < "\u0250"}
-        wanted = [y for y in {*apart.values(), *(x[len(y) :] for x, y in apart.items()), *(body.keys() - apart.keys())} if y not in self.known]
+        """Ids of ``missing`` units, and those of them that can't stand alone: other white space touches the cut."""
+        odd: set[str] = set()
+        apart: dict[str, str] = {}
+        wanted: dict[str, None] = {}
+        known = self.known
+        for unit in missing:
+            edge = unit[1:] if unit[0] == " " else unit
+            if edge.strip() != edge and unit != "\n":
+                odd.add(unit)
+                continue
+            body = unit.rstrip(MARKS)
+            if body != unit and body and body[-1] < "\u0250" and body[-1].isalpha():
+                apart[unit] = body
+                if body not in known:
+                    wanted[body] = None
+                if (tail := unit[len(body) :]) not in known:
+                    wanted[tail] = None
+            else:
+                wanted[unit] = None
         found: dict[str, bytes] = {}
         if wanted:
-            encoding = self.tokenizer.encode(wanted, is_pretokenized=True, add_special_tokens=False)
+            encoding = self.tokenizer.encode(list(wanted), is_pretokenized=True, add_special_tokens=False)
             ids = np.asarray(encoding.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(wanted)))
-            found = {x: ids[a:b] for x, a, b in zip(wanted, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
-        pick = lambda y: found[y] if y in found else self.known[y]
+            ends = (4 * np.cumsum(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(wanted)))).tolist()
+            found = {x: ids[a:b] for x, a, b in zip(wanted, [0, *ends], ends, strict=False)}
+        pick = lambda y: found[y] if y in found else known[y]
         return found | {x: pick(y) + pick(x[len(y) :]) for x, y in apart.items()}, odd
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text."""
-        units = [self.units(x) if x else [] for x in texts]
-        missing = {y for x in units if x for y in x} - self.known.keys()
-        here, odd = self.learn(missing)
-        here[""] = b""
+    def batch(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Ids of each text; null counts as empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts, "")
+        whole = self.whole(texts).copy()
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", "\x00\n\x00"), " ", "\x00 ")
+        split = pc.split_pattern(marked, "\x00")
+        coded = split.flatten().dictionary_encode()
+        units, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(self.known.get, units))
+        here, odd = self.learn({x for x, y in zip(units, ids, strict=True) if y is None and x})
         if len(self.known) + len(here) <= CACHED_UNITS:
             self.known |= here
-            here = self.known
-        for text, own in zip(texts, units, strict=True):
-            if own is None or odd and not odd.isdisjoint(own):
-                yield self.entire(text)
-            elif here is self.known:
-                yield b"".join(map(here.__getitem__, own))
-            else:
-                yield b"".join([self.known[y] if y in self.known else here[y] for y in own])
+        ids = [here.get(x, b"") if y is None else y for x, y in zip(units, ids, strict=True)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[code])])
+        tokens = flat[np.repeat(first[code] - ends[:-1], size[code]) + np.arange(ends[-1])]
+        rows = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if odd:
+            alone = np.concatenate([[0], np.cumsum(np.fromiter((x in odd for x in units), bool, len(units))[code])])
+            whole |= alone[rows[1:]] > alone[rows[:-1]]
+        for k, (a, b) in enumerate(zip(ends[rows[:-1]].tolist(), ends[rows[1:]].tolist(), strict=True)):
+            yield self.entire(texts[k].as_py()) if whole[k] else tokens[a:b].tobytes()
 
 
 def tokenizer_units(path: str, special: bool = False) -> Callable[[str], bytes]:
@@ -200,9 +218,9 @@ def _pieces(path: str, capacity: int, end_id: int):
         if path not in _TOKENS:
             _TOKENS[path] = Tokens(path)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            docs = batch.column(0).to_pylist()
             keys, doc, piece, start, length, crc = [], [], [], [], [], []
-            for k, own in enumerate(_TOKENS[path].batch(texts)):
+            for k, own in enumerate(_TOKENS[path].batch(batch.column(1))):
                 body = own + end
                 total = len(body) // 4
                 cut, n = 0, 0
