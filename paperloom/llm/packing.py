@@ -114,6 +114,10 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
 MARKS = ".,!?;:#*$%&|<>()[]{}\"=+/@~"
 
 
+#: White space other than space and line feed.
+OTHER_BLANKS = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
 class Tokens:
     """Ids of texts by a tokenizer file, as little-endian 32-bit bytes.
 
@@ -136,6 +140,9 @@ class Tokens:
         self.cuts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not parts.get("normalizer")
         self.added = [x["content"] for x in parts.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
+        # whether what an id stands for begins with a space, which the byte-level alphabet writes as U+0120
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.begins[[k for x, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if x[0] == "\u0120"]] = True
 
     def entire(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -146,34 +153,47 @@ class Tokens:
             return np.ones(len(texts), bool)
         return pc.match_substring_regex(texts, "|".join(map(re.escape, ["  ", "\n\n", " \n", "\n ", "\x00", *self.added]))).to_numpy(zero_copy_only=False)
 
-    def learn(self, missing: set[str]) -> tuple[dict[str, bytes], set[str]]:
+    def encoded(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units.  Those that begin with a space are encoded as one text: the ids of what begins with one part them again."""
+        spaced = [x for x in units if x[0] == " "]
+        out: dict[str, bytes] = {}
+        if spaced:
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            body = ids.tobytes()
+            ends = [*(4 * starts[1:]).tolist(), len(body)]
+            out = {x: body[a:b] for x, a, b in zip(spaced, (4 * starts).tolist(), ends, strict=True)}
+        bare = [x for x in units if x[0] != " "]
+        if bare:
+            encoding = self.tokenizer.encode(bare, is_pretokenized=True, add_special_tokens=False)
+            body = np.asarray(encoding.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(bare)))).tolist()
+            out |= {x: body[a:b] for x, a, b in zip(bare, [0, *ends[:-1]], ends, strict=True)}
+        return out
+
+    def learn(self, missing: list[str], other_blanks: bool) -> tuple[dict[str, bytes], set[str]]:
         """Ids of ``missing`` units, and those of them that can't stand alone: other white space touches the cut."""
         odd: set[str] = set()
-        apart: dict[str, str] = {}
+        if other_blanks:
+            odd = {x for x in missing if x != "\n" and (x[1:] if x[0] == " " else x).strip() != (x[1:] if x[0] == " " else x)}
+            missing = [x for x in missing if x not in odd]
+        apart: dict[str, tuple[str, str]] = {}
         wanted: dict[str, None] = {}
         known = self.known
         for unit in missing:
-            edge = unit[1:] if unit[0] == " " else unit
-            if edge.strip() != edge and unit != "\n":
-                odd.add(unit)
-                continue
             body = unit.rstrip(MARKS)
             if body != unit and body and body[-1] < "\u0250" and body[-1].isalpha():
-                apart[unit] = body
+                tail = unit[len(body) :]
+                apart[unit] = (body, tail)
                 if body not in known:
                     wanted[body] = None
-                if (tail := unit[len(body) :]) not in known:
+                if tail not in known:
                     wanted[tail] = None
             else:
                 wanted[unit] = None
-        found: dict[str, bytes] = {}
-        if wanted:
-            encoding = self.tokenizer.encode(list(wanted), is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(encoding.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(wanted)))).tolist()
-            found = {x: ids[a:b] for x, a, b in zip(wanted, [0, *ends], ends, strict=False)}
+        found = self.encoded(list(wanted))
         pick = lambda y: found[y] if y in found else known[y]
-        return found | {x: pick(y) + pick(x[len(y) :]) for x, y in apart.items()}, odd
+        return found | {x: pick(y) + pick(z) for x, (y, z) in apart.items()}, odd
 
     def batch(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
         """Ids of each text; null counts as empty."""
@@ -183,9 +203,10 @@ class Tokens:
         marked = pc.replace_substring(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", "\x00\n\x00"), " ", "\x00 ")
         split = pc.split_pattern(marked, "\x00")
         coded = split.flatten().dictionary_encode()
-        units, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        units, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         ids = list(map(self.known.get, units))
-        here, odd = self.learn({x for x, y in zip(units, ids, strict=True) if y is None and x})
+        other_blanks = pc.any(pc.match_substring_regex(texts, OTHER_BLANKS)).as_py()
+        here, odd = self.learn([x for x, y in zip(units, ids, strict=True) if y is None and x], bool(other_blanks))
         if len(self.known) + len(here) <= CACHED_UNITS:
             self.known |= here
         ids = [here.get(x, b"") if y is None else y for x, y in zip(units, ids, strict=True)]
