@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .storage import materialise, small_batches, unused
 
 CAPACITY, END_ID = 1024, 2
-#: Distinct spelling units whose ids a worker keeps.
-CACHED_UNITS = 1_000_000
+#: Distinct spelling units encoded by one call, those whose ids a worker keeps, and texts of an Arrow batch.
+UNITS_AT_ONCE, BATCH_TEXTS = 5_000, 2_000
+CACHED_UNITS = 400_000
 PIECES = "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -157,12 +158,13 @@ class Tokens:
         """Ids of units.  Those that begin with a space are encoded as one text: the ids of what begins with one part them again."""
         spaced = [x for x in units if x[0] == " "]
         out: dict[str, bytes] = {}
-        if spaced:
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+        for k in range(0, len(spaced), UNITS_AT_ONCE):
+            own = spaced[k : k + UNITS_AT_ONCE]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.begins[ids])
             body = ids.tobytes()
             ends = [*(4 * starts[1:]).tolist(), len(body)]
-            out = {x: body[a:b] for x, a, b in zip(spaced, (4 * starts).tolist(), ends, strict=True)}
+            out |= zip(own, map(body.__getitem__, map(slice, (4 * starts).tolist(), ends)), strict=True)
         bare = [x for x in units if x[0] != " "]
         if bare:
             encoding = self.tokenizer.encode(bare, is_pretokenized=True, add_special_tokens=False)
@@ -211,10 +213,13 @@ class Tokens:
             self.known |= here
         ids = [here.get(x, b"") if y is None else y for x, y in zip(units, ids, strict=True)]
         flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(size) - size
-        ends = np.concatenate([[0], np.cumsum(size[code])])
-        tokens = flat[np.repeat(first[code] - ends[:-1], size[code]) + np.arange(ends[-1])]
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
+        many = size[code]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(first[code] - ends[:-1].astype(np.int32), many)
+        at += np.arange(len(at), dtype=np.int32)
+        tokens = flat[at]
         rows = split.offsets.to_numpy() - split.offsets[0].as_py()
         if odd:
             alone = np.concatenate([[0], np.cumsum(np.fromiter((x in odd for x in units), bool, len(units))[code])])
@@ -266,7 +271,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens.  A longer document's first piece takes what the
     full ones behind it leave.  Null and empty texts give the one end token."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_TEXTS)
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES)
 
 
