@@ -51,6 +51,11 @@ def analysis_tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(F.transform(token_texts(text), F.lower), lambda t: ~listed(t, stop_words) & ~is_mark(t) & t.rlike(r"^\p{L}+$") & (F.length(t) > 1))
 
 
+def is_word(text: Column) -> Column:
+    """Whether there is a Spanish letter; false where the text is null."""
+    return F.coalesce(text.rlike(f"[{LETTERS}]"), F.lit(False))
+
+
 def alpha_ratio(s: Column) -> Column:
     return F.when(F.length(s) == 0, 0.0).otherwise(F.length(F.regexp_replace(s, r"[^\p{L}]", "")) / F.length(s))
 

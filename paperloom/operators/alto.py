@@ -25,7 +25,9 @@ def _line(line: ET.Element) -> str:
 
 def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """A row per text block of ``pages`` in document order, with ``block_idx`` and its raw ``lines``; pages that are not
-    well-formed have ``bad_xml`` set and no block."""
+    well-formed have ``bad_xml`` set and no block.  A column of ``pages`` named like one of a block's comes back as ``page_`` and its name."""
+    own = ["block_idx", "bad_xml", "id", "height", "width", "hpos", "vpos", "lines", "text"]
+    pages = pages.withColumnsRenamed({c: f"page_{c}" for c in pages.columns if c != xml and c.lower() in own})
     keys = [c for c in pages.columns if c != xml]
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,9 +24,10 @@ def wer(text: Column, gold: Column) -> Column:
     """Edits per word: each distinct word of the two texts becomes one character, then the built-in distance counts."""
     a, b = words(text), words(gold)
     known = F.array_distinct(F.concat(a, b))
-    # characters from U+4E00 on: 20,000 distinct words of a pair have one each
-    lettered = lambda w, k: F.array_join(F.transform(w, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(k, x) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    distance = F.transform(F.array(known), lambda k: F.levenshtein(lettered(a, k), lettered(b, k)))[0]
+    # characters beyond the first plane: there are 1,048,575 of them, and no text with more distinct words has an edit table that fits
+    lettered = lambda w, k: F.array_join(F.transform(w, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(k, x) + 0xFFFF), 8, "0")), "UTF-32")), "")
+    refused = F.raise_error(F.lit("wer: a pair of texts has more than 1,048,575 distinct words"))
+    distance = F.transform(F.array(known), lambda k: F.when(F.size(k) > 1_048_575, refused.cast("int")).otherwise(F.levenshtein(lettered(a, k), lettered(b, k))))[0]
     return F.when(F.size(b) == 0, 0.0).otherwise(distance / F.size(b))
 
 

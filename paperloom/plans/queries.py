@@ -216,16 +216,21 @@ def alt2_int_attr(spark, d):
     return spark.createDataFrame(CASES, "name string, v string").select("name", alto.int_attr(F.col("v")).cast("long").alias("value"))
 
 
-@query(f"""WITH RECURSIVE {BLOCKS}, hy AS (SELECT block_id, list_filter(list_transform(string_split(replace(text, 'en' || chr(10), 'en-' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM blocks),
-fold(block_id, ls, k, out, held, open) AS (
+#: Lines of ``hy`` (block_id, ls) with those that end in a hyphen joined to the next.
+FOLD = """fold(block_id, ls, k, out, held, open) AS (
   SELECT block_id, ls, 1, []::VARCHAR[], NULL::VARCHAR, true FROM hy
   UNION ALL
   SELECT block_id, ls, k + 1,
-    CASE WHEN held IS NULL OR (open AND held LIKE '%-' AND regexp_matches(ls[k], '^\\p{{L}}')) THEN out ELSE list_append(out, held) END,
-    CASE WHEN held IS NOT NULL AND open AND held LIKE '%-' AND regexp_matches(ls[k], '^\\p{{L}}') THEN left(held, -1) || ls[k] ELSE ls[k] END,
-    NOT (held IS NOT NULL AND open AND held LIKE '%-' AND regexp_matches(ls[k], '^\\p{{L}}'))
-  FROM fold WHERE k <= len(ls))
-SELECT block_id, md5(array_to_string(CASE WHEN held IS NULL THEN out ELSE list_append(out, held) END, chr(10))) AS text_md5 FROM fold WHERE k = len(ls) + 1""")
+    CASE WHEN held IS NULL OR (open AND held LIKE '%-' AND regexp_matches(ls[k], '^\\p{L}')) THEN out ELSE list_append(out, held) END,
+    CASE WHEN held IS NOT NULL AND open AND held LIKE '%-' AND regexp_matches(ls[k], '^\\p{L}') THEN left(held, -1) || ls[k] ELSE ls[k] END,
+    NOT (held IS NOT NULL AND open AND held LIKE '%-' AND regexp_matches(ls[k], '^\\p{L}'))
+  FROM fold WHERE k <= len(ls)),
+joined AS (SELECT block_id, len(ls) AS n_lines, CASE WHEN held IS NULL THEN out ELSE list_append(out, held) END AS ls FROM fold WHERE k = len(ls) + 1)"""
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, hy AS (SELECT block_id, list_filter(list_transform(string_split(replace(text, 'en' || chr(10), 'en-' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM blocks),
+{FOLD}
+SELECT block_id, md5(array_to_string(ls, chr(10))) AS text_md5 FROM joined""")
 def alt7_dehyphenate(spark, d):
     broken = F.replace("text", F.lit("en\n"), F.lit("en-\n"))
     lines = F.filter(F.transform(F.split(broken, "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -241,17 +246,40 @@ def xml_pages(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select("block_id", page.alias("xml"))
 
 
-@query()
+#: Line texts as page XML gives them back: tabs in attributes are spaces, white space at the ends goes, empty lines go.
+STRIPPED = r"regexp_replace(translate(x, chr(9) || chr(13), '  '), '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g')"
+XML_LINES = f"hy AS (SELECT block_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIPPED}), lambda x: x <> '') AS ls FROM blocks)"
+
+
+@query(f"WITH RECURSIVE {BLOCKS}, {XML_LINES}, {FOLD} SELECT block_id, 'B1' AS id, length(array_to_string(ls, chr(10))) AS n_chars, md5(array_to_string(ls, chr(10))) AS text_md5 FROM joined")
 def src2_alto_blocks(spark, d):
     return alto.extract_blocks(xml_pages(spark, d)).select("block_id", "id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(f"WITH RECURSIVE {BLOCKS}, {XML_LINES}, {FOLD} SELECT block_id, CAST(n_lines AS BIGINT) AS n_lines, length(array_to_string(ls, ' ')) AS n_chars FROM joined")
 def alt5_8_block_text(spark, d):
     parsed = alto.parse_pages(xml_pages(spark, d))
     return parsed.select("block_id", F.size(alto.ordered_lines(F.col("lines"))).cast("long").alias("n_lines"), F.length(alto.block_text(F.col("lines"), " ")).cast("long").alias("n_chars"))
 
 
+def shuffled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as page XML with a nested block whose lines stand last to first and are words and spaces, and a second block
+    whose word is parted by a hyphen without content."""
+    escaped = F.replace(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    words = lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(F.lit('<String CONTENT="'), w, F.lit('"/>'))), "<SP/>")
+    line = lambda x, i: F.concat(F.lit('<TextLine HPOS="5" VPOS="'), (i * 10).cast("string"), F.lit('.5">'), words(x), F.lit("</TextLine>"))
+    lines = F.reverse(F.transform(F.split(escaped, "\n"), line))
+    first = F.concat(F.lit('<ComposedBlock><TextBlock ID="B1" HPOS="1">'), F.array_join(lines, ""), F.lit("</TextBlock></ComposedBlock>"))
+    second = '<TextBlock ID="B2"><TextLine VPOS="1" HPOS="9"><String CONTENT="ing"/></TextLine><TextLine VPOS="1" HPOS="2"><String CONTENT="end"/><HYP/></TextLine></TextBlock>'
+    page = F.concat(F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v2#"><Layout>'), first, F.lit(second + "</Layout></alto>"))
+    return blocks(spark, d).select("block_id", F.lit("p").alias("id"), page.alias("xml"))
+
+
+@query(f"WITH RECURSIVE {BLOCKS}, {XML_LINES}, {FOLD} SELECT block_id, 'p' AS page_id, 0 AS block_idx, 'B1' AS id, md5(array_to_string(ls, chr(10))) AS text_md5 FROM joined UNION ALL SELECT block_id, 'p', 1, 'B2', md5('ending') FROM blocks")
+def alt9_page_order(spark, d):
+    return alto.extract_blocks(shuffled_pages(spark, d)).select("block_id", "page_id", "block_idx", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 # mentions
 
 

@@ -32,8 +32,11 @@ def read_xml_pages(spark: SparkSession, root: str) -> DataFrame:
 def read_json_pages(spark: SparkSession, root: str, schema: str = PAGE, name: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Readable pages, and the paths of files that don't parse."""
     read = spark.read.schema(schema + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    rows = read.json(root).withColumn("path", F.input_file_name()).persist()  # a plan may not read the rejects' column alone
-    return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("path", "_bad")
+    # a plan may not read the rejects' column alone: rejects keep the page's columns in a struct that no optimiser drops
+    rows = read.json(root).withColumn("path", F.input_file_name())
+    page = [c for c in rows.columns if c not in ("_bad", "path")]
+    seen = rows.withColumn("read", F.struct(*page)).filter("_bad is not null").select("path", "_bad", F.md5(F.to_json("read")).alias("read"))
+    return rows.filter("_bad is null").drop("_bad"), seen.filter("read is not null").select("path", "_bad")
 
 
 def gold_pairs(pages: DataFrame) -> DataFrame:
@@ -49,7 +52,18 @@ def correction_request(blocks: DataFrame) -> DataFrame:
 
 
 def correction_answer(answer: Column) -> Column:
-    return F.from_json(answer, "array<struct<raw_text:string,gpt_fixed_conservative:string,gpt_fixed_best_guess:string>>", {"mode": "PERMISSIVE"})
+    """The corrections in an answer; a missing key is null.  An answer that is no JSON as it stands is repaired: text and fences
+    around the list go, and so do commas before a bracket and an object that is cut off; null where no list is found."""
+    parse = lambda x: F.from_json(x, "array<struct<raw_text:string,gpt_fixed_conservative:string,gpt_fixed_best_guess:string>>", {"mode": "PERMISSIVE"})
+    listed = F.regexp_extract(answer, r"(?s)(\[.*)$", 1)
+    whole = F.when(F.contains(listed, F.lit("}")), F.concat(F.regexp_extract(listed, r"(?s)^(.*\})", 1), F.lit("]"))).when(listed != "", F.lit("[]"))
+    return F.coalesce(parse(answer), parse(F.regexp_replace(whole, r",(\s*[\]}])", "$1")))
+
+
+def inspected_pairs(pages: DataFrame, first: int = 20, longer_than: int = 100) -> DataFrame:
+    """(link, k, raw_text, gpt_fixed_best_guess, gpt_fixed_conservative) of the long ones among each page's first corrections."""
+    rows = pages.select("link", F.posexplode(F.slice("gpt_fixed", 1, first)).alias("k", "g"))
+    return rows.filter(F.length("g.raw_text") > longer_than).select("link", "k", "g.raw_text", "g.gpt_fixed_best_guess", "g.gpt_fixed_conservative")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
