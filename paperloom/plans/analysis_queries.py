@@ -8,7 +8,7 @@ from ..functions.tokens import token_texts
 from ..operators import correct, dictionary, mentions, mining, quality, relevance, spelling, terms, timelines
 from ..sources import pages as sources
 from .adapter import BLOCKS, FAMILIES, LABELS, PAIRS, STOP_WORDS, WORDS, blocks, labels, line_pairs, word_pairs, words
-from .queries import COUNTED, KNOWN, MEASURES, PAGES, RX, SUSPECT, TERMS, TITLE, TOKENS, UPPER, counted, query, quoted
+from .queries import COUNTED, KNOWN, MEASURES, PAGES, RX, SPREAD, SUSPECT, TERMS, TITLE, TOKENS, UPPER, counted, query, quoted
 
 # timelines
 
@@ -239,23 +239,44 @@ def min8_patch_index(spark, d):
     return mining.patch_index(phrases(spark, d)).select(F.array_join("raw_norm", "_").alias("key"), "count")
 
 
-@query()
+#: Misread lines have the tokens of their gold text in the same order, so that opcodes are runs of equal and of different places.
+OPCODES = BLOCKS + f""", golds AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS gold FROM blocks),
+sides AS (SELECT md5(gold) AS pair_id, regexp_extract_all(gold, '{RX}', 1) AS g, regexp_extract_all(replace(replace(gold, 'th', 'tb'), 'o', '0'), '{RX}', 1) AS r FROM golds WHERE gold <> ''),
+places AS (SELECT pair_id, unnest(g) AS x, unnest(r) AS y, generate_subscripts(g, 1) AS i FROM sides),
+told AS (SELECT *, lower(x) = lower(y) AS same FROM places),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY pair_id, same ORDER BY i) AS run FROM told),
+ops AS (SELECT pair_id, same, run, list(y ORDER BY i) AS raw_span, list(x ORDER BY i) AS fixed_span FROM runs GROUP BY ALL)"""
+
+
+@query(f"WITH {OPCODES} SELECT CASE WHEN same THEN 'equal' ELSE 'replace' END AS tag, count(*) AS n FROM ops GROUP BY 1")
 def min1_opcodes(spark, d):
     return mining.opcodes(line_pairs(spark, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {OPCODES}, one AS (SELECT raw_span[1] AS raw, fixed_span[1] AS fixed, count(*) AS count FROM ops WHERE NOT same AND len(raw_span) = 1 GROUP BY ALL) SELECT raw, fixed, count, CAST(sum(count) OVER (PARTITION BY raw) AS BIGINT) AS total FROM one")
 def min2_mined_words(spark, d):
     return mining.word_counts(mining.opcodes(line_pairs(spark, d)))
 
 
-@query()
+@query(f"WITH {OPCODES} SELECT array_to_string(raw_span, ' ') AS raw, array_to_string(fixed_span, ' ') AS fixed, count(*) AS count FROM ops WHERE NOT same AND len(raw_span) BETWEEN 2 AND 5 GROUP BY ALL")
 def min3_phrase_mining(spark, d):
     found = mining.phrase_counts(mining.opcodes(line_pairs(spark, d)))
     return found.select(F.array_join("raw_span", " ").alias("raw"), F.array_join("fixed_span", " ").alias("fixed"), "count")
 
 
-@query()
+#: Pairs of tokens are replaced from left to right: of places in a row that all begin a known pair, every other one.
+APPLIED = PHRASES + f""", win AS (SELECT key, fix FROM (SELECT {NORMED} AS key, array_to_string(span, '') AS fix, row_number() OVER (PARTITION BY {NORMED} ORDER BY count, array_to_string(span, chr(1)) DESC) AS place FROM phrases) WHERE place = 1),
+lists AS (SELECT block_id, regexp_extract(text, '^(\\s*)', 1) AS head, text, t, regexp_extract_all(text, '{RX}', 2) AS ws FROM toks),
+every AS (SELECT block_id, unnest(t) AS x, unnest(ws) AS w, generate_subscripts(t, 1) AS i FROM lists),
+ahead AS (SELECT *, lead(x) OVER (PARTITION BY block_id ORDER BY i) AS y, lead(w) OVER (PARTITION BY block_id ORDER BY i) AS v FROM every),
+met AS (SELECT a.*, win.fix FROM (SELECT *, CASE WHEN y IS NOT NULL THEN {NORMED.replace("span", "[x, y]")} END AS key FROM ahead) a LEFT JOIN win USING (key)),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY block_id, fix IS NOT NULL ORDER BY i) AS run FROM met),
+picked AS (SELECT *, fix IS NOT NULL AND row_number() OVER (PARTITION BY block_id, fix IS NOT NULL, run ORDER BY i) % 2 = 1 AS here FROM runs),
+written AS (SELECT *, lag(here, 1, false) OVER (PARTITION BY block_id ORDER BY i) AS gone FROM picked),
+parts AS (SELECT block_id, string_agg(CASE WHEN here THEN fix || v ELSE x || w END, '' ORDER BY i) FILTER (NOT gone) AS body FROM written GROUP BY block_id)"""
+
+
+@query(f"WITH {APPLIED} SELECT block_id, md5(head || coalesce(body, '')) AS text_md5 FROM lists LEFT JOIN parts USING (block_id)")
 def fix1_phrase_apply(spark, d):
     out = correct.apply_phrases(blocks(spark, d), mining.patch_index(phrases(spark, d)), lengths=(2,))
     return out.select("block_id", F.md5(F.col("text_patched").cast("binary")).alias("text_md5"))
@@ -280,7 +301,16 @@ def fix3_spell_pass(spark, d):
     return correct.spelled_tokens(t, vocabulary, vocabulary.withColumnRenamed("n", "count"), dictionary.corpus_zipf(words(spark, d)), (), 0.8)
 
 
-@query()
+#: The tokens of the patched texts take the place of those of the texts in the look-up of spellings.
+WHOLE = APPLIED + f""", patched AS MATERIALIZED (SELECT block_id, head || coalesce(body, '') AS text FROM lists LEFT JOIN parts USING (block_id)),
+seen AS MATERIALIZED (SELECT block_id, unnest(regexp_extract_all(text, '{RX}', 1)) AS token, unnest(regexp_extract_all(text, '{RX}', 2)) AS w, generate_subscripts(regexp_extract_all(text, '{RX}', 1), 1) AS i FROM patched),
+distinct_tokens AS (SELECT DISTINCT token FROM seen)""" + BEST[len(SPREAD) :] + f""", picked_words AS (SELECT term, CASE WHEN best_score - own_score < 0.8 THEN term ELSE candidate END AS pick FROM chosen),
+odd AS (SELECT DISTINCT token, {AFFIX.format(k=1)} AS head, {AFFIX.format(k=2)} AS core, {AFFIX.format(k=3)} AS tail FROM judged WHERE {SUSPECT.format(x='token')}),
+fixes AS (SELECT token, head || CASE WHEN {TITLE.format(x='core')} THEN upper(pick[1]) || pick[2:] WHEN {UPPER.format(x='core')} THEN upper(pick) ELSE pick END || tail AS fixed FROM odd JOIN picked_words ON lower(core) = term WHERE pick <> term),
+bodies AS (SELECT block_id, string_agg(coalesce(fixed, token) || w, '' ORDER BY i) AS body FROM seen LEFT JOIN fixes USING (token) GROUP BY block_id)"""
+
+
+@query(f"WITH {WHOLE} SELECT block_id, md5(regexp_extract(text, '^(\\s*)', 1) || coalesce(bodies.body, '')) AS text_md5 FROM patched LEFT JOIN bodies USING (block_id)")
 def fix4_full_fix(spark, d):
     vocabulary = words(spark, d).filter("n >= 10")
     index = mining.patch_index(phrases(spark, d))

@@ -8,7 +8,7 @@ from ..functions.tokens import is_word, token_texts
 from ..operators import mentions, mining, quality, relevance, terms, timelines
 from ..sources import pages as sources
 from .adapter import BLOCKS, FAMILIES, PAIRS, STOP_WORDS, blocks, labels, line_pairs, word_pairs
-from .analysis_queries import JUDGED, MERGED, SPLIT, TIMELINE, TOTALS, judged, lexicon, page_table, passage_rows
+from .analysis_queries import JUDGED, MERGED, OPCODES, SPLIT, TIMELINE, TOTALS, judged, lexicon, page_table, passage_rows
 from .queries import MEASURES, SPREAD, distinct_tokens, query
 
 
@@ -91,7 +91,7 @@ def eva6_evaluate(spark, d):
     return out.select("pair_id", F.round("cer_raw", 6).alias("cer_raw"), F.round("cer_fixed", 6).alias("cer_fixed"), "wer_raw", "wer_fixed", "damage_count")
 
 
-@query()
+@query(f"WITH {OPCODES} SELECT array_to_string(raw_span, ' ') AS raw, array_to_string(fixed_span, ' ') AS fixed, count(*) AS count, CASE WHEN len(raw_span) = 1 THEN 'word' ELSE 'phrase' END AS kind FROM ops WHERE NOT same AND len(raw_span) <= 5 GROUP BY ALL")
 def min7_miner(spark, d):
     """Phrases and words of one alignment, counted."""
     phrases, words = mining.mine(line_pairs(spark, d))
