@@ -253,8 +253,9 @@ def _rarest(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, cid, holders, n, alone, before): allocation by cost with single shingles as segments.  Linked sets share at least ``percent`` of the
     larger one's shingles, so each may skip all but its n - ceil(percent n) + 1 cheapest segments, those that
     the fewest sets hold (``before``: its cheaper ones); the ``alone`` ones that no other set holds need no row."""
-    held = texts.select("cid", "text").mapInArrow(_shingles(words, percent), "key long, cid long, n long, spare long")
-    common = held.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("holders > 1")
+    held = materialise(texts.select("cid", "text").mapInArrow(_shingles(words, percent), "key long, cid long, n long, spare long"), "held")
+    holders = materialise(held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "holders")
+    common = held.join(holders, "key")
     own = Window.partitionBy("cid")
     placed = common.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("holders", "key")))
     return placed.filter("alone + place <= spare").select("key", "cid", "holders", "n", "alone", (F.col("alone") + F.col("place") - 1).alias("before"))
@@ -330,6 +331,16 @@ def _meeting(keyed: DataFrame) -> DataFrame:
     return materialise(met, "met")
 
 
+def _meeting_hot(keyed: DataFrame) -> DataFrame:
+    """As :func:`_meeting`, for few rows of which one key may hold many: those are written, so that the join by key can be split."""
+    keyed = materialise(keyed, "keyed")
+    ends = keyed.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least <> most").select("key")
+    keys = materialise(ends, "keys")
+    met = materialise(keyed.join(keys, "key"), "met")
+    discard(keyed, keys)
+    return met
+
+
 def _sharing(met: DataFrame, order: str = "key") -> DataFrame:
     """Rows of ``met`` with the number of ``members`` of their key; of keys with the same members the first by ``order`` stays."""
     same = met.groupBy("key").agg(F.first(order).alias("first"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("xor"))
@@ -367,13 +378,13 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     crowded = met.join(crowds, "key").groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most a set's own keys
     unserved = materialise(texts.join(crowded, "cid").select("cid", "text", "keys").mapInArrow(_unserved(words, ends, levels), "cid long"), "unserved")
     discard(met)
-    again = _meeting(_rarest(texts.join(unserved, "cid", "left_semi"), words, percent))
+    again = _meeting_hot(_rarest(texts.join(unserved, "cid", "left_semi"), words, percent))
     groups = _sharing(again, "holders")
     discard(again)
     weight = groups.groupBy("cid").agg(F.sum("members").alias("weight"))
-    of_key = Window.partitionBy("key")
-    heaviest = F.max(F.struct("weight", "cid", "n", "before")).over(of_key)
-    starred = materialise(groups.join(weight, "cid").withColumn("pivot", heaviest).select("key", "cid", "n", "alone", "before", "pivot"), "starred")
+    weighed = groups.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "before")).alias("pivot"))
+    pivots = materialise(weighed, "pivots")
+    starred = materialise(groups.join(pivots, "key").select("key", "cid", "n", "alone", "before", "pivot"), "starred")
     # at the first shingle that a linked pair shares, all that stand before it count as differences
     fits = f"({{0}}.before + {{1}}.before) * {100 + percent} <= {100 - percent} * ({{0}}.n + {{1}}.n)"
     stars = starred.withColumn("own", F.struct("n", "before")).filter("cid <> pivot.cid").filter(F.expr(fits.format("own", "pivot"))).select(F.least("pivot.cid", "cid").alias("a"), F.greatest("pivot.cid", "cid").alias("b"))
@@ -385,7 +396,9 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     # holds differs from any other set, and of the pivot's shingles two sets lack at least as many
     # differently as the numbers that they lack differ
     parted = starred.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    parted = parted.withColumn("least", F.min("root").over(of_key)).withColumn("most", F.max("root").over(of_key)).filter("least <> most and cid <> pivot.cid")
+    several = parted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    several = materialise(several.select("key"), "several")
+    parted = parted.join(several, "key").filter("cid <> pivot.cid")
     parted = parted.withColumn("a", F.least("pivot.cid", "cid")).withColumn("b", F.greatest("pivot.cid", "cid")).join(checked, ["a", "b"], "left")
     keys = groups.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("holders", "key"))), lambda k: k["key"]).alias("keys"))  # of one set
     parted = parted.join(keys, "cid").select("key", "cid", "root", "keys", F.struct("n", "alone", "before", (F.col("pivot.n") - F.col("shared")).alias("lacks")).alias("own"))
@@ -397,5 +410,5 @@ def _roots(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataF
     if not second.isEmpty():
         more = _verify(texts, second, words).filter(linked).select("a", "b")
         roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-    discard(shared, texts, unserved, groups, starred, checked, second)
+    discard(shared, texts, unserved, groups, pivots, starred, checked, several, second)
     return roots
