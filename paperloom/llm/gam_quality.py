@@ -174,7 +174,8 @@ def train(measured: DataFrame, labels: DataFrame, parts: int = 3, held_out: int
     if rows["y"].nunique() < 2:
         return None
     model = fit(np.array(rows["x"].tolist()), rows["y"].to_numpy(float))
-    prior = float(labels.filter(remainder("doc_id", parts) != held_out).agg(F.avg(F.col(label).cast("double"))).first()[0])
+    usable = labels.filter((remainder("doc_id", parts) != held_out) & F.col(label).cast("int").isin(0, 1))
+    prior = float(usable.agg(F.avg(F.col(label).cast("double"))).first()[0])
     drawn = rows["y"].mean()
     model.base += np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))
     return model

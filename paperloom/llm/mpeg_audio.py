@@ -10,6 +10,7 @@ verifies each frame's checksum and keeps the offset of every frame.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -125,11 +126,19 @@ class Stream:
     damaged: int = 0
     ancillary: list[bytes] = field(default_factory=list)
 
+    delay: int = 0
+
+    @property
+    def lengths(self) -> tuple[int, int] | None:
+        """Bytes that the writer stored, with and without padding, by its tag; None where that is missing or another's."""
+        found = re.fullmatch(r"([0-9]{1,15})/([0-9]{1,15})", self.tags.get("payload", ""), re.ASCII)
+        return (int(found[1]), int(found[2])) if found else None
+
     @property
     def payload(self) -> bytes:
         """What the writer stored, or all ancillary data where its tag is missing."""
         data = b"".join(self.ancillary)
-        return data[: int(self.tags["payload"].split("/")[0])] if "payload" in self.tags else data
+        return data[: self.lengths[0]] if self.lengths else data
 
 
 def _id3(data: bytes) -> tuple[dict[str, str], int]:
@@ -142,7 +151,9 @@ def _id3(data: bytes) -> tuple[dict[str, str], int]:
     end, at, tags = min(len(data), 10 + size), 10, {}
     while at + 10 <= end and data[at : at + 4].isalnum():
         name = data[at : at + 4].decode("latin-1")
-        many = struct.unpack(">I", data[at + 4 : at + 8])[0]
+        many = int.from_bytes(data[at + 4 : at + 8], "big")
+        if data[3] >= 4:  # from the fourth version on sizes have seven bits a byte
+            many = sum((x & 127) << s for x, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0), strict=True))
         text = data[at + 11 : at + 10 + many].decode("latin-1")
         if name == "TXXX":
             name, _, text = text.partition("\x00")
@@ -152,6 +163,23 @@ def _id3(data: bytes) -> tuple[dict[str, str], int]:
     return tags, 10 + size
 
 
+def _table(data: bytes, at: int, end: int) -> tuple[tuple[int, int, bytes], int] | None:
+    """(frames, bytes, seek points) of a variable-bitrate table at ``at``, and the samples of encoder delay and padding that
+    stand behind it; None where there is no table.  Fields that are flagged as missing or lie beyond ``end`` are 0 or empty."""
+    number = lambda k, size: int.from_bytes(data[k : min(end, k + size)], "big") if k + size <= end else 0
+    if data[at : at + 4] == b"VBRI":
+        return (number(at + 14, 4), number(at + 10, 4), b""), 0
+    if data[at : at + 4] not in (b"Xing", b"Info"):
+        return None
+    flags, at = number(at + 4, 4), at + 8
+    frames, at = (number(at, 4), at + 4) if flags & 1 else (0, at)
+    many, at = (number(at, 4), at + 4) if flags & 2 else (0, at)
+    points, at = (data[at : min(end, at + 100)], at + 100) if flags & 4 else (b"", at)
+    at += 4 if flags & 8 else 0
+    gaps = number(at + 21, 3) if data[at : at + 4] in (b"LAME", b"Lavc", b"Lavf") else 0
+    return (frames, many, points), (gaps >> 12) + (gaps & 0xFFF)
+
+
 def read(data: bytes) -> Stream:
     """Parse a stream; bytes that belong to no believable frame are skipped and counted."""
     out = Stream()
@@ -173,11 +201,13 @@ def read(data: bytes) -> Stream:
             continue
         body = at + 4 + 2 * found.checked
         side = data[body : body + found.side]
-        if not out.offsets and out.table is None and data[body + found.side : body + found.side + 4] in (b"Xing", b"Info"):
-            flags, frames, many = struct.unpack(">III", data[body + found.side + 4 : body + found.side + 16])
-            out.table = (frames if flags & 1 else 0, many if flags & 2 else 0, data[body + found.side + 16 : body + found.side + 116] if flags & 4 else b"")
+        first = not out.offsets and out.table is None
+        # one kind of table stands behind the side information, the other always 32 bytes behind the header
+        held = (_table(data, body + found.side, next_at) or (_table(data, at + 36, next_at) if data[at + 36 : at + 40] == b"VBRI" else None)) if first else None
+        if held:
+            out.table, out.delay = held
         else:
-            if found.checked and struct.unpack(">H", data[at + 4 : at + 6])[0] != crc16(data[at + 2 : at + 4] + side):
+            if found.checked and int.from_bytes(data[at + 4 : at + 6], "big") != crc16(data[at + 2 : at + 4] + side):
                 out.damaged += 1
             out.offsets.append(at)
             out.kbits.add(found.kbits)
@@ -186,6 +216,7 @@ def read(data: bytes) -> Stream:
             out.ancillary.append(data[body + found.side : next_at])
         at, sure = next_at, True
     out.skipped += max(0, end - at)
+    out.samples = max(0, out.samples - out.delay)
     return out
 
 
@@ -222,7 +253,7 @@ def probe(media: DataFrame) -> DataFrame:
                 data = data.as_py() or b""
                 x = read(data)
                 payload = x.payload
-                unpadded = int(x.tags["payload"].split("/")[1]) if "payload" in x.tags else len(payload)
+                unpadded = x.lengths[1] if x.lengths else len(payload)
                 seconds = x.samples / x.hertz if x.hertz else 0.0
                 rows.append((doc_id, unpadded, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), len(x.offsets), x.samples, x.hertz, seconds, len(x.kbits) > 1, x.skipped, x.damaged, x.offsets))
             types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
