@@ -84,7 +84,7 @@ def agg10_totals(spark, d):
     return timelines.issue_summary(pages).agg(F.sum("issues").alias("pages"), F.sum("tokens").alias("tokens"))
 
 
-@query(f"WITH {PAIRS} SELECT pair_id, round(levenshtein(raw_text, gold_text) / length(gold_text), 6) AS cer_raw, round(levenshtein(fixed_text, gold_text) / length(gold_text), 6) AS cer_fixed, CASE WHEN raw_text = gold_text THEN 0.0 ELSE 1.0 END AS wer_raw, CASE WHEN fixed_text = gold_text THEN 0.0 ELSE 1.0 END AS wer_fixed, CASE WHEN raw_text = gold_text AND fixed_text <> raw_text THEN 1 ELSE 0 END::BIGINT AS damage_count FROM pairs")
+@query(f"WITH {PAIRS} SELECT pair_id, round(levenshtein(raw_text, gold_text) / length(gold_text), 6) AS cer_raw, round(levenshtein(fixed_text, gold_text) / length(gold_text), 6) AS cer_fixed, CAST(raw_text <> gold_text AS INTEGER)::DOUBLE AS wer_raw, CAST(fixed_text <> gold_text AS INTEGER)::DOUBLE AS wer_fixed, CASE WHEN raw_text = gold_text AND fixed_text <> raw_text THEN 1 ELSE 0 END::BIGINT AS damage_count FROM pairs")
 def eva6_evaluate(spark, d):
     """All metrics of single words, where word rates are 0 or 1."""
     out = quality.evaluate(word_pairs(spark, d))
