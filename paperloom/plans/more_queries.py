@@ -1,13 +1,13 @@
-"""Queries for whole miners and evaluations, gold pairs, answers, per-family models, word clouds and series."""
+"""Queries for whole miners and evaluations, gold pairs, answers, word clouds and series."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tokens import is_word, token_texts
-from ..operators import mentions, mining, quality, relevance, terms, timelines
+from ..functions.tokens import is_word
+from ..operators import mining, quality, relevance, terms, timelines
 from ..sources import pages as sources
-from .adapter import BLOCKS, FAMILIES, PAIRS, STOP_WORDS, blocks, labels, line_pairs, word_pairs
+from .adapter import BLOCKS, PAIRS, STOP_WORDS, blocks, line_pairs, word_pairs
 from .analysis_queries import JUDGED, MERGED, OPCODES, SPLIT, TIMELINE, TOTALS, judged, lexicon, page_table, passage_rows
 from .queries import MEASURES, SPREAD, distinct_tokens, query
 
@@ -97,13 +97,3 @@ def min7_miner(spark, d):
     phrases, words = mining.mine(line_pairs(spark, d))
     named = phrases.select(F.array_join("raw_span", " ").alias("raw"), F.array_join("fixed_span", " ").alias("fixed"), "count", F.lit("phrase").alias("kind"))
     return named.unionByName(words.select("raw", "fixed", "count", F.lit("word").alias("kind")))
-
-
-@query()
-def clf11_family_scores(spark, d):
-    """Scores of all blocks by a model for each labelled family."""
-    near = {n: F.transform(mentions.context(F.col("text"), FAMILIES[n] + ("the", "de", "der"), 20), F.lower) for n in ("first", "second")}
-    own = F.transform(token_texts(F.col("text")), F.lower)
-    rows = blocks(spark, d).select("block_id", "link", "text_id", own.alias("tokens"), *[c.alias(f"context_{n}") for n, c in near.items()])
-    _, scored = relevance.family_scores(relevance.label_join(rows, labels(spark, d)), rows, list(near), steps=30)
-    return scored.select("block_id", "score_first", "score_second")
