@@ -177,6 +177,73 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after the contract's damage: faults, the cheapest repair's edits and a hash of its turns."""
+    from .turn_repair import damage, edits, report
+
+    return report(edits(damage(tables(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named
+  FROM conversations),
+drawn AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(named) + 1), lambda i: ascii(substr(named, i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))) % 20 AS kind
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM drawn WHERE kind <> 0),
+numbered_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS nth FROM damaged),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS k,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM numbered_),
+judged AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM placed),
+priced AS (
+  SELECT conv, k, initial = 's' AND stays AS as_s, stays,
+         CASE WHEN initial = 'u' THEN 0 ELSE 2 END + extra AS cu, CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END AS lu,
+         CASE WHEN initial = 'a' THEN 0 ELSE 2 END + extra AS ca, CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END AS la, extra
+  FROM (SELECT *, coalesce(fault, '') NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra FROM judged)),
+walk(conv, k, o, s, u, a) AS (
+  SELECT DISTINCT conv, 0::BIGINT, {'c': 0, 'e': ''}, {'c': 1000000, 'e': ''}, {'c': 1000000, 'e': ''}, {'c': 1000000, 'e': ''} FROM priced
+  UNION ALL
+  SELECT w.conv, w.k + 1, {'c': o.c + 3, 'e': o.e || 'D'},
+         list_sort([{'c': s.c + 3, 'e': s.e || 'D'}, {'c': CASE WHEN as_s THEN o.c + extra ELSE 1000000 END, 'e': o.e || 'K'}])[1],
+         list_sort(list_concat([{'c': u.c + 3, 'e': u.e || 'D'}], CASE WHEN stays THEN [{'c': o.c + cu, 'e': o.e || lu}, {'c': s.c + cu, 'e': s.e || lu}, {'c': a.c + cu, 'e': a.e || lu}, {'c': u.c + 2 + cu, 'e': u.e || 'I' || lu}] ELSE [] END))[1],
+         list_sort(list_concat([{'c': a.c + 3, 'e': a.e || 'D'}], CASE WHEN stays THEN [{'c': u.c + ca, 'e': u.e || la}, {'c': o.c + 2 + ca, 'e': o.e || 'I' || la}, {'c': s.c + 2 + ca, 'e': s.e || 'I' || la}, {'c': a.c + 2 + ca, 'e': a.e || 'I' || la}] ELSE [] END))[1]
+  FROM walk w JOIN priced p ON p.conv = w.conv AND p.k = w.k + 1),
+ended AS (
+  SELECT conv, list_sort([o, a, {'c': u.c + 2, 'e': u.e || 'I'}, {'c': s.c + 4, 'e': s.e || 'II'}])[1] AS best
+  FROM walk JOIN (SELECT conv, max(k) AS k FROM priced GROUP BY conv) USING (conv, k)),
+letters AS (SELECT conv, best.e AS audit, unnest(range(1, length(best.e) + 1)) AS p FROM ended),
+numbered AS (
+  SELECT conv, p, substr(audit, p, 1) AS letter, length(replace(left(audit, p), 'I', '')) AS k, length(replace(left(audit, p), 'D', '')) AS j
+  FROM letters),
+stayed AS (
+  SELECT n.conv, p, letter, n.j, r.role, r.text, bool_or(letter = 'K' AND n.j = 1 AND r.initial = 's') OVER (PARTITION BY n.conv) AS led
+  FROM numbered n LEFT JOIN judged r ON r.conv = n.conv AND r.k = n.k WHERE letter <> 'D'),
+written AS (
+  SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body
+  FROM stayed GROUP BY conv),
+counted AS (
+  SELECT conv, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (ahead IS NOT NULL AND ahead || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY k) AS ahead FROM judged) GROUP BY conv)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended USING (conv) LEFT JOIN written USING (conv)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -196,6 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_additive_quality": op8_additive_quality,
         "op9_robust_quality_rules": op9_robust_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }
 
@@ -204,4 +272,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_temperature_mixing": OP4_SQL,
         "op5_line_site_spread": OP5_SQL,
+        "op13_conversation_repair": OP13_SQL,
     }
