@@ -149,13 +149,8 @@ def damage(turns: DataFrame) -> DataFrame:
     return once.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "time")
 
 
-def _turns(turns: DataFrame) -> DataFrame:
-    """One exchange: a conversation's edits and its digest are a sequence."""
-    return turns.select("conv_id", "turn", "role", "text", F.coalesce("gone", F.lit(False)).alias("gone")).repartition("conv_id")
-
-
 def edits(turns: DataFrame) -> DataFrame:
-    """The cheapest edits of each conversation of ``turns`` (conv_id, turn, role, text, and ``gone`` for marks of lost turns), in
+    """The cheapest edits of each conversation of ``turns`` (conv_id, turn, role, text, and if there is one ``gone``, true for marks of lost turns), in
     order: conv_id, step, edit (K, R, D, I), turn, was (the role before), role, text, fault, cost.  Dropping the rows with edit D
     leaves the repaired conversation.
 
@@ -163,8 +158,10 @@ def edits(turns: DataFrame) -> DataFrame:
     roles and texts count as one space; a null conv_id is a conversation; one without turns but marks gives a single row
     without edit; further columns are left out; an empty table gives an empty result."""
     small_batches(turns.sparkSession)
-    filled = turns.withColumns({c: F.when(~F.col("gone"), F.coalesce(F.col(c), F.lit(" "))) for c in ("role", "text")})
-    rows = faults(_turns(filled)).withColumn("initial", F.substring("role", 1, 1))
+    gone = F.coalesce("gone", F.lit(False)) if "gone" in turns.columns else F.lit(False)
+    said = [F.when(~gone, F.coalesce(F.col(c), F.lit(" "))).alias(c) for c in ("role", "text")]
+    # one exchange: a conversation's edits and their digest are one sequence each
+    rows = faults(turns.select("conv_id", "turn", *said, gone.alias("gone")).repartition("conv_id")).withColumn("initial", F.substring("role", 1, 1))
     order = [F.col("conv_id").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ("turn", "role", "text", "nth")]]
     back = [F.col("conv_id").asc_nulls_first(), *[F.col(c).desc_nulls_last() for c in ("turn", "role", "text", "nth")]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", k long, system long, user long, assistant long, start long"
