@@ -177,6 +177,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of all for each benchmark item."""
+    from .ranked_search import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), tables(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+asked AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+item_terms AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(t) AS term FROM asked) GROUP BY ALL),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM texts),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM texts) WHERE term IN (SELECT term FROM item_terms) GROUP BY r, term),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counts, totals GROUP BY term, n_docs),
+sized AS (SELECT r, doc_id, 100 - 25 + (25 * len(t) * n_docs) // n_terms AS m FROM texts, totals WHERE len(t) > 0),
+scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM item_terms JOIN counts USING (term) JOIN weighed USING (term) JOIN sized USING (r) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= 20
+"""
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations after the contract's damage: faults, the cheapest repair's edits and a hash of its turns."""
     from .turn_repair import damage, edits, report
@@ -263,6 +286,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_additive_quality": op8_additive_quality,
         "op9_robust_quality_rules": op9_robust_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_ranked_search": op12_ranked_search,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }
@@ -272,5 +296,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_temperature_mixing": OP4_SQL,
         "op5_line_site_spread": OP5_SQL,
+        "op12_ranked_search": OP12_SQL,
         "op13_conversation_repair": OP13_SQL,
     }

@@ -16,13 +16,21 @@ U = np.uint64
 BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = _LETTER[_FOLD]
-_LETTER[_BLANK] = 0
+
+
+def alphabet(blank: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Values of the bytes of words that ``blank`` bytes part; with ``fold`` A-Z have those of a-z."""
+    letters = _BYTE[_FOLD] if fold else _BYTE.copy()
+    letters[blank] = 0
+    return letters
+
+
+BLANK, _LETTER = _BLANK, alphabet(_BLANK)
 _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _MIX = (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -63,11 +71,12 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a block, their first bytes, and for each row the place of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK, letters: np.ndarray = _LETTER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a block, their first bytes, and for each row the place of its first word (one more at the end);
+    ``blank`` marks the bytes between words, ``letters`` is their :func:`alphabet`."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    blank = _BLANK[data]
+    blank = blank[data]
     first = np.empty(len(data), bool)
     first[0] = True
     first[1:] = blank[:-1]
@@ -77,7 +86,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(starts):
         return np.zeros(0, np.uint64), starts, at
     power, unpower = _power(len(data))
-    sums = np.add.reduceat(_LETTER[data] * power, starts)
+    sums = np.add.reduceat(letters[data] * power, starts)
     return mix(sums * unpower[starts]), starts, at
 
 
