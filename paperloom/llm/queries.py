@@ -177,6 +177,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words in windows of 13 that a document with a smaller id holds."""
+    from pyspark.sql import functions as F
+
+    from .substring_index import remove_repeats
+
+    cleaned = remove_repeats(documents(spark, sf_dir), ["doc_id"])
+    return cleaned.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("cleaned").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, id, k, array_to_string(w[k:k + 12], ' ') AS win FROM (SELECT r, id, w, unnest(range(1, len(w) - 11)) AS k FROM texts)),
+least AS (SELECT win, min(id) AS first FROM windows GROUP BY win HAVING min(id) < max(id)),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 13)) AS k FROM windows JOIN least USING (win) WHERE first < id),
+placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM texts),
+kept AS (SELECT p.r, string_agg(word, ' ' ORDER BY p.k) AS said, count(*) AS n FROM placed p ANTI JOIN gone g ON p.r = g.r AND p.k = g.k GROUP BY p.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of all for each benchmark item."""
     from .ranked_search import ranked_search
@@ -286,6 +308,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_additive_quality": op8_additive_quality,
         "op9_robust_quality_rules": op9_robust_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_ranked_search": op12_ranked_search,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
@@ -296,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_temperature_mixing": OP4_SQL,
         "op5_line_site_spread": OP5_SQL,
+        "op11_substring_dedup": OP11_SQL,
         "op12_ranked_search": OP12_SQL,
         "op13_conversation_repair": OP13_SQL,
     }

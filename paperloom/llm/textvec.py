@@ -45,7 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd base and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _UNBASE)):
             out = np.full(max(n, BLOCK), base, np.uint64)
@@ -85,7 +86,7 @@ def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK, let
     at = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, at
-    power, unpower = _power(len(data))
+    power, unpower = powers(len(data))
     sums = np.add.reduceat(letters[data] * power, starts)
     return mix(sums * unpower[starts]), starts, at
 
