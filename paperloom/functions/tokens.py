@@ -46,9 +46,14 @@ def listed(token: Column, words: Sequence[str]) -> Column:
     return token.isin(list(words)) if words else F.lit(False)
 
 
+def analysis_terms(words: Column, stop_words: Sequence[str]) -> Column:
+    """Of a token array the lower-cased alphabetic ones of two letters or more that are neither stop words nor marks."""
+    return F.filter(F.transform(words, F.lower), lambda t: ~listed(t, stop_words) & ~is_mark(t) & t.rlike(r"^\p{L}+$") & (F.length(t) > 1))
+
+
 def analysis_tokens(text: Column, stop_words: Sequence[str]) -> Column:
-    """Lower-cased alphabetic tokens of two letters or more that are neither stop words nor marks."""
-    return F.filter(F.transform(token_texts(text), F.lower), lambda t: ~listed(t, stop_words) & ~is_mark(t) & t.rlike(r"^\p{L}+$") & (F.length(t) > 1))
+    """:func:`analysis_terms` of a text."""
+    return analysis_terms(token_texts(text), stop_words)
 
 
 def is_word(text: Column) -> Column:

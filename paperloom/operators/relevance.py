@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .machines import Machines, train
+
 KEY = ("link", "text_id")
+#: Labelled rows of either label that the machines learn from, at most: a hash of the key picks them.
+LABELLED = 2000
 
 
 def label_join(blocks: DataFrame, labels: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -34,14 +36,14 @@ def relevant(label: Column, count: Column, score: Column, threshold: float = 0.5
     return F.when(label.isNotNull(), label == 0).otherwise((count > 0) & (score < threshold))
 
 
-def fold(df: DataFrame, label: str, key: str, folds: int = 5, buckets: int = 256) -> DataFrame:
-    """Add ``fold``: stratified by label, in the order of a hash of the key.  Places are counted in two levels, buckets of a
+def fold(df: DataFrame, label: str, key: str, folds: int = 5, buckets: int = 256, salt: str = "") -> DataFrame:
+    """Add ``fold``: stratified by label, in the order of a hash of the key and ``salt``.  Places are counted in two levels, buckets of a
     label and rows of a bucket, so that a label is no one task's."""
-    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(key, F.lit(salt)) if salt else F.xxhash64(key), F.lit(buckets)))
     sizes = placed.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
     bases = sizes.select(F.col(label).alias("__label"), F.col("__bucket").alias("__b"), before.alias("__base"))  # a row per label and bucket
-    inside = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
+    inside = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(salt)).cast("binary")), key))
     joined = placed.withColumn("__place", inside).join(F.broadcast(bases), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__b")))
     return joined.withColumn("fold", ((F.col("__base") + F.col("__place") - 1) % folds).cast("int")).select(*df.columns, "fold")
 
@@ -69,88 +71,115 @@ def tf_idf(df: DataFrame, key: str, tokens: str, least: int = 2) -> DataFrame:
     return counts.join(document_frequencies(df, key, tokens, least), "term").select(key, "term", "tf", (F.col("tf") * F.log(F.lit(n + 1.0) / (F.col("df") + 1))).alias("tfidf"))
 
 
-def features(full: str = "tokens", near: str = "context", least: int = 2) -> list:
-    """Stages for normalised TF-IDF of a block's words and of its contexts' words and word pairs."""
-    stages = [NGram(n=2, inputCol=near, outputCol="__pairs")]
-    for name in (full, near, "__pairs"):
-        stages += [CountVectorizer(inputCol=name, outputCol=f"__c_{name}", minDF=float(least)), IDF(inputCol=f"__c_{name}", outputCol=f"__i_{name}"), Normalizer(inputCol=f"__i_{name}", outputCol=f"__n_{name}")]
-    return [*stages, VectorAssembler(inputCols=[f"__n_{n}" for n in (full, near, "__pairs")], outputCol="features")]
+def sampled(rows: DataFrame, label: str = "label", key: str = "block_id", most: int = LABELLED) -> DataFrame:
+    """The rows of label 0 or 1 if there are at most ``most`` of it, else about as many, by a hash of the key."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] in (0, 1)}  # a row a label
+    share = lambda k: min(1 << 30, (most << 30) // max(1, counts.get(k, 0)))
+    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30))
+    return rows.filter(F.col(label).isin(0, 1)).filter(draw < F.when(F.col(label) == 1, share(1)).otherwise(share(0)))
 
 
+@dataclass
 class CalibratedSVM:
-    """A linear SVM whose margins logistic regressions turn into probabilities, one pair for each fold."""
-
-    def __init__(self, featurizer: PipelineModel, folds: list[PipelineModel]):
-        self.featurizer, self.folds = featurizer, folds
+    """Linear SVMs whose margins sigmoids turn into probabilities, a pair for each fold: of a block's terms in ``columns[0]`` and its
+    contexts' terms and pairs in the others."""
 
-    @classmethod
-    def fit(cls, rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, cost: float = 1.0, steps: int = 50) -> CalibratedSVM:
-        rows = rows.persist()
-        featurizer = Pipeline(stages=features()).fit(rows)
-        ready = fold(featurizer.transform(rows), label, key, folds).withColumn("label", F.col(label).cast("double")).select("features", "label", "fold").cache()
-        n = ready.count()
-        models = []
-        for k in range(folds):
-            svm = LinearSVC(regParam=1 / (cost * max(1, n)), maxIter=steps, rawPredictionCol="margin", predictionCol="__svm").fit(ready.filter(F.col("fold") != k))
-            held = VectorAssembler(inputCols=["margin"], outputCol="margins").transform(svm.transform(ready.filter(F.col("fold") == k)).drop("features").withColumn("margin", vector_to_array("margin")[1]))
-            sigmoid = LogisticRegression(featuresCol="margins", maxIter=steps, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__l").fit(held)
-            models.append((svm, sigmoid))
-        ready.unpersist()
-        rows.unpersist()
-        return cls(featurizer, models)
+    machines: Machines
 
     def save(self, path: str) -> None:
-        """Write the fitted model below ``path``."""
-        self.featurizer.write().overwrite().save(f"{path}/features")
-        for k, (svm, sigmoid) in enumerate(self.folds):
-            svm.write().overwrite().save(f"{path}/svm{k}")
-            sigmoid.write().overwrite().save(f"{path}/sigmoid{k}")
-        SparkSession.getActiveSession().createDataFrame([(len(self.folds),)], "folds int").coalesce(1).write.mode("overwrite").parquet(f"{path}/folds")
+        """Write the model below ``path``."""
+        self.machines.save(path)
 
     @classmethod
     def load(cls, path: str) -> CalibratedSVM:
-        folds = SparkSession.getActiveSession().read.parquet(f"{path}/folds").first()["folds"]
-        return cls(PipelineModel.load(f"{path}/features"), [(LinearSVCModel.load(f"{path}/svm{k}"), LogisticRegressionModel.load(f"{path}/sigmoid{k}")) for k in range(folds)])
+        return cls(Machines.load(path))
 
     def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        """Add the mean of the folds' probabilities of label 1."""
-        now = self.featurizer.transform(rows)
-        total = F.lit(0.0)
-        for k, (svm, sigmoid) in enumerate(self.folds):
-            now = svm.transform(now).withColumn(f"__m{k}", vector_to_array("margin")[1]).drop("margin", "__svm")
-            margin = F.col(f"__m{k}") * float(sigmoid.coefficients[0]) + float(sigmoid.intercept)
-            total = total + 1 / (1 + F.exp(-margin))
-        return now.withColumn(out, total / len(self.folds)).select(*rows.columns, out)
+        """Add the mean of the folds' probabilities of label 1; null arrays count as empty."""
+        full, *near = self.machines.columns
+        seen = rows.select(F.struct(*rows.columns).alias("__kept"), F.col(full), *[with_pairs(F.col(c)).alias(c) for c in near])
+        return self.machines.score(seen, out).select("__kept.*", out)
+
+
+def _learning(rows: DataFrame, label: str, key: str, folds: Column, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Training rows as :func:`machines.train` reads them, written once: their number must not change."""
+    near = [with_pairs(F.col(c)).alias(c) for c in columns[1:]]
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), folds.alias("folds"), columns[0], *near, *extra), "learning")
+
+
+def family_machines(labelled: DataFrame, near: dict[str, str], label: str = "label", key: str = "block_id", folds: int = 5, cost: float = 1.0, steps: int = 100) -> tuple[dict[str, CalibratedSVM], DataFrame]:
+    """A model for each family of ``near`` (to the column of its contexts) from the rows of ``labelled`` with that ``word_type``, all
+    trained in the same sweeps (at most ``steps``); and those rows as key, word_type, label, fold, margin and probability by the
+    machine of the fold that left them out."""
+    families, columns = list(near), ["tokens", *dict.fromkeys(near.values())]
+    rows = labelled.filter(F.col("word_type").isin(families)).withColumn("__kind", F.struct("word_type", label))
+    rows = fold(rows, "__kind", key, folds)
+    own = F.array(*[F.when(F.col("word_type") == f, F.col("fold")).otherwise(-1) for f in families])
+    read = _learning(rows, label, key, own, columns, ["word_type", "fold"])
+    uses = np.array([[c in ("tokens", near[f]) for c in columns] for f in families])
+    machines, margins = train(read, columns, len(families), folds, uses, cost, sweeps=steps)
+    models = {f: CalibratedSVM(_own(machines, o, columns, near[f])) for o, f in enumerate(families)}
+    place = F.array_position(F.array(*map(F.lit, families)), F.col("word_type")).cast("int") - 1
+    held = read.join(margins, "row").withColumn("__at", place * folds + F.col("fold"))
+    values = lambda x: F.get(F.array(*[F.lit(float(v)) for v in x.ravel()]), F.col("__at"))
+    margin = F.get("margins", F.col("__at"))
+    chance = 1 / (1 + F.exp(values(machines.slope) * margin + values(machines.shift)))
+    return models, held.select(F.col("key").alias(key), "word_type", F.col("label").alias(label), "fold", margin.alias("margin"), chance.alias("probability"))
+
+
+def _own(machines: Machines, o: int, columns: Sequence[str], near: str) -> Machines:
+    one = machines.space(o)
+    kept = [k for k, c in enumerate(columns) if c in ("tokens", near)]
+    one.columns, one.terms = tuple(columns[k] for k in kept), [one.terms[k] for k in kept]
+    return one
 
 
 def family_scores(labelled: DataFrame, blocks: DataFrame, families: Sequence[str], label: str = "label", key: str = "block_id", **fitting) -> tuple[dict[str, CalibratedSVM], DataFrame]:
-    """A model for each of ``families`` from the rows of ``labelled`` with that ``word_type``, and all ``blocks`` with a column
-    ``score_<family>`` of each; ``context_<family>`` holds a family's context where there is such a column, else ``context``."""
-    models = {}
-    for family in families:
-        near = f"context_{family}" if f"context_{family}" in blocks.columns else "context"
-        rows = labelled.filter(F.col("word_type") == family)
-        own = CalibratedSVM.fit(rows.select(key, label, "tokens", F.col(near).alias("context")), label, key, **fitting)
-        models[family] = own
-        kept = blocks.columns
-        seen = blocks.withColumn("__kept", F.struct(*kept)).select("__kept", "tokens", F.col(near).alias("context"))
-        blocks = own.score(seen, f"score_{family}").select("__kept.*", f"score_{family}")
+    """A model for each of ``families``, and all ``blocks`` with a column ``score_<family>`` of each; ``context_<family>`` holds a
+    family's context where there is such a column, else ``context``."""
+    near = {f: f"context_{f}" if f"context_{f}" in blocks.columns else "context" for f in families}
+    models, _ = family_machines(labelled, near, label, key, **fitting)
+    for family, model in models.items():
+        blocks = model.score(blocks, f"score_{family}")
     return models, blocks
 
 
-def cross_validate(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, steps: int = 30) -> DataFrame:
-    """(fold, accuracy, precision, recall, f1, roc_auc) of the uncalibrated SVM on held-out folds."""
-    parted = fold(rows, label, key, folds).cache()
-    spark, out = rows.sparkSession, []
-    for k in range(folds):
-        learn = parted.filter(F.col("fold") != k).withColumn("label", F.col(label).cast("double"))
-        model = Pipeline(stages=[*features(), LinearSVC(maxIter=steps, regParam=0.01)]).fit(learn)
-        tried = model.transform(parted.filter(F.col("fold") == k)).select(F.col(label).cast("double").alias(label), "prediction", "rawPrediction").cache()
-        t = tried.agg(*[F.count_if((F.col(label) == a) & (F.col("prediction") == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)]).first()
-        area = BinaryClassificationEvaluator(labelCol=label, numBins=0).evaluate(tried)
-        tried.unpersist()
-        right, hit = t.c00 + t.c11, t.c11
-        precision, recall = hit / max(1, t.c11 + t.c01), hit / max(1, t.c11 + t.c10)
-        out.append((k, right / max(1, sum(t)), precision, recall, 2 * precision * recall / max(1e-12, precision + recall), area))
-    parted.unpersist()
-    return spark.createDataFrame(out, "fold int, accuracy double, precision double, recall double, f1 double, roc_auc double")
+def out_of_fold(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, steps: int = 100, cost: float = 1.0) -> DataFrame:
+    """(key, label, fold, score): each row's probability of label 1 by the calibrated model of the other folds' rows, of ``tokens`` and
+    every column ``context`` or ``context_<name>``.  Vocabulary, frequencies, machines and calibration see those rows alone."""
+    columns = ["tokens", *(c for c in rows.columns if c == "context" or c.startswith("context_"))]
+    outer = fold(rows, label, key, folds).withColumnRenamed("fold", "outer").withColumn("__kind", F.struct(label, "outer"))
+    parted = fold(outer, "__kind", key, folds, salt="inner")
+    sets = F.array(*[F.when(F.col("outer") == o, -1).otherwise(F.col("fold")) for o in range(folds)])
+    read = _learning(parted, label, key, sets, columns, ["outer"])
+    machines, margins = train(read, columns, folds, folds, cost=cost, sweeps=steps)
+    flat = lambda x: F.array(*[F.lit(float(v)) for v in x.ravel()])
+    at = lambda k: F.col("outer") * folds + k
+    chances = [1 / (1 + F.exp(F.get(flat(machines.slope), at(k)) * F.get("margins", at(k)) + F.get(flat(machines.shift), at(k)))) for k in range(folds)]
+    score = sum(chances[1:], chances[0]) / folds
+    return read.join(margins, "row").select(F.col("key").alias(key), F.col("label").alias(label), F.col("outer").alias("fold"), score.alias("score"))
+
+
+def rank_metrics(scored: DataFrame, label: str = "label", score: str = "score", by: str = "fold", threshold: float = 0.5, buckets: int = 1024) -> DataFrame:
+    """(by, accuracy, precision, recall, f1, roc_auc) of scores from 0 to 1.  The area counts, for each row of label 1, the rows of label 0 below
+    it and half of those level with it: places are summed in two levels, buckets of scores and scores of a bucket.  A ratio
+    without rows to divide by is 0, an area without both labels null."""
+    one, none = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
+    rows = scored.select(F.col(by).alias("by"), F.col(label).alias("y"), F.col(score).alias("s"), F.floor(F.col(score) * buckets).alias("b"))
+    levels = rows.groupBy("by", "b", "s").agg(one.alias("ones"), none.alias("zeros"), F.count_if((F.col("y") == 1) & (F.col("s") > threshold)).alias("hit"), F.count_if((F.col("y") == 0) & (F.col("s") > threshold)).alias("false"))
+    before = Window.partitionBy("by").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most a row a bucket
+    bases = levels.groupBy("by", "b").agg(F.sum("zeros").alias("zeros")).select("by", "b", F.coalesce(F.sum("zeros").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("by", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = levels.withColumn("below", F.coalesce(F.sum("zeros").over(inside), F.lit(0))).join(bases, ["by", "b"])
+    sums = ranked.groupBy("by").agg(F.sum("ones").alias("p"), F.sum("zeros").alias("n"), F.sum("hit").alias("hit"), F.sum("false").alias("false"), F.sum(F.col("ones") * (F.col("base") + F.col("below") + F.col("zeros") / 2)).alias("wins"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    hit, false, p, n = (F.col(c) for c in ("hit", "false", "p", "n"))
+    return sums.select(
+        F.col("by").alias(by), ratio(hit + n - false, p + n).alias("accuracy"), ratio(hit, hit + false).alias("precision"), ratio(hit, p).alias("recall"),
+        ratio(2 * hit, hit + false + p).alias("f1"), F.try_divide("wins", p * n).alias("roc_auc"),
+    )
+
+
+def cross_validate(rows: DataFrame, label: str = "label", key: str = "block_id", folds: int = 5, steps: int = 100) -> DataFrame:
+    """(fold, accuracy, precision, recall, f1, roc_auc) of the calibrated model on held-out folds."""
+    return rank_metrics(out_of_fold(rows, label, key, folds, steps), label)

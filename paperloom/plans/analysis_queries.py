@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tokens import token_texts
+from ..functions.tokens import analysis_terms, analysis_tokens, token_texts
 from ..operators import correct, dictionary, mentions, mining, quality, relevance, spelling, terms, timelines
 from ..sources import pages as sources
 from .adapter import BLOCKS, FAMILIES, LABELS, PAIRS, STOP_WORDS, WORDS, blocks, labels, line_pairs, word_pairs, words
@@ -449,10 +449,28 @@ def clf18_score_histogram(spark, d):
     return quality.histogram(judged(spark, d).withColumn("score", F.round("score", 6)), "score", 0.0, 1.0, 10)
 
 
+def learning_blocks(spark, d):
+    """All blocks with their analysis tokens and a context for each of the two families that have models."""
+    text = F.col("text")
+    near = [analysis_terms(mentions.context(text, FAMILIES[f], 20), STOP_WORDS).alias(f"context_{f}") for f in MODELLED]
+    return blocks(spark, d).select("block_id", "link", "text_id", analysis_tokens(text, STOP_WORDS).alias("tokens"), *near)
+
+
+MODELLED = ("first", "second")
+
+
 def training_rows(spark, d):
-    near = F.transform(mentions.context(F.col("text"), (*TERMS, "the", "de", "der"), 20), F.lower)
-    rows = blocks(spark, d).select("block_id", "link", "text_id", mentions.lower_tokens(F.col("text")).alias("tokens"), near.alias("context"))
-    return relevance.label_join(rows, labels(spark, d).filter("word_type <> 'third'"))
+    return relevance.sampled(relevance.label_join(learning_blocks(spark, d), labels(spark, d).filter(F.col("word_type").isin(*MODELLED))))
+
+
+def family_models(spark, d):
+    return relevance.family_machines(training_rows(spark, d), {f: f"context_{f}" for f in MODELLED})
+
+
+@query()
+def clf9_platt(spark, d):
+    """Labelled blocks by the machine and sigmoid of the fold that left them out."""
+    return family_models(spark, d)[1]
 
 
 @query()
@@ -460,10 +478,35 @@ def clf10_cv_metrics(spark, d):
     return relevance.cross_validate(training_rows(spark, d))
 
 
+@query(f"""WITH {COUNTED}, {LABELS}, s AS (SELECT word_type, label, 1 - first_count / (first_count + 2.0) AS score FROM counted JOIN marks USING (link, text_id)),
+n AS (SELECT *, count(*) FILTER (label = 0) OVER (PARTITION BY word_type ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, count(*) FILTER (label = 0) OVER (PARTITION BY word_type, score) AS level FROM s),
+c AS (SELECT word_type, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n, count(*) FILTER (label = 1 AND score > 0.5) AS hit, count(*) FILTER (label = 0 AND score > 0.5) AS wrong, sum(upto - level / 2) FILTER (label = 1) AS wins FROM n GROUP BY word_type)
+SELECT word_type, round((hit + n - wrong) / (p + n), 6) AS accuracy, round(coalesce(hit / nullif(hit + wrong, 0), 0), 6) AS precision, round(coalesce(hit / nullif(p, 0), 0), 6) AS recall,
+round(coalesce(2 * hit / nullif(hit + wrong + p, 0), 0), 6) AS f1, round(wins / nullif(p * n, 0), 6) AS roc_auc FROM c""")
+def clf10_rank_metrics(spark, d):
+    """How well the absence of mentions alone tells irrelevant blocks."""
+    rows = relevance.label_join(counted(spark, d), labels(spark, d)).withColumn("score", 1 - F.col("first_count") / (F.col("first_count") + 2.0))
+    out = relevance.rank_metrics(rows, by="word_type")
+    return out.select("word_type", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
+@query()
+def clf11_family_models(spark, d):
+    """The machines of each family: every term's idf and its weight in each fold."""
+    out = None
+    for family, model in family_models(spark, d)[0].items():
+        table = model.machines.table(spark).withColumn("word_type", F.lit(family))
+        out = table if out is None else out.unionByName(table)
+    return out.select("word_type", "part", "term", "idf", "weights")
+
+
 @query()
 def clf12_scores(spark, d):
-    rows = training_rows(spark, d)
-    return relevance.CalibratedSVM.fit(rows).score(rows).select("block_id", "label", "score")
+    """All blocks by the model of each family."""
+    scored = learning_blocks(spark, d).drop("link", "text_id")
+    for family, model in family_models(spark, d)[0].items():
+        scored = model.score(scored, f"score_{family}")
+    return scored.select("block_id", *[f"score_{f}" for f in MODELLED])
 
 
 # passages and terms
