@@ -82,8 +82,9 @@ def _bucket(anchor: np.ndarray) -> np.ndarray:
     return (anchor & U(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _pieces(shared: np.ndarray):
-    """Of the anchors in the filter: anchor, piece (hash), id and hash of the document, first word and the words' hashes."""
+def _pieces(shared: np.ndarray, said: bool):
+    """Of the anchors in the filter: anchor, piece (hash) and id of the document, with the words' hashes if ``said``, else the
+    hash of the document, the first word and how many they are."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +101,16 @@ def _pieces(shared: np.ndarray):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)])])
                 piece = mix((sums[end] - sums[first]) * unpower[first] + (end - first).astype(np.uint64))
                 sizes = end - first
+                columns = [pa.array(x) for x in (anchor.view(np.int64), piece.view(np.int64), ids[start + row])]
+                if not said:
+                    columns += [pa.array(x) for x in (texts[start + row], (first - at[row]).astype(np.int32), sizes.astype(np.int32))]
+                    yield pa.record_batch(columns, ["anchor", "piece", "id", "hash", "start", "n"])
+                    continue
                 inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 content = hashes[np.repeat(first, sizes) + inside]
                 offsets = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
-                said = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(content)])
-                columns = [anchor.view(np.int64), piece.view(np.int64), ids[start + row], texts[start + row], (first - at[row]).astype(np.int32)]
-                yield pa.record_batch([*map(pa.array, columns), said], ["anchor", "piece", "id", "hash", "start", "words"])
+                columns.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(content)]))
+                yield pa.record_batch(columns, ["anchor", "piece", "id", "words"])
 
     return pieces
 
@@ -302,28 +307,32 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     anchors = docs.select("id", "text").mapInArrow(_anchors, "anchor long, id long")
     shared = materialise(anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("anchor"), "anchors")
-    schema = "anchor long, piece long, id long, hash long, start int, words binary"
-    pieces = materialise(docs.select("id", "hash", "text").mapInArrow(_pieces(_filter(shared)), schema), "pieces")
+    bits = _filter(shared)
     discard(shared)
-    one = pieces.groupBy("anchor", "piece").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("places"), F.first("words").alias("words"))
+    # the words of a piece are written once, not wherever it stands
+    said = docs.select("id", "hash", "text").mapInArrow(_pieces(bits, True), "anchor long, piece long, id long, words binary")
+    one = said.groupBy("anchor", "piece").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("places"), F.first("words").alias("words"))
     one = materialise(one, "distinct")
     crowds = materialise(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("anchor"), "crowds")
     n_crowds = crowds.count()
     small_batches(spark, 20_000)
-    quiet, found = one, None
+    quiet, found, left = one, None, []
     if n_crowds:
         marked = spread_join(one, crowds.withColumn("crowd", F.lit(True)), ["anchor"], n_crowds <= HOT, [F.col("piece")], "left")
         quiet = marked.filter("crowd is null").drop("crowd")
-        found = _crowded(materialise(marked.filter("crowd").drop("crowd"), "busy"))
+        busy = materialise(marked.filter("crowd").drop("crowd"), "busy")
+        found = _crowded(busy)
+        left = [busy, found]
     searched = quiet.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor long, piece long, owner long, places long, bits long")
     searched = materialise(searched, "searched")
     found = searched if found is None else found.unionByName(searched)
+    discard(one, crowds)
+    pieces = materialise(docs.select("id", "hash", "text").mapInArrow(_pieces(bits, False), "anchor long, piece long, id long, hash long, start int, n int"), "pieces")
     # a piece that stands in very many places is joined by broadcast: of those there are HOT at most
-    at = pieces.select("anchor", "piece", "id", "hash", "start", (F.length("words") / 8).cast("int").alias("n"))
     often = max(1000, pieces.count() // HOT + 1)
     key = ["anchor", "piece"]
     hot = F.broadcast(found.filter(F.col("places") >= often).select(*key, F.col("owner").alias("hot_owner"), F.col("bits").alias("hot_bits")))
-    tried = at.join(hot, key, "left")
+    tried = pieces.join(hot, key, "left")
     rest = tried.filter("hot_owner is null").join(found.filter(F.col("places") < often).select(*key, "owner", "bits"), key)
     both = tried.filter("hot_owner is not null").select("id", "hash", "start", "n", F.col("hot_owner").alias("owner"), F.col("hot_bits").alias("bits"))
     both = both.unionByName(rest.select("id", "hash", "start", "n", "owner", "bits"))
@@ -331,7 +340,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     marks = both.select("id", "hash", F.struct("start", F.when(F.col("id") > F.col("owner"), whole).otherwise(F.col("bits")).alias("bits")).alias("mark")).filter("mark.bits <> 0")
     out = materialise(marks.groupBy("id", "hash").agg(F.collect_set("mark").alias("marks")), "marks")  # of one document
     small_batches(spark)
-    discard(pieces, one, crowds, searched, found)
+    discard(pieces, searched, *left)
     return out
 
 
