@@ -27,7 +27,7 @@ from .textvec import BLANK, U, alphabet, blocks, mix, powers, words
 #: Words of a window, of the runs whose hashes anchor it, and windows of a piece at most (so that its words fit 32 bits).
 WINDOW, GRAM, RUN = 13, 5, 20
 #: Words of a shard's index, and different pieces of an anchor up to which they stay together.
-SHARD, CROWD = 1 << 18, 4096
+SHARD, CROWD = 1 << 18, 512
 #: Bits of the filter of shared anchors, whatever the input's size.
 FILTER_BITS = 1 << 26
 #: Pieces that are joined by broadcast because they stand in many places: so many at most.
