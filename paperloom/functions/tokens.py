@@ -71,7 +71,7 @@ def affix(s: Column, part: int) -> Column:
 
 
 def norm_token(s: Column) -> Column:
-    return F.lower(F.regexp_replace(s, "^[,.;:!?]+|[,.;:!?]+$", ""))
+    return F.lower(F.btrim(s, F.lit(",.;:!?")))
 
 
 def is_upper(s: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import analysis_terms, analysis_tokens, token_texts
 from ..operators import correct, dictionary, mentions, mining, quality, relevance, spelling, terms, timelines
 from ..sources import pages as sources
-from .adapter import BLOCKS, FAMILIES, LABELS, PAIRS, STOP_WORDS, WORDS, blocks, labels, line_pairs, word_pairs, words
+from .adapter import BLOCKS, FAMILIES, LABELS, PAIRS, STOP_WORDS, WORDS, blocks, labels, line_pairs, misread, word_pairs, words
 from .queries import COUNTED, KNOWN, MEASURES, PAGES, RX, SPREAD, SUSPECT, TERMS, TITLE, TOKENS, UPPER, counted, query, quoted
 
 # timelines
@@ -282,6 +282,39 @@ def fix1_phrase_apply(spark, d):
     return out.select("block_id", F.md5(F.col("text_patched").cast("binary")).alias("text_md5"))
 
 
+#: Mined phrases of 2 to 5 tokens; of places that begin one the longest counts, and islands of overlapping ones are walked from their start.
+REWRITTEN = OPCODES + f""", freq AS (SELECT raw_span AS span, fixed_span, count(*) AS count FROM ops WHERE NOT same AND len(raw_span) BETWEEN 2 AND 5 GROUP BY ALL HAVING count(*) >= 2),
+keyed AS (SELECT array_to_string({NORMED}, chr(1)) AS key, array_to_string(fixed_span, ' ') AS fix, row_number() OVER (PARTITION BY {NORMED} ORDER BY count, array_to_string(span, chr(1)) DESC, array_to_string(fixed_span, chr(1)) DESC) AS place FROM freq),
+rt AS (SELECT block_id, raw, regexp_extract_all(raw, '{RX}', 1) AS t, regexp_extract_all(raw, '{RX}', 2) AS ws FROM (SELECT block_id, replace(replace(text, 'th', 'tb'), 'o', '0') AS raw FROM blocks)),
+nt AS (SELECT block_id, {NORMED.replace("span", "t")} AS t FROM rt),
+spans AS (SELECT block_id, i, n, array_to_string(t[i:i + n - 1], chr(1)) AS key FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT *, unnest([2, 3, 4, 5]) AS n FROM nt))),
+best AS (SELECT block_id, i, max(n) AS n, arg_max(fix, n) AS fix FROM spans JOIN keyed USING (key) WHERE place = 1 GROUP BY block_id, i),
+islands AS (SELECT *, sum(CASE WHEN before >= i THEN 0 ELSE 1 END) OVER (PARTITION BY block_id ORDER BY i) AS island FROM (SELECT *, max(i + n - 1) OVER (PARTITION BY block_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY block_id, island ORDER BY i) AS k FROM islands),
+walk(block_id, island, k, free, taken) AS (
+  SELECT block_id, island, k, i + n, true FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT m.block_id, m.island, m.k, CASE WHEN m.i >= w.free THEN m.i + m.n ELSE w.free END, m.i >= w.free FROM walk w JOIN ranked m ON m.block_id = w.block_id AND m.island = w.island AND m.k = w.k + 1),
+taken AS (SELECT r.block_id, r.i, r.n, r.fix FROM ranked r JOIN walk w USING (block_id, island, k) WHERE w.taken),
+inner_ AS (SELECT block_id, i AS begun, unnest(range(i, i + n)) AS i, fix FROM taken),
+every AS (SELECT block_id, unnest(t) AS x, unnest(ws) AS w, generate_subscripts(t, 1) AS i FROM rt),
+lasts AS (SELECT block_id, begun, max(i) AS i FROM inner_ GROUP BY block_id, begun),
+pieces AS (SELECT e.block_id, e.i, CASE WHEN n.begun IS NULL THEN e.x || e.w ELSE CASE WHEN n.begun = e.i THEN n.fix ELSE '' END || CASE WHEN l.i IS NOT NULL THEN e.w ELSE '' END END AS piece
+  FROM every e LEFT JOIN inner_ n ON n.block_id = e.block_id AND n.i = e.i LEFT JOIN lasts l ON l.block_id = e.block_id AND l.i = e.i),
+bodies AS (SELECT block_id, string_agg(piece, '' ORDER BY i) AS body FROM pieces GROUP BY block_id)"""
+
+
+def mined_index(spark, d):
+    return mining.patch_index(mining.frequent_phrases(mining.phrase_counts(mining.opcodes(line_pairs(spark, d)))))
+
+
+@query(f"WITH RECURSIVE {REWRITTEN} SELECT block_id, md5(regexp_extract(raw, '^(\\s*)', 1) || coalesce(body, '')) AS text_md5 FROM rt LEFT JOIN bodies USING (block_id)")
+def fix1_mined_phrases(spark, d):
+    """Misread texts with all phrases of 2 to 5 tokens that their lines' alignment with the gold text gives."""
+    misread_blocks = blocks(spark, d).withColumn("text", misread(F.col("text")))
+    return correct.apply_phrases(misread_blocks, mined_index(spark, d)).select("block_id", F.md5(F.col("text_patched").cast("binary")).alias("text_md5"))
+
+
 @query(f"WITH {MINED}, m AS (SELECT raw, fixed FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY count DESC, fixed) AS place FROM mined) WHERE place = 1) SELECT raw AS token, fixed FROM m WHERE length(raw) > 2 AND lower(raw) <> lower(fixed)")
 def fix2_word_map(spark, d):
     mapping = mining.word_map(mined(spark, d))
