@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = "{http://www.loc.gov/standards/alto/ns-v2#}"
+#: Fixed value: how the namespaces of the page format begin, whatever their version.
+SPACE = "http://www.loc.gov/standards/alto/ns-v"
 BLOCK = "id string, height string, width string, hpos string, vpos string, lines array<struct<v:string,h:string,text:string>>"
 
 
@@ -18,36 +19,85 @@ def int_attr(value: Column) -> Column:
     return F.coalesce(value.cast("double").cast("int"), F.lit(0))
 
 
-def _line(line: ET.Element) -> str:
-    kinds = {f"{SPACE}String": lambda x: x.get("CONTENT", ""), f"{SPACE}SP": lambda x: " ", f"{SPACE}HYP": lambda x: x.get("CONTENT") or "-"}
-    return "".join(kinds[x.tag](x) for x in line if x.tag in kinds)
+class _Page:
+    """Blocks of one page from the parser's events, without a tree: what lies open is on a stack, with the block or line that it is."""
+
+    def __init__(self) -> None:
+        self.blocks: list[dict] = []
+        self.open: list[tuple[str, dict | None]] = [("", None)]
+
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        space, _, local = name.rpartition(" ")
+        above, holder = self.open[-1]
+        made = None
+        if local == "TextBlock" and space.startswith(SPACE):
+            made = {a.lower(): attributes.get(a) for a in ("ID", "HEIGHT", "WIDTH", "HPOS", "VPOS")} | {"lines": []}
+            self.blocks.append(made)
+        elif local == "TextLine" and space.startswith(SPACE) and above == "TextBlock" and holder is not None:
+            made = {"v": attributes.get("VPOS"), "h": attributes.get("HPOS"), "text": []}
+            holder["lines"].append(made)
+        elif above == "TextLine" and holder is not None:
+            if local == "String":
+                holder["text"].append(attributes.get("CONTENT", ""))
+            elif local == "SP":
+                holder["text"].append(" ")
+            elif local == "HYP":
+                holder["text"].append(attributes.get("CONTENT") or "-")
+        self.open.append((local, made))
+
+    def end(self, name: str) -> None:
+        local, made = self.open.pop()
+        if local == "TextLine" and made is not None:
+            made["text"] = "".join(made["text"])
+
+
+def page_blocks(xml: bytes | memoryview | pa.Buffer, piece: int = 1 << 16) -> list[dict] | None:
+    """The text blocks of a page, which is parsed a piece at a time; None where it isn't well-formed."""
+    page, parser = _Page(), expat.ParserCreate("utf-8", " ")
+    parser.StartElementHandler, parser.EndElementHandler = page.start, page.end
+    data = memoryview(xml)
+    try:
+        for at in range(0, len(data), piece):
+            parser.Parse(data[at : at + piece], False)
+        parser.Parse(b"", True)
+    except expat.ExpatError:
+        return None
+    return page.blocks
 
 
 def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """A row per text block of ``pages`` in document order, with ``block_idx`` and its raw ``lines``; pages that are not
-    well-formed have ``bad_xml`` set and no block.  A column of ``pages`` named like one of a block's comes back as ``page_`` and its name."""
+    well-formed have ``bad_xml`` set and no block.  A column of ``pages`` named like one of a block's comes back as ``page_`` and its name.
+    The other columns stay Arrow data; any version of the page format's namespace counts."""
     own = ["block_idx", "bad_xml", "id", "height", "width", "hpos", "vpos", "lines", "text"]
     pages = pages.withColumnsRenamed({c: f"page_{c}" for c in pages.columns if c != xml and c.lower() in own})
     keys = [c for c in pages.columns if c != xml]
-
-    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                text, base = row.pop(xml), row
-                try:
-                    root = ET.fromstring(text)
-                except (ET.ParseError, TypeError):
-                    out.append(base | {"block_idx": None, "bad_xml": True, "lines": None})
-                    continue
-                for k, block in enumerate(root.iter(f"{SPACE}TextBlock")):
-                    lines = [{"v": x.get("VPOS"), "h": x.get("HPOS"), "text": _line(x)} for x in block.findall(f"{SPACE}TextLine")]
-                    out.append(base | {"block_idx": k, "bad_xml": False, "lines": lines} | {a.lower(): block.get(a) for a in ("ID", "HEIGHT", "WIDTH", "HPOS", "VPOS")})
-            columns = [*keys, "block_idx", "bad_xml", "id", "height", "width", "hpos", "vpos", "lines"]
-            yield pd.DataFrame(out, columns=columns, dtype=object)
+    fields = ("id", "height", "width", "hpos", "vpos")
+    line = pa.list_(pa.struct([("v", pa.string()), ("h", pa.string()), ("text", pa.string())]))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, places, found = [], [], []
+
+            def told() -> pa.RecordBatch:
+                columns = [batch.column(c).take(pa.array(of, pa.int64())) for c in keys]  # noqa: B023
+                columns += [pa.array(places, pa.int32()), pa.array([f is None for f in found])]  # noqa: B023
+                columns += [pa.array([f and f[n] for f in found], pa.string()) for n in fields] + [pa.array([f and f["lines"] for f in found], line)]  # noqa: B023
+                return pa.record_batch(columns, [*keys, "block_idx", "bad_xml", *fields, "lines"])
+
+            for row, text in enumerate(batch.column(xml)):
+                blocks = page_blocks(text.as_buffer()) if text.is_valid else None
+                for k, block in [(None, None)] if blocks is None else enumerate(blocks):
+                    of.append(row)
+                    places.append(k)
+                    found.append(block)
+                if len(found) >= 10_000:
+                    yield told()
+                    of, places, found = [], [], []
+            yield told()
 
     types = dict(pages.dtypes)
-    return pages.mapInPandas(parsed, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["block_idx int, bad_xml boolean", BLOCK]))
+    return pages.select(*keys, xml).mapInArrow(parsed, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["block_idx int, bad_xml boolean", BLOCK]))
 
 
 def ordered_lines(lines: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import remove, written
+from .scripts import sliced
 
 #: Rows that one task trains on at a time; passes over them within a sweep.  Rows of one part need a sweep or two, more parts some dozens.
 PART, EPOCHS = 5000, 12
@@ -124,7 +125,7 @@ def _places(terms: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def _dots(held, columns: Sequence[str], names: list[str], state: list[str], size: int, goes_on: bool):
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf, weights = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             sums, norms = [], []
             for c, name in enumerate(columns):
                 row, place, count = _places(terms[c], batch.column(name))
@@ -148,7 +149,7 @@ def _encode(held, columns: Sequence[str], parts: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = held.value
         bases = np.cumsum([0, *(len(t) for t in terms)])
-        for batch in batches:
+        for batch in sliced(batches):
             found = [_places(t, batch.column(c)) for t, c in zip(terms, columns, strict=True)]
             row = np.concatenate([f[0] for f in found])
             order = np.argsort(row, kind="stable")

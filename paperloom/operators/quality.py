@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mining import aligned
+from .mining import opcodes_of
+from .scripts import edit_script, with_measures
 
 
 def cer(text: Column, gold: Column) -> Column:
@@ -35,61 +33,59 @@ def improvement(raw: Column, fixed: Column) -> Column:
     return F.struct((raw - fixed).alias("absolute"), F.when(raw > 0, (raw - fixed) / raw).otherwise(0.0).alias("relative"))
 
 
-def _script(src: list[str], dst: list[str]) -> set[tuple]:
-    """A shortest edit script as a set; from the end, keep or replace before delete before insert."""
-    n, m = len(src), len(dst)
-    cost = [[max(i, j) if not (i and j) else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + (src[i - 1] != dst[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-    out, i, j = set(), n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (src[i - 1] != dst[j - 1]):
-            i, j = i - 1, j - 1
-            if src[i] != dst[j]:
-                out.add(("replace", i, src[i], dst[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-            out.add(("delete", i, src[i], ""))
-        else:
-            j -= 1
-            out.add(("insert", i, "", dst[j]))
-    return out
+def _edits(src: list[str], dst: list[str]) -> set[tuple]:
+    """The shortest edit script of :func:`edit_script` as a set of (tag, place, word, word instead)."""
+    return {(tag, i, "" if tag == "insert" else src[i], "" if tag == "delete" else dst[j]) for tag, i, j in edit_script(src, dst)}
 
 
-def edit_scores(pairs: DataFrame) -> DataFrame:
-    """(pair_id, edit_precision, edit_recall) of ``pairs`` (pair_id, raw_text, gold_text, fixed_text)."""
+def _edit_scores(raw: str, gold: str, fixed: str) -> tuple[float, float]:
+    raw = raw.split()
+    right, done = _edits(raw, gold.split()), _edits(raw, fixed.split())
+    hit = len(right & done)
+    return hit / len(done) if done else 1.0, hit / len(right) if right else 1.0
+
+
+def _damage(raw: list[str], gold: list[str], fixed: list[str]) -> tuple[float, int, int]:
+    """Words equal to gold in the alignment: what part of them, and how many, the fixed text changes or drops, and how many there are."""
+    now: list[str | None] = [None] * len(raw)
+    for tag, i1, i2, j1, j2 in opcodes_of(raw, fixed):
+        if tag in ("equal", "replace"):
+            for k in range(min(i2 - i1, j2 - j1)):
+                now[i1 + k] = fixed[j1 + k]
+    clean = [i for tag, i1, i2, _, _ in opcodes_of(raw, gold) if tag == "equal" for i in range(i1, i2)]
+    bad = sum(now[i] != raw[i] for i in clean)
+    return bad / len(clean) if clean else 0.0, bad, len(clean)
+
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for pair_id, raw, gold, fixed in frame.itertuples(index=False):
-                right, done = _script(raw.split(), gold.split()), _script(raw.split(), fixed.split())
-                hit = len(right & done)
-                rows.append((pair_id, hit / len(done) if done else 1.0, hit / len(right) if right else 1.0))
-            yield pd.DataFrame(rows, columns=["pair_id", "edit_precision", "edit_recall"])
+TEXTS = ("raw_text", "gold_text", "fixed_text")
+EDITS, DAMAGE = "edit_precision double, edit_recall double", "damage_rate double, damage_count long, clean_token_count long"
 
-    return pairs.select("pair_id", "raw_text", "gold_text", "fixed_text").mapInPandas(scored, f"pair_id {dict(pairs.dtypes)['pair_id']}, edit_precision double, edit_recall double")
+
+def _said(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in TEXTS})
+
+
+def edit_scores(pairs: DataFrame) -> DataFrame:
+    """(pair_id, edit_precision, edit_recall) of ``pairs`` (pair_id, raw_text, gold_text, fixed_text); a null text counts as empty, and
+    every row is judged alone, whatever its pair_id."""
+    return with_measures(_said(pairs).select("pair_id", *TEXTS), TEXTS, EDITS, _edit_scores)
 
 
 def damage(pairs: DataFrame) -> DataFrame:
-    """(pair_id, damage_rate, damage_count, clean_token_count): words that were right and that the correction changed or dropped."""
-    split = pairs.select("pair_id", words(F.col("raw_text")).alias("a"), words(F.col("gold_text")).alias("b"), words(F.col("fixed_text")).alias("c"))
-    same = aligned(split, lower=False).filter("tag = 'equal'").select("pair_id", F.explode(F.sequence("i1", F.col("i2") - 1)).alias("i"))
-    ops = aligned(split.select("pair_id", "a", F.col("c").alias("b")), lower=False).filter("i2 > i1")
-    fixed = ops.select("pair_id", F.posexplode("raw_span").alias("k", "raw"), "i1", "tag", "fixed_span").select("pair_id", (F.col("i1") + F.col("k")).alias("i"), "raw", F.when(F.col("tag") != "delete", F.get("fixed_span", F.col("k"))).alias("now"))
-    judged = same.join(fixed, ["pair_id", "i"], "left").withColumn("bad", (F.coalesce(F.col("now") != F.col("raw"), F.lit(True))).cast("int"))
-    counted = judged.groupBy("pair_id").agg(F.sum("bad").alias("damage_count"), F.count(F.lit(1)).alias("clean_token_count"))
-    return pairs.select("pair_id").join(counted, "pair_id", "left").select("pair_id", F.coalesce(F.try_divide("damage_count", "clean_token_count"), F.lit(0.0)).alias("damage_rate"), F.coalesce("damage_count", F.lit(0)).cast("long").alias("damage_count"), F.coalesce("clean_token_count", F.lit(0)).cast("long").alias("clean_token_count"))
+    """(pair_id, damage_rate, damage_count, clean_token_count): words that were right and that the correction changed or dropped;
+    nulls and repeated ids as in :func:`edit_scores`."""
+    split = _said(pairs).select("pair_id", *[words(F.col(c)).alias(c) for c in TEXTS])
+    return with_measures(split, TEXTS, DAMAGE, _damage)
 
 
 def evaluate(pairs: DataFrame) -> DataFrame:
-    """All metrics of ``pairs`` (pair_id, raw_text, gold_text, fixed_text)."""
-    raw, gold, fixed = (F.col(c) for c in ("raw_text", "gold_text", "fixed_text"))
-    rates = pairs.select("pair_id", cer(raw, gold).alias("cer_raw"), cer(fixed, gold).alias("cer_fixed"), wer(raw, gold).alias("wer_raw"), wer(fixed, gold).alias("wer_fixed"))
+    """All metrics of ``pairs`` (pair_id, raw_text, gold_text, fixed_text), a row each; nulls and repeated ids as in :func:`edit_scores`."""
+    raw, gold, fixed = (F.col(c) for c in TEXTS)
+    lists = [words(F.col(c)).alias(f"{c}_words") for c in TEXTS]
+    rates = _said(pairs).select("pair_id", cer(raw, gold).alias("cer_raw"), cer(fixed, gold).alias("cer_fixed"), wer(raw, gold).alias("wer_raw"), wer(fixed, gold).alias("wer_fixed"), *TEXTS, *lists)
     better = improvement(F.col("cer_raw"), F.col("cer_fixed"))
     rates = rates.withColumn("cer_improvement_abs", better["absolute"]).withColumn("cer_improvement_pct", better["relative"])
-    return rates.join(edit_scores(pairs), "pair_id").join(damage(pairs), "pair_id")
+    return with_measures(rates, [*TEXTS, *(f"{c}_words" for c in TEXTS)], f"{EDITS}, {DAMAGE}", lambda a, b, c, x, y, z: (*_edit_scores(a, b, c), *_damage(x, y, z)))
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -482,18 +482,20 @@ def clf18_score_histogram(spark, d):
     return quality.histogram(judged(spark, d).withColumn("score", F.round("score", 6)), "score", 0.0, 1.0, 10)
 
 
-def learning_blocks(spark, d):
-    """All blocks with their analysis tokens and a context for each of the two families that have models."""
-    text = F.col("text")
-    near = [analysis_terms(mentions.context(text, FAMILIES[f], 20), STOP_WORDS).alias(f"context_{f}") for f in MODELLED]
-    return blocks(spark, d).select("block_id", "link", "text_id", analysis_tokens(text, STOP_WORDS).alias("tokens"), *near)
+MODELLED = ("first", "second")
 
 
-MODELLED = ("first", "second")
+def with_features(rows, *kept):
+    """Analysis tokens of the texts and of a context for each of the two families that have models."""
+    text = F.col("text")
+    near = [analysis_terms(mentions.context(text, FAMILIES[f], 20), STOP_WORDS).alias(f"context_{f}") for f in MODELLED]
+    return rows.select(*kept, analysis_tokens(text, STOP_WORDS).alias("tokens"), *near)
 
 
 def training_rows(spark, d):
-    return relevance.sampled(relevance.label_join(learning_blocks(spark, d), labels(spark, d).filter(F.col("word_type").isin(*MODELLED))))
+    """The sample's blocks; only their texts are taken apart."""
+    marks = relevance.sampled(labels(spark, d).filter(F.col("word_type").isin(*MODELLED)), key="text_id")
+    return with_features(relevance.label_join(blocks(spark, d), marks).repartition("block_id"), "block_id", "label", "word_type")
 
 
 def family_models(spark, d):
@@ -536,7 +538,7 @@ def clf11_family_models(spark, d):
 @query()
 def clf12_scores(spark, d):
     """All blocks by the model of each family."""
-    scored = learning_blocks(spark, d).drop("link", "text_id")
+    scored = with_features(blocks(spark, d), "block_id")
     for family, model in family_models(spark, d)[0].items():
         scored = model.score(scored, f"score_{family}")
     return scored.select("block_id", *[f"score_{f}" for f in MODELLED])
