@@ -62,7 +62,7 @@ class Machines:
         of = np.repeat(np.arange(len(self.terms)), [len(t) for t in self.terms])
         table = pa.table({
             "place": np.arange(len(self.weights)), "part": np.append(of, -1), "term": pa.concat_arrays([*(t.cast(pa.string()) for t in self.terms), pa.array([""])]),
-            "idf": pa.array(np.vstack([self.idf, np.zeros((1, shape[1]))]).tolist()), "weights": pa.array(self.weights.reshape(shape[0], -1).tolist()),
+            "idf": _lists(np.vstack([self.idf, np.zeros((1, shape[1]))])), "weights": _lists(self.weights.reshape(shape[0], -1)),
         })
         spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/terms")
         flat = [(list(self.columns), shape, *(x.ravel().tolist() for x in (self.slope, self.shift, self.primal, self.gap)))]
@@ -75,38 +75,51 @@ class Machines:
         one = spark.read.parquet(f"{path}/machines").first()
         table = spark.read.parquet(f"{path}/terms").toArrow().sort_by("place")
         part, term = table["part"].to_numpy(), table["term"].combine_chunks()
-        matrix = lambda name: np.array(table[name].to_pylist(), np.float64)
+        matrix = lambda name: pc.list_flatten(table[name].combine_chunks()).to_numpy().reshape(len(part), -1)
         folds = [np.array(one[n]).reshape(one.shape[1:]) for n in ("slope", "shift", "primal", "gap")]
-        return cls(tuple(one.columns), [term.filter(pa.array(part == k)) for k in range(len(one.columns))], matrix("idf")[:-1], matrix("weights").reshape(one.shape), *folds)
+        return cls(tuple(one.columns), [term.filter(pa.array(part == k)) for k in range(len(one.columns))], matrix("idf")[:-1].copy(), matrix("weights").reshape(one.shape).copy(), *folds)
 
     def table(self, spark: SparkSession, o: int = 0) -> DataFrame:
         """(part, term, idf, weights) of one space, the intercept last, with a null part."""
         of = [c for c, t in zip(self.columns, self.terms, strict=True) for _ in range(len(t))]
         rows = pa.table({
             "part": pa.array([*of, None], pa.string()), "term": pa.concat_arrays([*(t.cast(pa.string()) for t in self.terms), pa.array([""])]),
-            "idf": pa.array(np.append(self.idf[:, o], 1.0)), "weights": pa.array(list(self.weights[:, o]), pa.list_(pa.float64())),
+            "idf": pa.array(np.append(self.idf[:, o], 1.0)), "weights": _lists(self.weights[:, o]),
         })
         return spark.createDataFrame(rows)
 
-    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        """Add the mean of the folds' probabilities of label 1 by the machines of the first space; a null array counts as empty."""
-        scored, size, bases = rows, self.weights.shape[2], self.bases
-        state, names = [f"__{c}{k}" for c in ("dot", "norm") for k in range(len(self.terms))], rows.columns
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        most = max([1, *(len(t) for t in self.terms)])
+    def score(self, rows: DataFrame, outs: str | Sequence[str] = "score", keep: Sequence[str] | None = None) -> DataFrame:
+        """Add, for each space, the mean of its folds' probabilities of label 1, under the names ``outs``; a null array counts as empty.
+        ``keep``: the columns that stay, all by default."""
+        names, outs = list(rows.columns if keep is None else keep), [outs] if isinstance(outs, str) else list(outs)
+        spaces, size = self.weights.shape[1:]
+        bases, most = self.bases, max([1, *(len(t) for t in self.terms)])
+        state = [f"__{c}{k}" for c in ("dot", "norm") for k in range(len(self.terms))]
+        kept = list(dict.fromkeys([*names, *self.columns]))
+        types = dict(rows.dtypes)
+        scored = rows.select(*kept)
         for at in range(0, most, HELD_TERMS):
             part = [t.slice(at, HELD_TERMS) for t in self.terms]
             spans = [slice(min(a + at, b), min(a + at + HELD_TERMS, b)) for a, b in zip(bases[:-1], bases[1:], strict=True)]
-            held = rows.sparkSession.sparkContext.broadcast((part, [self.idf[s, 0] for s in spans], [self.weights[s, 0] for s in spans]))
-            made = ", ".join([kinds, *(f"{s} {'array<double>' if s.startswith('__dot') else 'double'}" for s in state)])
-            scored = scored.mapInArrow(_dots(held, self.columns, names, state, size, at > 0), made)
-        total = F.lit(0.0)
-        for k in range(size):
-            margin = F.lit(float(self.weights[-1, 0, k]))
-            for c in range(len(self.terms)):
-                margin = margin + F.when(F.col(f"__norm{c}") > 0, F.get(F.col(f"__dot{c}"), F.lit(k)) / F.sqrt(f"__norm{c}")).otherwise(0.0)
-            total = total + 1 / (1 + F.exp(margin * float(self.slope[0, k]) + float(self.shift[0, k])))
-        return scored.select(*names, (total / size).alias(out))
+            held = rows.sparkSession.sparkContext.broadcast((part, [self.idf[x] for x in spans], [self.weights[:-1][x] for x in spans]))
+            now = kept if at + HELD_TERMS < most else names
+            made = ", ".join([*(f"`{c}` {types[c]}" for c in now), *(f"{x} array<double>" for x in state)])
+            scored = scored.mapInArrow(_dots(held, self.columns, now, state, spaces, size, at > 0), made)
+        found = []
+        for o, out in enumerate(outs):
+            total = F.lit(0.0)
+            for k in range(size):
+                margin = F.lit(float(self.weights[-1, o, k]))
+                for c in range(len(self.terms)):
+                    norm = F.get(F.col(f"__norm{c}"), F.lit(o))
+                    margin = margin + F.when(norm > 0, F.get(F.col(f"__dot{c}"), F.lit(o * size + k)) / F.sqrt(norm)).otherwise(0.0)
+                total = total + 1 / (1 + F.exp(margin * float(self.slope[o, k]) + float(self.shift[o, k])))
+            found.append((total / size).alias(out))
+        return scored.select(*names, *found)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def _places(terms: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,23 +135,23 @@ def _places(terms: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return key // (len(terms) + 1), key % (len(terms) + 1), count
 
 
-def _dots(held, columns: Sequence[str], names: list[str], state: list[str], size: int, goes_on: bool):
+def _dots(held, columns: Sequence[str], names: list[str], state: list[str], spaces: int, size: int, goes_on: bool):
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf, weights = held.value
         for batch in sliced(batches):
-            sums, norms = [], []
+            sums, norms, n = [], [], len(batch)
             for c, name in enumerate(columns):
                 row, place, count = _places(terms[c], batch.column(name))
-                value = count * idf[c][place]
-                norm = np.bincount(row, value * value, len(batch)).astype(np.float64)  # whole numbers where there is none
-                dot = np.stack([np.bincount(row, value * weights[c][place, k], len(batch)) for k in range(size)], 1).astype(np.float64)
+                value = count[:, None] * idf[c][place]
+                # whole numbers where there is none
+                norm = np.stack([np.bincount(row, value[:, o] ** 2, n) for o in range(spaces)], 1).astype(np.float64)
+                dot = np.stack([np.bincount(row, value[:, o] * weights[c][place, o, k], n) for o in range(spaces) for k in range(size)], 1).astype(np.float64)
                 if goes_on:
-                    norm = norm + batch.column(f"__norm{c}").to_numpy()
-                    dot = dot + np.array(batch.column(f"__dot{c}").to_pylist()).reshape(-1, size)
-                flat = pa.array(dot.ravel(), pa.float64())
-                sums.append(pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * size), flat))
-                norms.append(pa.array(norm, pa.float64()))
-            yield pa.record_batch([*(batch.column(n) for n in names), *sums, *norms], [*names, *state])
+                    norm = norm + np.array(batch.column(f"__norm{c}").to_pylist()).reshape(n, -1)
+                    dot = dot + np.array(batch.column(f"__dot{c}").to_pylist()).reshape(n, -1)
+                for lists, values in ((sums, dot), (norms, norm)):
+                    lists.append(_lists(values))
+            yield pa.record_batch([*(batch.column(x) for x in names), *sums, *norms], [*names, *state])
 
     return dots
 
@@ -272,7 +285,7 @@ def train(rows: DataFrame, columns: Sequence[str], spaces: int, folds: int, uses
     uses = np.ones((spaces, len(columns)), bool) if uses is None else uses
     found = vocabulary(rows, columns, spaces, least).toArrow().sort_by([("column", "ascending"), ("term", "ascending")])
     column = found["column"].to_numpy()
-    df = np.array(found["df"].to_pylist(), np.float64).reshape(-1, spaces)
+    df = pc.list_flatten(found["df"].combine_chunks()).to_numpy().reshape(-1, spaces)
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.get("folds", F.lit(o)) >= 0).alias(f"n{o}") for o in range(spaces)]).first()
     idf = np.log((1 + np.array([sizes[f"n{o}"] for o in range(spaces)])) / (1 + df)) + 1
     idf[(df < least) | ~uses.T[column].reshape(df.shape)] = 0
@@ -294,15 +307,18 @@ def train(rows: DataFrame, columns: Sequence[str], spaces: int, folds: int, uses
         out = blocks.mapInArrow(_sweep(held, bases, cost, parts, sweep), kinds).groupBy("kind", "at").agg(*[F.sum(v).alias(v) for v in flat]).toArrow()
         held.destroy()
         kind, at = out["kind"].to_numpy(), out["at"].to_numpy()
-        matrix = np.stack([out[v].to_numpy() for v in flat], 1).reshape(-1, spaces, folds)
-        size = (weights**2).sum(0)
-        primal = size / 2 + cost * matrix[kind == 0].sum(0)
+        losses, rows_at, terms_at = kind == 0, np.searchsorted(ids, at[kind == 1]), at[kind == 2]
+        size = np.einsum("jok,jok->ok", weights, weights)
+        loss = np.array([out[v].to_numpy()[losses].sum() for v in flat]).reshape(spaces, folds)
+        primal = size / 2 + cost * loss
         gap = primal - (duals.sum(0) - size / 2 - (duals**2).sum(0) / (4 * cost))
         if (gap <= tolerance * np.maximum(primal, 1e-12)).all() or sweep == sweeps:
             break
-        duals, weights = duals.copy(), weights.copy()
-        duals[np.searchsorted(ids, at[kind == 1])] = matrix[kind == 1]
-        weights[at[kind == 2]] += matrix[kind == 2]
+        for k, v in enumerate(flat):  # a machine at a time: no second copy of all weights
+            column = out[v].to_numpy()
+            duals[rows_at, k // folds, k % folds] = column[kind == 1]
+            weights[terms_at, k // folds, k % folds] += column[kind == 2]
+        del out, column
     held = context.broadcast((idf, weights))
     margins = written(blocks.mapInArrow(_margins(held, bases), "row long, margins array<double>"), "margins")
     blocks.unpersist()

@@ -94,11 +94,14 @@ class CalibratedSVM:
     def load(cls, path: str) -> CalibratedSVM:
         return cls(Machines.load(path))
 
-    def score(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        """Add the mean of the folds' probabilities of label 1; null arrays count as empty."""
+    def score(self, rows: DataFrame, out: str | Sequence[str] = "score", keep: Sequence[str] | None = None) -> DataFrame:
+        """Add the mean of the folds' probabilities of label 1, of joint machines a column for each family; null arrays count as empty;
+        ``keep``: the columns of ``rows`` that stay, all by default."""
         full, *near = self.machines.columns
-        seen = rows.select(F.struct(*rows.columns).alias("__kept"), F.col(full), *[with_pairs(F.col(c)).alias(c) for c in near])
-        return self.machines.score(seen, out).select("__kept.*", out)
+        kept = list(rows.columns if keep is None else keep)
+        outs = [out] if isinstance(out, str) else list(out)
+        seen = rows.select(F.struct(*kept).alias("__kept"), F.col(full), *[with_pairs(F.col(c)).alias(c) for c in near])
+        return self.machines.score(seen, outs, ["__kept"]).select("__kept.*", *outs)
 
 
 def _learning(rows: DataFrame, label: str, key: str, folds: Column, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -107,8 +110,8 @@ def _learning(rows: DataFrame, label: str, key: str, folds: Column, columns: Seq
     return written(rows.select(F.monotonically_increasing_id().alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), folds.alias("folds"), columns[0], *near, *extra), "learning")
 
 
-def family_machines(labelled: DataFrame, near: dict[str, str], label: str = "label", key: str = "block_id", folds: int = 5, cost: float = 1.0, steps: int = 100) -> tuple[dict[str, CalibratedSVM], DataFrame]:
-    """A model for each family of ``near`` (to the column of its contexts) from the rows of ``labelled`` with that ``word_type``, all
+def joint_machines(labelled: DataFrame, near: dict[str, str], label: str = "label", key: str = "block_id", folds: int = 5, cost: float = 1.0, steps: int = 100) -> tuple[CalibratedSVM, DataFrame]:
+    """The machines of each family of ``near`` (to the column of its contexts) from the rows of ``labelled`` with that ``word_type``, all
     trained in the same sweeps (at most ``steps``); and those rows as key, word_type, label, fold, margin and probability by the
     machine of the fold that left them out."""
     families, columns = list(near), ["tokens", *dict.fromkeys(near.values())]
@@ -118,13 +121,18 @@ def family_machines(labelled: DataFrame, near: dict[str, str], label: str = "lab
     read = _learning(rows, label, key, own, columns, ["word_type", "fold"])
     uses = np.array([[c in ("tokens", near[f]) for c in columns] for f in families])
     machines, margins = train(read, columns, len(families), folds, uses, cost, sweeps=steps)
-    models = {f: CalibratedSVM(_own(machines, o, columns, near[f])) for o, f in enumerate(families)}
     place = F.array_position(F.array(*map(F.lit, families)), F.col("word_type")).cast("int") - 1
     held = read.join(margins, "row").withColumn("__at", place * folds + F.col("fold"))
     values = lambda x: F.get(F.array(*[F.lit(float(v)) for v in x.ravel()]), F.col("__at"))
     margin = F.get("margins", F.col("__at"))
     chance = 1 / (1 + F.exp(values(machines.slope) * margin + values(machines.shift)))
-    return models, held.select(F.col("key").alias(key), "word_type", F.col("label").alias(label), "fold", margin.alias("margin"), chance.alias("probability"))
+    return CalibratedSVM(machines), held.select(F.col("key").alias(key), "word_type", F.col("label").alias(label), "fold", margin.alias("margin"), chance.alias("probability"))
+
+
+def family_machines(labelled: DataFrame, near: dict[str, str], label: str = "label", key: str = "block_id", **fitting) -> tuple[dict[str, CalibratedSVM], DataFrame]:
+    """As :func:`joint_machines`, with a model for each family by its name."""
+    joint, held = joint_machines(labelled, near, label, key, **fitting)
+    return {f: CalibratedSVM(_own(joint.machines, o, joint.machines.columns, c)) for o, (f, c) in enumerate(near.items())}, held
 
 
 def _own(machines: Machines, o: int, columns: Sequence[str], near: str) -> Machines:

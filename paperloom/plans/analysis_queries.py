@@ -538,10 +538,8 @@ def clf11_family_models(spark, d):
 @query()
 def clf12_scores(spark, d):
     """All blocks by the model of each family."""
-    scored = with_features(blocks(spark, d), "block_id")
-    for family, model in family_models(spark, d)[0].items():
-        scored = model.score(scored, f"score_{family}")
-    return scored.select("block_id", *[f"score_{f}" for f in MODELLED])
+    joint, _ = relevance.joint_machines(training_rows(spark, d), {f: f"context_{f}" for f in MODELLED})
+    return joint.score(with_features(blocks(spark, d), "block_id"), [f"score_{f}" for f in MODELLED], ["block_id"])
 
 
 # passages and terms

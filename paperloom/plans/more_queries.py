@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import is_word
-from ..operators import mining, quality, relevance, terms, timelines
+from ..operators import mining, quality, relevance, tagging, terms, timelines
 from ..sources import pages as sources
 from .adapter import BLOCKS, PAIRS, STOP_WORDS, blocks, line_pairs, word_pairs
 from .analysis_queries import JUDGED, MERGED, OPCODES, SPLIT, TIMELINE, TOTALS, judged, lexicon, page_table, passage_rows
-from .queries import MEASURES, SPREAD, distinct_tokens, query
+from .queries import MEASURES, RX, SPREAD, TERMS, TOKENS, distinct_tokens, query, quoted
 
 
 @query(f"WITH {SPREAD} SELECT token, regexp_matches(token, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]') AS is_word FROM distinct_tokens")
@@ -97,3 +97,60 @@ def min7_miner(spark, d):
     phrases, words = mining.mine(line_pairs(spark, d))
     named = phrases.select(F.array_join("raw_span", " ").alias("raw"), F.array_join("fixed_span", " ").alias("fixed"), "count", F.lit("phrase").alias("kind"))
     return named.unionByName(words.select("raw", "fixed", "count", F.lit("word").alias("kind")))
+
+
+#: Log-likelihood of a period behind each word, and sentences that end where no abbreviation stands.
+ABBREVIATED = TOKENS + f""", gaps AS (SELECT *, regexp_extract_all(text, '{RX}', 2) AS ws FROM toks),
+follow AS (SELECT unnest(l) AS word, unnest(ws) AS s, unnest(list_append(l[2:], NULL)) AS ahead FROM gaps WHERE len(l) > 0),
+seen AS (SELECT word, count(*) AS n, count(*) FILTER (s = '' AND ahead = '.') AS before FROM follow GROUP BY word),
+rate AS (SELECT sum(n) FILTER (word = '.')::DOUBLE / sum(n)::DOUBLE AS p FROM seen),
+rated AS (SELECT word, n, before, length(replace(word, '.', '')) AS k, length(word) - length(replace(word, '.', '')) + 1 AS inside,
+  before * ln(p) + (n - before) * ln(1 - p) - before * ln(0.99) - (n - before) * ln(1 - 0.99) AS worse FROM seen, rate WHERE before > 0 AND regexp_full_match(word, '[\\p{{L}}.]*\\p{{L}}')),
+short AS (SELECT word, n, before, -2 * worse * exp(-k) * inside * pow(k::DOUBLE, -(n - before)::DOUBLE) AS score FROM rated WHERE -2 * worse * exp(-k) * inside * pow(k::DOUBLE, -(n - before)::DOUBLE) >= 0.3),
+list_ AS (SELECT coalesce(list(word), []) AS known FROM short),
+ends AS (SELECT g.*, list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('!', '?') OR (t[i] = '.' AND NOT (i > 1 AND ws[i - 1] = '' AND list_contains(known, l[i - 1])))) AS e FROM gaps g, list_)"""
+
+
+def abbreviated_words(spark, d):
+    """The words alone: short ones, as the score falls by e with every letter."""
+    return [r.word for r in tagging.abbreviations(blocks(spark, d)).select("word").collect()]
+
+
+@query(f"WITH {ABBREVIATED} SELECT word, n, before, round(score, 6) AS score FROM short")
+def wcl3_abbreviations(spark, d):
+    return tagging.abbreviations(blocks(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {ABBREVIATED} SELECT block_id, len(e) AS sentences, coalesce(list_sum(e), 0)::BIGINT AS places FROM ends")
+def wcl3_sentence_ends(spark, d):
+    """How many sentences end in each block, and the sum of their places."""
+    ends = tagging.sentence_ends(F.col("text"), abbreviated_words(spark, d))
+    return blocks(spark, d).select("block_id", F.size(ends).cast("long").alias("sentences"), F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
+
+
+def corpus_tagger(spark, d):
+    found = abbreviated_words(spark, d)
+    return tagging.train_tagger(blocks(spark, d), lexicon(spark, d), found), found
+
+
+@query()
+def wcl3_tags(spark, d):
+    """How often each word of all blocks has each tag on the best paths."""
+    tagger, found = corpus_tagger(spark, d)
+    return tagging.tagged_counts(tagging.tag_tokens(blocks(spark, d), tagger, ["block_id"], found))
+
+
+@query(f"""WITH {ABBREVIATED}, hits AS (SELECT block_id, t, e, unnest(list_filter(range(1, len(t) + 1), lambda i: l[i] IN {quoted(TERMS)})) AS i FROM ends),
+sent AS (SELECT block_id, t, i - 1 AS hit, coalesce(list_max(list_filter(e, lambda x: x < i)), 0) AS a, coalesce(list_min(list_filter(e, lambda x: x >= i)), len(t)) AS b, greatest(0, i - 11) AS lo, least(len(t), i + 9) AS hi FROM hits)
+SELECT block_id, CAST(hit AS BIGINT) AS hit, array_to_string(CASE WHEN b - a > hi - lo THEN t[lo + 1:hi] ELSE t[a + 1:b] END, ' ') AS passage FROM sent""")
+def wcl4_sentence_passages(spark, d):
+    found = terms.passages(blocks(spark, d), TERMS, ["block_id"], abbreviated=abbreviated_words(spark, d))
+    return found.select("block_id", F.col("hit").cast("long").alias("hit"), F.array_join("words", " ").alias("passage"))
+
+
+@query()
+def wcl6_tagged_split(spark, d):
+    """Words of the passages by the tag of their best path."""
+    tagger, found = corpus_tagger(spark, d)
+    rows = terms.passages(blocks(spark, d), TERMS, ["block_id"], abbreviated=found).select("block_id", "hit", F.array_join("words", " ").alias("text"))
+    return tagging.tagged_counts(tagging.tag_tokens(rows, tagger, ["block_id", "hit"], found))
