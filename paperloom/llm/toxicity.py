@@ -28,7 +28,6 @@ SAMPLE, UNITS, LANDMARKS = 6000, 24_000, 160
 REACH, DECAY = 5, 0.7
 #: Weight of good units against bad ones: a document has hundreds of units, and one of them decides.
 NEGATIVE = 200.0
-LONGEST = 64
 #: The value below which texts don't differ, also that of a text without units.
 LEAST = -3.0
 #: Characters that stand for letters.
@@ -74,15 +73,13 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[letter], np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, np.searchsorted(starts[heads], offsets)
 
 
-def _lengths_norm() -> np.ndarray:
-    n = np.arange(LONGEST + 1)
+def length_norms(n: np.ndarray) -> np.ndarray:
+    """Norms of units of ``n`` letters, whatever their length: the places of every pattern, each with its weight squared."""
+    n = np.asarray(n)
     square = sum(np.maximum(0, n - b) * DECAY ** (2.0 * (b - 2)) for _, b in PATTERNS)
     return np.sqrt(np.maximum(square, 1.0))
 
 
-NORM = _lengths_norm()
-
-
 def _subsequences(letters: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each pattern: its number, places where it lies within a unit, and the codes there."""
     unit = np.repeat(np.arange(len(begins), dtype=np.int32), sizes)
@@ -103,7 +100,7 @@ def unit_scores(letters: np.ndarray, begins: np.ndarray, sizes: np.ndarray, tabl
         at[inside] += table[k][code]
     if not len(begins):
         return np.zeros(0)
-    return np.add.reduceat(at, begins).astype(np.float64) / NORM[np.minimum(sizes, LONGEST)]
+    return np.add.reduceat(at, begins).astype(np.float64) / length_norms(sizes)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +141,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 def norms(words: list[str]) -> np.ndarray:
     code = [CODE[np.frombuffer(w.encode(), np.uint8)] for w in words]
-    return NORM[[min(LONGEST, int(((c != 31) & (c != 0)).sum())) for c in code]]
+    return length_norms(np.array([int(((c != 31) & (c != 0)).sum()) for c in code]))
 
 
 def disguised(words: list[str], times: int, seed: int = 11) -> list[str]:
