@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mining import opcodes_of
-from .scripts import edit_script, with_measures
+from .scripts import edit_script, opcodes_of, with_measures
 
 
 def cer(text: Column, gold: Column) -> Column:

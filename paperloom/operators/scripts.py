@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from difflib import Match, SequenceMatcher
 from math import isqrt
 
 import pyarrow as pa
@@ -60,6 +61,76 @@ def edit_script(src: Sequence[str], dst: Sequence[str]) -> list[tuple[str, int,
     return out[::-1]
 
 
+class Aligner(SequenceMatcher):
+    """A sequence matcher whose longest matches come from a suffix automaton where words repeat much: pairs of equal words
+    make the usual search quadratic, and long lines hold millions of them.  The matches are the same, ties included."""
+
+    #: Pairs of equal words, for each word of both sides, from which on the automaton is quicker.
+    CROWDED = 25
+
+    def __init__(self, a: Sequence[str], b: Sequence[str]):
+        super().__init__(a=a, b=b, autojunk=False)
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None):
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        most, none = self.CROWDED * (ahi - alo + bhi - blo), ()
+        if most and sum(len(self.b2j.get(word, none)) for word in self.a[alo:ahi]) > most:
+            return Match(*_longest(self.a, self.b, alo, ahi, blo, bhi))
+        return super().find_longest_match(alo, ahi, blo, bhi)
+
+
+def _longest(a: Sequence[str], b: Sequence[str], alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest run that both ranges hold, the earliest in ``a`` and then in ``b``, by the suffix automaton of the range of ``b``."""
+    ways: list[dict[str, int]] = [{}]
+    link, size, first, last = [-1], [0], [0], 0
+    for j in range(blo, bhi):
+        word, now = b[j], len(size)
+        ways.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        first.append(j)
+        p = last
+        while p >= 0 and word not in ways[p]:
+            ways[p][word] = now
+            p = link[p]
+        if p >= 0:
+            q = ways[p][word]
+            if size[q] == size[p] + 1:
+                link[now] = q
+            else:
+                twin = len(size)
+                ways.append(ways[q].copy())
+                link.append(link[q])
+                size.append(size[p] + 1)
+                first.append(first[q])
+                while p >= 0 and ways[p].get(word) == q:
+                    ways[p][word] = twin
+                    p = link[p]
+                link[q] = link[now] = twin
+        last = now
+    state, length, best = 0, 0, (alo, blo, 0)
+    for i in range(alo, ahi):
+        word = a[i]
+        while state and word not in ways[state]:
+            state = link[state]
+            length = size[state]
+        if word in ways[state]:
+            state = ways[state][word]
+            length += 1
+            if length > best[2]:
+                best = (i - length + 1, first[state] - length + 1, length)
+        else:
+            length = 0
+    return best
+
+
+def opcodes_of(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """(tag, i1, i2, j1, j2) of the alignment of two lists of words."""
+    if a == b:
+        return [("equal", 0, len(a), 0, len(b))] if a else []
+    return Aligner(a, b).get_opcodes()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that what is made of them stays small whatever the session's batch size."""
     for batch in batches:

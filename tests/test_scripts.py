@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 
-from paperloom.operators import alto, mining, quality
+from paperloom.operators import alto, mining, quality, scripts
 from paperloom.operators.scripts import edit_script
 
 BIG = 2**53 + 1
@@ -94,6 +94,18 @@ def test_whole_record_with_inserts_and_deletes(spark):
     assert sorted(map(tuple, quality.damage(table).collect()), key=repr) == sorted(((k, *m[2:]) for k, m, _ in got), key=repr)
 
 
+def test_alignment_by_automaton_is_the_usual_one(monkeypatch):
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(scripts.Aligner, "CROWDED", 0)
+    rng = random.Random(6)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        a = [rng.choice(letters) for _ in range(rng.randrange(40))]
+        b = [rng.choice(letters) for _ in range(rng.randrange(40))] if rng.random() < 0.4 else [rng.choice(letters) if rng.random() < 0.2 else x for x in a if rng.random() < 0.9]
+        assert scripts.opcodes_of(a, b) == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 def test_opcodes_have_places_and_keys(spark):
     from difflib import SequenceMatcher
 
