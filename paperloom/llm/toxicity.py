@@ -28,6 +28,8 @@ SAMPLE, UNITS, LANDMARKS = 6000, 24_000, 160
 REACH, DECAY = 5, 0.7
 #: Weight of good units against bad ones: a document has hundreds of units, and one of them decides.
 NEGATIVE = 200.0
+#: Letters of a unit up to which its norm follows from their number; letters of a glued sentence that is learnt from.
+SHORT, GLUED = 24, 2000
 #: The value below which texts don't differ, also that of a text without units.
 LEAST = -3.0
 #: Characters that stand for letters.
@@ -100,7 +102,20 @@ def unit_scores(letters: np.ndarray, begins: np.ndarray, sizes: np.ndarray, tabl
         at[inside] += table[k][code]
     if not len(begins):
         return np.zeros(0)
-    return np.add.reduceat(at, begins).astype(np.float64) / length_norms(sizes)
+    return np.add.reduceat(at, begins).astype(np.float64) / unit_norms(letters, begins, sizes)
+
+
+def unit_norms(letters: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Norms of units: by length, as few subsequences of a short one are alike; of more than SHORT letters, where they are many,
+    from how often each stands in it."""
+    out = length_norms(sizes)
+    for unit in np.flatnonzero(sizes > SHORT).tolist():
+        own = letters[begins[unit] : begins[unit] + sizes[unit]]
+        count = np.zeros(32768)
+        for k, _, code in _subsequences(own, np.zeros(1, np.int64), np.array([len(own)])):
+            count += np.bincount(code, minlength=32768) * DECAY ** (PATTERNS[k][1] - 2)
+        out[unit] = max(1.0, np.sqrt(count @ count))
+    return out
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +155,10 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def norms(words: list[str]) -> np.ndarray:
-    code = [CODE[np.frombuffer(w.encode(), np.uint8)] for w in words]
-    return length_norms(np.array([int(((c != 31) & (c != 0)).sum()) for c in code]))
+    own = [CODE[np.frombuffer(w.encode(), np.uint8)] for w in words]
+    own = [c[(c != 31) & (c != 0)] for c in own]
+    sizes = np.array([len(c) for c in own], np.int64)
+    return unit_norms(np.concatenate(own) if own else np.zeros(0, np.uint8), np.cumsum(sizes) - sizes, sizes)
 
 
 def disguised(words: list[str], times: int, seed: int = 11) -> list[str]:
@@ -258,9 +275,12 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2,
     landmarks = [*bad["unit"][:LANDMARKS], *good["unit"][:: max(1, len(good) // LANDMARKS)][:LANDMARKS]]
     even = lambda n: np.sqrt(n) / np.sqrt(n).sum()
     hidden = disguised(list(bad["unit"][:LANDMARKS]), 5)
-    words = [*bad["unit"], *hidden, *good["unit"]]
-    weight = np.concatenate([even(bad["bad"]), np.full(len(hidden), 0.4 / len(hidden)), NEGATIVE * even(np.minimum(good["good"], 4))])
-    table, offset = fit_machine(words, np.repeat([1.0, -1.0], [len(bad) + len(hidden), len(good)]), weight, landmarks)
+    # whole sentences of good documents without their blanks, as scripts without blanks and glued words come
+    bare = sentences.filter("y = 0").select(F.regexp_replace("s", r"[\x20\x09-\x0D.,;:!?()\"]+", "").alias("unit")).filter(F.length("unit") > SHORT).distinct()
+    glued = [r.unit[:GLUED] for r in bare.orderBy(F.xxhash64("unit"), "unit").limit(UNITS // 16).collect()]
+    words = [*bad["unit"], *hidden, *good["unit"], *glued]
+    weight = np.concatenate([even(bad["bad"]), np.full(len(hidden), 0.4 / len(hidden)), NEGATIVE * even(np.minimum(good["good"], 4)), np.full(len(glued), NEGATIVE / 4 / max(1, len(glued)))])
+    table, offset = fit_machine(words, np.repeat([1.0, -1.0], [len(bad) + len(hidden), len(good) + len(glued)]), weight, landmarks)
     raw = Machine(table, offset, 1.0, 0.0)
     seen = read.select("y", "text").mapInArrow(_values(raw), "y int, value double").toPandas()
     slope, shift = calibrate(seen["value"].to_numpy(), seen["y"].to_numpy(), totals_prior(labels, label, parts, held_out))
