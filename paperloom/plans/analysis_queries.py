@@ -129,9 +129,10 @@ def spl1_levenshtein(spark, d):
 #: DuckDB counts edits of bytes, so that other letters stand for one capital each there.
 PLAIN = "translate({x}, 'áéíóúüñäößçèêàâîôûëïœùò', 'ABCDEFGHIJKLMNOPQRSTUVW')"
 LEVENSHTEIN = f"levenshtein({PLAIN.format(x='term')}, {PLAIN.format(x='word')})"
-LOOKUP = KNOWN + f""", sus AS (SELECT DISTINCT lower(regexp_extract(token, '(?s)^([^\\p{{L}}\\p{{N}}]*)(.*?)([^\\p{{L}}\\p{{N}}]*)$', 2)) AS term FROM judged WHERE {SUSPECT.format(x='token')}),
-dict AS (SELECT word, n FROM words WHERE n >= 10),
-near AS (SELECT term, word AS candidate, n AS count, {LEVENSHTEIN} AS distance FROM sus JOIN dict ON abs(length(term) - length(word)) <= 2 AND {LEVENSHTEIN} <= 2 WHERE term <> ''),
+LOOKUP = KNOWN + f""", sus AS MATERIALIZED (SELECT DISTINCT lower(regexp_extract(token, '(?s)^([^\\p{{L}}\\p{{N}}]*)(.*?)([^\\p{{L}}\\p{{N}}]*)$', 2)) AS term FROM judged WHERE {SUSPECT.format(x='token')}),
+dict AS MATERIALIZED (SELECT word, n, length(word) AS len FROM words WHERE n >= 10),
+reach AS MATERIALIZED (SELECT term, length(term) + unnest([-2, -1, 0, 1, 2]) AS len FROM sus WHERE term <> ''),
+near AS (SELECT * FROM (SELECT term, word AS candidate, n AS count, {LEVENSHTEIN} AS distance FROM reach JOIN dict USING (len)) WHERE distance <= 2),
 tier AS (SELECT * FROM (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM near) WHERE distance = least)"""
 
 
@@ -150,6 +151,12 @@ def spl2_candidates(spark, d):
     return spelling.candidates(*lookups(spark, d)).withColumn("distance", F.col("distance").cast("long"))
 
 
+@query()
+def spl2_transposed(spark, d):
+    """The same where letters that change places count as one edit."""
+    return spelling.candidates(*lookups(spark, d), transpose=True).withColumn("distance", F.col("distance").cast("long"))
+
+
 WEIRD = """(CASE WHEN length({x}) = 0 THEN 5.0 ELSE
   CASE WHEN length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g')) / length({x}) < 0.6 THEN (0.6 - length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g')) / length({x})) * 6.0 ELSE 0 END
   + CASE WHEN regexp_matches({x}, '\\p{{Nd}}') THEN 1.5 ELSE 0 END

@@ -154,3 +154,20 @@ def wcl6_tagged_split(spark, d):
     tagger, found = corpus_tagger(spark, d)
     rows = terms.passages(blocks(spark, d), TERMS, ["block_id"], abbreviated=found).select("block_id", "hit", F.array_join("words", " ").alias("text"))
     return tagging.tagged_counts(tagging.tag_tokens(rows, tagger, ["block_id", "hit"], found))
+
+
+@query(f"""WITH {BLOCKS}, plain AS (SELECT block_id, translate(text, chr(92) || '"[]{{}}:', '') AS text FROM blocks),
+said AS (SELECT block_id, CASE WHEN block_id % 3 = 1 THEN replace(replace(text, ' the ', ' "the" '), ' de ', ' "de" ') ELSE text END AS text FROM plain)
+SELECT block_id, 2::BIGINT AS n, md5(text) AS first_md5 FROM said""")
+def glu7_repaired_answers(spark, d):
+    """Answers behind a note with brackets, with quotes and line breaks within strings, and in single quotes without a comma between objects."""
+    plain = F.translate("text", '\\"[]{}:', "")
+    quoted_words = F.replace(F.replace(plain, F.lit(" the "), F.lit(' "the" ')), F.lit(" de "), F.lit(' "de" '))
+    second = F.lit('{"raw_text": "b"}]')
+    kinds = [
+        F.concat(F.lit("Note [1]: see {below}\n["), F.to_json(F.struct(plain.alias("raw_text"))), F.lit(", "), second, F.lit(" [end]")),
+        F.concat(F.lit('[{"raw_text": "'), quoted_words, F.lit('", "gpt_fixed_best_guess": None}, '), second),
+        F.concat(F.lit("```[{raw_text: "), F.to_json(F.array(plain)).substr(F.lit(2), F.length(F.to_json(F.array(plain))) - 2), F.lit(" }  "), second),
+    ]
+    answer = sources.correction_answer(F.get(F.array(*kinds), F.col("block_id") % 3))
+    return blocks(spark, d).select("block_id", F.size(answer).cast("long").alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .answers import repaired
+
 BLOCK = "array<struct<id:string,height:string,width:string,hpos:string,vpos:string,text:string>>"
 PAGE = f"lccn string, date string, year string, month string, day string, edition string, sequence string, link string, text_blocks_raw {BLOCK}, text_blocks_cleaned {BLOCK}"
 GOLD = PAGE + ", gpt_fixed array<struct<raw_text:string,gpt_fixed_conservative:string,gpt_fixed_best_guess:string>>"
@@ -52,12 +55,15 @@ def correction_request(blocks: DataFrame) -> DataFrame:
 
 
 def correction_answer(answer: Column) -> Column:
-    """The corrections in an answer; a missing key is null.  An answer that is no JSON as it stands is repaired: text and fences
-    around the list go, and so do commas before a bracket and an object that is cut off; null where no list is found."""
+    """The corrections in an answer; a missing key is null.  An answer that is no JSON as it stands is repaired as
+    :func:`answers.repaired` says; null where no list is found."""
     parse = lambda x: F.from_json(x, "array<struct<raw_text:string,gpt_fixed_conservative:string,gpt_fixed_best_guess:string>>", {"mode": "PERMISSIVE"})
-    listed = F.regexp_extract(answer, r"(?s)(\[.*)$", 1)
-    whole = F.when(F.contains(listed, F.lit("}")), F.concat(F.regexp_extract(listed, r"(?s)^(.*\})", 1), F.lit("]"))).when(listed != "", F.lit("[]"))
-    return F.coalesce(parse(answer), parse(F.regexp_replace(whole, r",(\s*[\]}])", "$1")))
+
+    @F.pandas_udf("string")
+    def mended(broken: pd.Series) -> pd.Series:
+        return pd.Series([repaired(x) for x in broken], dtype=object)
+
+    return F.coalesce(parse(answer), parse(mended(F.when(parse(answer).isNull(), answer))))
 
 
 def inspected_pairs(pages: DataFrame, first: int = 20, longer_than: int = 100) -> DataFrame:
