@@ -312,7 +312,7 @@ bodies AS (SELECT block_id, string_agg(piece, '' ORDER BY i) AS body FROM pieces
 
 
 def mined_index(spark, d):
-    return mining.patch_index(mining.frequent_phrases(mining.phrase_counts(mining.opcodes(line_pairs(spark, d)))))
+    return mining.patch_index(mining.frequent_phrases(mining.phrase_counts(mining.opcodes(line_pairs(spark, d), ("replace",)))))
 
 
 @query(f"WITH RECURSIVE {REWRITTEN} SELECT block_id, md5(regexp_extract(raw, '^(\\s*)', 1) || coalesce(body, '')) AS text_md5 FROM rt LEFT JOIN bodies USING (block_id)")

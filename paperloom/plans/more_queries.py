@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import is_word
 from ..operators import mining, quality, relevance, tagging, terms, timelines
+from ..sources import index
 from ..sources import pages as sources
+from ..sources.shared import shared_folder
+from ..operators import alto, mentions
 from .adapter import BLOCKS, PAIRS, STOP_WORDS, blocks, line_pairs, word_pairs
 from .analysis_queries import JUDGED, MERGED, OPCODES, SPLIT, TIMELINE, TOTALS, judged, lexicon, page_table, passage_rows
 from .queries import MEASURES, RX, SPREAD, TERMS, TOKENS, distinct_tokens, query, quoted
@@ -171,3 +174,48 @@ def glu7_repaired_answers(spark, d):
     ]
     answer = sources.correction_answer(F.get(F.array(*kinds), F.col("block_id") % 3))
     return blocks(spark, d).select("block_id", F.size(answer).cast("long").alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))
+
+
+@query(f"""WITH {TOKENS}, every AS (SELECT link, block_idx, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS place FROM toks)
+SELECT term, link, block_idx, count(*) AS n, array_to_string(list(place ORDER BY place), ',') AS places FROM every WHERE term IN {quoted(TERMS)} GROUP BY ALL""")
+def idx2_stored_index(spark, d):
+    """All blocks' postings written as an index, and the families' terms looked up in it."""
+    import uuid
+
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.write_index(index.postings_of(blocks(spark, d), mentions.lower_tokens(F.col("text"))), path, buckets=16)
+    found = index.look_up(spark, path, TERMS)
+    return found.select("term", "link", "block_idx", F.col("n").cast("long").alias("n"), F.array_join(index.undeltas(F.col("steps")).cast("array<string>"), ",").alias("places"))
+
+
+@query("""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN n_chars || '.9' WHEN 2 THEN '-' || n_chars || '.5' WHEN 3 THEN CAST(n_chars AS VARCHAR) END AS v FROM documents)
+SELECT doc_id, coalesce(CAST(trunc(CAST(v AS DOUBLE)) AS BIGINT), 0) AS value FROM v""")
+def alt2_document_attr(spark, d):
+    """Attributes as pages have them, whole, broken, negative and missing, from all documents."""
+    size = F.col("n_chars").cast("string")
+    value = F.when(F.col("doc_id") % 4 == 1, F.concat(size, F.lit(".9"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("-"), size, F.lit(".5"))).when(F.col("doc_id") % 4 == 3, size)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", alto.int_attr(value).cast("long").alias("value"))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, levenshtein(raw_text, gold_text) / length(gold_text) AS a, levenshtein(fixed_text, gold_text) / length(gold_text) AS b FROM pairs)
+SELECT pair_id, round(a, 6) AS cer_raw, round(b, 6) AS cer_fixed, round(a - b, 6) AS cer_improvement_abs, round(CASE WHEN a > 0 THEN (a - b) / a ELSE 0 END, 6) AS cer_improvement_pct,
+(raw_text <> gold_text)::INT::DOUBLE AS wer_raw, (fixed_text <> gold_text)::INT::DOUBLE AS wer_fixed,
+CASE WHEN fixed_text = raw_text OR (raw_text <> gold_text AND fixed_text = gold_text) THEN 1.0 ELSE 0.0 END::DOUBLE AS edit_precision, CASE WHEN raw_text = gold_text OR fixed_text = gold_text THEN 1.0 ELSE 0.0 END::DOUBLE AS edit_recall,
+(raw_text = gold_text AND fixed_text <> raw_text)::INT::DOUBLE AS damage_rate, (raw_text = gold_text AND fixed_text <> raw_text)::BIGINT AS damage_count, (raw_text = gold_text)::BIGINT AS clean_token_count FROM r""")
+def eva6_record(spark, d):
+    """The whole record of each word."""
+    out = quality.evaluate(word_pairs(spark, d))
+    rounded = ("cer_raw", "cer_fixed", "cer_improvement_abs", "cer_improvement_pct")
+    return out.select("pair_id", *[F.round(c, 6).alias(c) for c in rounded], *[c for c in out.columns if c not in (*rounded, "pair_id")])
+
+
+@query(r"""WITH sides AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[\s\x{85}\p{Z}]+'), lambda w: w <> '') AS g FROM benchmark),
+told AS (SELECT item_id, g, flatten(list_transform(g, lambda w: CASE WHEN length(w) % 3 = 0 THEN [] WHEN contains(w, 'th') THEN [w, w] ELSE [w] END)) AS r FROM sides),
+coded AS (SELECT item_id, len(g) AS n, list_distinct(list_concat(g, r)) AS known, g, r FROM told)
+SELECT item_id, round(levenshtein(array_to_string(list_transform(r, lambda w: chr(32 + list_position(known, w)::INT)), ''), array_to_string(list_transform(g, lambda w: chr(32 + list_position(known, w)::INT)), '')) / n, 6) AS wer FROM coded""")
+def eva2_uneven_wer(spark, d):
+    """Word errors of benchmark texts of which words are dropped and doubled."""
+    w = quality.words(F.col("text"))
+    again = F.flatten(F.transform(w, lambda x: F.when(F.length(x) % 3 == 0, F.array().cast("array<string>")).when(F.contains(x, F.lit("th")), F.array(x, x)).otherwise(F.array(x))))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text", F.array_join(again, " ").alias("raw"))
+    return items.select("item_id", F.round(quality.wer(F.col("raw"), F.col("text")), 6).alias("wer"))
