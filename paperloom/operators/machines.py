@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import remove, written
-from .scripts import sliced
+from .scripts import sliced, small_batches
 
 #: Rows that one task trains on at a time; passes over them within a sweep.  Rows of one part need a sweep or two, more parts some dozens.
 PART, EPOCHS = 5000, 12
@@ -97,7 +97,7 @@ class Machines:
         state = [f"__{c}{k}" for c in ("dot", "norm") for k in range(len(self.terms))]
         kept = list(dict.fromkeys([*names, *self.columns]))
         types = dict(rows.dtypes)
-        scored = rows.select(*kept)
+        scored = small_batches(rows).select(*kept)
         for at in range(0, most, HELD_TERMS):
             part = [t.slice(at, HELD_TERMS) for t in self.terms]
             spans = [slice(min(a + at, b), min(a + at + HELD_TERMS, b)) for a, b in zip(bases[:-1], bases[1:], strict=True)]
@@ -293,7 +293,7 @@ def train(rows: DataFrame, columns: Sequence[str], spaces: int, folds: int, uses
     bases = np.cumsum([0, *(len(t) for t in terms)])[:-1]
     parts = max(1, -(-sizes.n // PART))
     known = context.broadcast(terms)
-    read = rows.select("row", F.when(F.col("label") == 1, 1.0).otherwise(-1.0).alias("y"), "folds", *columns)
+    read = small_batches(rows).select("row", F.when(F.col("label") == 1, 1.0).otherwise(-1.0).alias("y"), "folds", *columns)
     schema = "row long, part int, y double, folds array<int>, places array<int>, counts array<float>"
     encoded = written(read.mapInArrow(_encode(known, columns, parts), schema), "encoded")
     ids = np.sort(encoded.select("row").toArrow()["row"].to_numpy())

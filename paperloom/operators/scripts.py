@@ -138,6 +138,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, whose session's Arrow batches hold ``rows`` rows at most from now on: whole texts with their tokens are large rows.
+    The session's setting is lowered, never raised; it is read when a plan is made, so that it can't be given to one plan alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def with_measures(rows: DataFrame, inputs: Sequence[str], made: str, measure: Callable[..., tuple]) -> DataFrame:
     """``rows`` with the columns ``made`` ("name type, ...") that ``measure`` gives for each row's ``inputs``, which go; the other columns
     stay Arrow data throughout, so that no key changes its type or value."""
