@@ -219,3 +219,10 @@ def eva2_uneven_wer(spark, d):
     again = F.flatten(F.transform(w, lambda x: F.when(F.length(x) % 3 == 0, F.array().cast("array<string>")).when(F.contains(x, F.lit("th")), F.array(x, x)).otherwise(F.array(x))))
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text", F.array_join(again, " ").alias("raw"))
     return items.select("item_id", F.round(quality.wer(F.col("raw"), F.col("text")), 6).alias("wer"))
+
+
+@query()
+def snk5_draw_again(spark, d):
+    """As many draws as there are blocks, rows repeating."""
+    rows = blocks(spark, d).select("block_id", "link")
+    return sources.draw_with_replacement(rows, "block_id", rows.count())

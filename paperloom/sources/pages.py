@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .answers import repaired
@@ -115,6 +115,23 @@ def draw_again(df: DataFrame, share: float, seed: int) -> DataFrame:
     return df.sample(withReplacement=True, fraction=share, seed=seed)
 
 
+def draw_with_replacement(df: DataFrame, key: str, n: int, seed: int = 0, buckets: int = 4096) -> DataFrame:
+    """Exactly ``n`` rows (none of an empty table) by independent draws that may repeat a row: the same ones however the table is
+    partitioned.  Rows are numbered in two levels, buckets of a hash of the key and places within one, so that nothing is sorted
+    as a whole; rows that repeat a key, also a null one, are rows of their own."""
+    salted = df.withColumn("__bucket", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
+    sizes = salted.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    bases = sizes.select("__bucket", before.alias("__base"))  # a row a bucket
+    others = [F.to_json(F.struct(*[c for c in df.columns if c != key]))] if len(df.columns) > 1 else []
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.xxhash64(key, F.lit(seed + 1)), key, *others)) - 1
+    placed = salted.withColumn("__inside", inside).join(F.broadcast(bases), "__bucket").withColumn("__place", F.col("__base") + F.col("__inside"))
+    total = df.count()
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    drawn = df.sparkSession.range(n if total else 0).select(F.floor(part * total).alias("__place")).groupBy("__place").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    return placed.join(drawn, "__place").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).select(*df.columns)
+
+
 def write_blocks(blocks: DataFrame, path: str, by: Sequence[str] = ("lccn", "year")) -> None:
     blocks.write.mode("overwrite").partitionBy(*by).parquet(path)
 
