@@ -29,7 +29,9 @@ REACH, DECAY = 5, 0.7
 #: Weight of good units against bad ones: a document has hundreds of units, and one of them decides.
 NEGATIVE = 200.0
 #: Letters of a unit up to which its norm follows from their number; letters of a glued sentence that is learnt from.
-SHORT, GLUED = 24, 2000
+SHORT, GLUED = 24, 240
+#: Letters of units whose kernel values are worked out at once.
+PART = 4000
 #: The value below which texts don't differ, also that of a text without units.
 LEAST = -3.0
 #: Characters that stand for letters.
@@ -111,9 +113,11 @@ def unit_norms(letters: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np
     out = length_norms(sizes)
     for unit in np.flatnonzero(sizes > SHORT).tolist():
         own = letters[begins[unit] : begins[unit] + sizes[unit]]
-        count = np.zeros(32768)
-        for k, _, code in _subsequences(own, np.zeros(1, np.int64), np.array([len(own)])):
-            count += np.bincount(code, minlength=32768) * DECAY ** (PATTERNS[k][1] - 2)
+        found = list(_subsequences(own, np.zeros(1, np.int64), np.array([len(own)])))
+        codes = np.concatenate([code for _, _, code in found])
+        if len(codes) < 1 << 14:
+            codes = np.unique(codes, return_inverse=True)[1]
+        count = np.bincount(codes, np.concatenate([np.full(len(code), DECAY ** (PATTERNS[k][1] - 2)) for k, _, code in found]))
         out[unit] = max(1.0, np.sqrt(count @ count))
     return out
 
@@ -143,14 +147,18 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     np.add.at(dense, (codes, rows), weights)
     dense /= norms(landmarks)
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for lo in range(0, len(words), 500):
-        part = words[lo : lo + 500]
+    letters = np.cumsum([len(w) for w in words])
+    lo = 0
+    while lo < len(words):  # parts of some letters bound the copies of the landmarks' rows
+        hi = max(lo + 1, int(np.searchsorted(letters, (letters[lo - 1] if lo else 0) + PART)))
+        part = words[lo:hi]
         r, c, w = features(part)
         if len(r):
             order = np.argsort(r, kind="stable")
             r, first = np.unique(r[order], return_index=True)
             out[r + lo] = np.add.reduceat(dense[c[order]] * w[order][:, None].astype(np.float32), first)
-        out[lo : lo + len(part)] /= norms(part)[:, None]
+        out[lo:hi] /= norms(part)[:, None]
+        lo = hi
     return out
 
 
@@ -277,9 +285,9 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2,
     hidden = disguised(list(bad["unit"][:LANDMARKS]), 5)
     # whole sentences of good documents without their blanks, as scripts without blanks and glued words come
     bare = sentences.filter("y = 0").select(F.regexp_replace("s", r"[\x20\x09-\x0D.,;:!?()\"]+", "").alias("unit")).filter(F.length("unit") > SHORT).distinct()
-    glued = [r.unit[:GLUED] for r in bare.orderBy(F.xxhash64("unit"), "unit").limit(UNITS // 16).collect()]
+    glued = [r.unit[:GLUED] for r in bare.orderBy(F.xxhash64("unit"), "unit").limit(UNITS // 24).collect()]
     words = [*bad["unit"], *hidden, *good["unit"], *glued]
-    weight = np.concatenate([even(bad["bad"]), np.full(len(hidden), 0.4 / len(hidden)), NEGATIVE * even(np.minimum(good["good"], 4)), np.full(len(glued), NEGATIVE / 4 / max(1, len(glued)))])
+    weight = np.concatenate([even(bad["bad"]), np.full(len(hidden), 0.4 / len(hidden)), NEGATIVE * even(np.minimum(good["good"], 4)), np.full(len(glued), NEGATIVE / 20 / max(1, len(glued)))])
     table, offset = fit_machine(words, np.repeat([1.0, -1.0], [len(bad) + len(hidden), len(good) + len(glued)]), weight, landmarks)
     raw = Machine(table, offset, 1.0, 0.0)
     seen = read.select("y", "text").mapInArrow(_values(raw), "y int, value double").toPandas()
