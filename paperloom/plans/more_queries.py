@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.tokens import is_word
@@ -10,7 +12,7 @@ from ..sources import index
 from ..sources import pages as sources
 from ..sources.shared import shared_folder
 from ..operators import alto, mentions
-from .adapter import BLOCKS, PAIRS, STOP_WORDS, blocks, line_pairs, word_pairs
+from .adapter import BLOCKS, PAIRS, STOP_WORDS, WORDS, blocks, line_pairs, word_pairs, words
 from .analysis_queries import JUDGED, MERGED, OPCODES, SPLIT, TIMELINE, TOTALS, judged, lexicon, page_table, passage_rows
 from .queries import MEASURES, RX, SPREAD, TERMS, TOKENS, distinct_tokens, query, quoted
 
@@ -176,13 +178,15 @@ def glu7_repaired_answers(spark, d):
     return blocks(spark, d).select("block_id", F.size(answer).cast("long").alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))
 
 
+def new_path(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query(f"""WITH {TOKENS}, every AS (SELECT link, block_idx, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS place FROM toks)
 SELECT term, link, block_idx, count(*) AS n, array_to_string(list(place ORDER BY place), ',') AS places FROM every WHERE term IN {quoted(TERMS)} GROUP BY ALL""")
 def idx2_stored_index(spark, d):
     """All blocks' postings written as an index, and the families' terms looked up in it."""
-    import uuid
-
-    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = new_path(spark, "index")
     index.write_index(index.postings_of(blocks(spark, d), mentions.lower_tokens(F.col("text"))), path, buckets=16)
     found = index.look_up(spark, path, TERMS)
     return found.select("term", "link", "block_idx", F.col("n").cast("long").alias("n"), F.array_join(index.undeltas(F.col("steps")).cast("array<string>"), ",").alias("places"))
@@ -226,3 +230,27 @@ def snk5_draw_again(spark, d):
     """As many draws as there are blocks, rows repeating."""
     rows = blocks(spark, d).select("block_id", "link")
     return sources.draw_with_replacement(rows, "block_id", rows.count())
+
+
+@query(f"WITH {BLOCKS} SELECT block_id, link, md5(text) AS text_md5 FROM blocks")
+def snk1_json_file(spark, d):
+    """All blocks written as JSON and read back."""
+    path, rows = new_path(spark, "json"), blocks(spark, d).select("block_id", "link", "text")
+    sources.write_json_pages(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("block_id", "link", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {WORDS} SELECT word, n AS count FROM words WHERE n >= 10")
+def snk2_dictionary_file(spark, d):
+    """The dictionary of frequent words, written and read back."""
+    path = new_path(spark, "dictionary")
+    sources.write_dictionary(words(spark, d).withColumnRenamed("n", "count"), path)
+    return sources.read_dictionary(spark, path)
+
+
+@query(f"WITH {WORDS} SELECT word FROM words WHERE n >= 10 UNION SELECT 'zzz'")
+def src8_word_list_file(spark, d):
+    """Words from the first fields of a text file's lines, and one more."""
+    path = new_path(spark, "words")
+    words(spark, d).filter("n >= 10").select(F.concat_ws(" ", F.col("word"), F.col("n").cast("string"))).write.text(path)
+    return sources.read_word_list(spark, path, ["zzz"])
