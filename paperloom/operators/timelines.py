@@ -17,6 +17,15 @@ def page_sums(blocks: DataFrame, families: Sequence[str]) -> DataFrame:
     return pages
 
 
+def with_combined(pages: DataFrame, families: Sequence[str], name: str) -> DataFrame:
+    """Add ``<name>_count``, ``<name>_ratio`` and ``contains_<name>`` of several families together."""
+    total = F.lit(0).cast("long")
+    for n in families:
+        total = total + F.col(f"{n}_count")
+    pages = pages.withColumn(f"{name}_count", total)
+    return pages.withColumn(f"{name}_ratio", F.try_divide(f"{name}_count", "doc_length")).withColumn(f"contains_{name}", F.col(f"{name}_count") > 0)
+
+
 def by_year_and_title(pages: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Sums by year and title; rows without a title don't count."""
     return pages.filter("title is not null and year is not null").groupBy("year", "title").agg(*[F.sum(m).alias(m) for m in measures])

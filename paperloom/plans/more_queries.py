@@ -254,3 +254,9 @@ def src8_word_list_file(spark, d):
     path = new_path(spark, "words")
     words(spark, d).filter("n >= 10").select(F.concat_ws(" ", F.col("word"), F.col("n").cast("string"))).write.text(path)
     return sources.read_word_list(spark, path, ["zzz"])
+
+
+@query(f"WITH {TIMELINE} SELECT link, first_count + second_count AS both_count, round((first_count + second_count) / nullif(doc_length, 0), 6) AS both_ratio, first_count + second_count > 0 AS contains_both FROM pg")
+def agg3_combined_ratio(spark, d):
+    out = timelines.with_combined(page_table(spark, d), ["first", "second"], "both")
+    return out.select("link", "both_count", F.round("both_ratio", 6).alias("both_ratio"), "contains_both")
