@@ -228,9 +228,11 @@ PHRASES = TOKENS + ", two AS (SELECT unnest(list_transform(range(1, len(t)), lam
 
 
 def phrases(spark, d):
-    t = token_texts(F.col("text"))
-    rows = blocks(spark, d).select(t.alias("t")).filter("size(t) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.slice("t", i, 2))).alias("raw_span"))
-    return mining.frequent_phrases(rows.groupBy("raw_span").agg(F.count(F.lit(1)).alias("count")).withColumn("fixed_span", F.array(F.array_join("raw_span", ""))))
+    """Pairs of neighbouring tokens, counted as one text each: tokens hold no blanks, and a text is a smaller row than an array."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat(F.get("t", i - 1), F.lit(" "), F.get("t", i)))
+    rows = blocks(spark, d).select(token_texts(F.col("text")).alias("t")).filter("size(t) > 1").select(F.explode(pairs).alias("pair"))
+    counted = mining.frequent_phrases(rows.groupBy("pair").agg(F.count(F.lit(1)).alias("count")))
+    return counted.select(F.split("pair", " ").alias("raw_span"), "count", F.array(F.replace("pair", F.lit(" "), F.lit(""))).alias("fixed_span"))
 
 
 @query(f"WITH {PHRASES} SELECT array_to_string(span, ' ') AS phrase, count FROM phrases")
