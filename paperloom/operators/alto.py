@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scripts import small_batches
+
 #: Fixed value: how the namespaces of the page format begin, whatever their version.
 SPACE = "http://www.loc.gov/standards/alto/ns-v"
+#: Bytes of parsed blocks, about, that a task holds before it hands them on.
+PARSED = 4 << 20
 BLOCK = "id string, height string, width string, hpos string, vpos string, lines array<struct<v:string,h:string,text:string>>"
 
 
@@ -70,18 +74,18 @@ def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     well-formed have ``bad_xml`` set and no block.  A column of ``pages`` named like one of a block's comes back as ``page_`` and its name.
     The other columns stay Arrow data; any version of the page format's namespace counts."""
     own = ["block_idx", "bad_xml", "id", "height", "width", "hpos", "vpos", "lines", "text"]
-    pages = pages.withColumnsRenamed({c: f"page_{c}" for c in pages.columns if c != xml and c.lower() in own})
+    pages = small_batches(pages).withColumnsRenamed({c: f"page_{c}" for c in pages.columns if c != xml and c.lower() in own})
     keys = [c for c in pages.columns if c != xml]
     fields = ("id", "height", "width", "hpos", "vpos")
     line = pa.list_(pa.struct([("v", pa.string()), ("h", pa.string()), ("text", pa.string())]))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, places, found = [], [], []
+            of, places, found, size = [], [], [], 0
 
             def told() -> pa.RecordBatch:
                 columns = [batch.column(c).take(pa.array(of, pa.int64())) for c in keys]  # noqa: B023
-                columns += [pa.array(places, pa.int32()), pa.array([f is None for f in found])]  # noqa: B023
+                columns += [pa.array(places, pa.int32()), pa.array([f is None for f in found], pa.bool_())]  # noqa: B023
                 columns += [pa.array([f and f[n] for f in found], pa.string()) for n in fields] + [pa.array([f and f["lines"] for f in found], line)]  # noqa: B023
                 return pa.record_batch(columns, [*keys, "block_idx", "bad_xml", *fields, "lines"])
 
@@ -91,10 +95,12 @@ def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
                     of.append(row)
                     places.append(k)
                     found.append(block)
-                if len(found) >= 10_000:
+                    size += 0 if block is None else 1000 + sum(len(x["text"]) + 200 for x in block["lines"])
+                if size >= PARSED:
                     yield told()
-                    of, places, found = [], [], []
-            yield told()
+                    of, places, found, size = [], [], [], 0
+            if found:
+                yield told()
 
     types = dict(pages.dtypes)
     return pages.select(*keys, xml).mapInArrow(parsed, ", ".join([f"`{c}` {types[c]}" for c in keys] + ["block_idx int, bad_xml boolean", BLOCK]))
