@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import alto
+from paperloom.operators import alto, mining, scripts
 
 
 def test_pages_that_fill_their_batches(spark):
@@ -16,3 +16,12 @@ def test_pages_that_fill_their_batches(spark):
     assert alto.parse_pages(given).schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
     assert alto.extract_blocks(given).filter("text = cast(k as string)").count() == 10_000
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_alignment_by_places_where_the_longest_match_shifts(spark):
+    gold, raw = "the The the The", "tbe The tbe The"
+    assert scripts.opcodes_of(raw.lower().split(), gold.lower().split())[0][0] == "delete"
+    pairs = spark.createDataFrame([(1, raw, gold), (2, "a b c", "b c a"), (3, "", "")], "pair_id long, raw_text string, gold_text string")
+    got = sorted(r[:6] for r in mining.opcodes(pairs, by_place=True).collect())
+    shifted = [(2, *op) for op in scripts.opcodes_of("a b c".split(), "b c a".split())]
+    assert got == sorted([(1, "replace" if i % 2 == 0 else "equal", i, i + 1, i, i + 1) for i in range(4)] + shifted)
