@@ -48,3 +48,14 @@ def test_no_phrases_and_no_texts(spark):
     rows = spark.createDataFrame([(1, " a b")], "id long, text string")
     assert [r.text_patched for r in correct.apply_phrases(rows, index).collect()] == [" a b"]
     assert correct.apply_phrases(rows.filter("id > 1"), index).collect() == []
+
+
+def test_frequent_phrases_held_and_the_rest_joined(spark, monkeypatch):
+    texts, patches = cases(3)
+    index = spark.createDataFrame([(list(k), v, 1 + i * i) for i, (k, v) in enumerate(sorted(patches.items(), key=str))], "raw_norm array<string>, fixed_span array<string>, count long")
+    hashed = correct.hashed_patches(index).localCheckpoint()
+    monkeypatch.setattr(correct, "INDEX_BYTES", 12 * len(patches) // 2)
+    least = correct._held_rank(hashed)
+    assert 0 < hashed.filter(f"rank >= {least}").count() < hashed.count()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    assert {r.id: r.text_patched for r in correct.apply_phrases(rows, index).collect()} == {k: plain(t, patches) for k, t in enumerate(texts)}
