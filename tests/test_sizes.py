@@ -1,8 +1,13 @@
 """Rows in such numbers, or so alike, that a step once failed on them."""
 
+import random
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from paperloom.operators import alto, mining, scripts
+from paperloom.functions.text import nfc
+from paperloom.operators import alto, mining, quality, scripts
+from paperloom.sources import index
 
 
 def test_pages_that_fill_their_batches(spark):
@@ -25,3 +30,14 @@ def test_alignment_by_places_where_the_longest_match_shifts(spark):
     got = sorted(r[:6] for r in mining.opcodes(pairs, by_place=True).collect())
     shifted = [(2, *op) for op in scripts.opcodes_of("a b c".split(), "b c a".split())]
     assert got == sorted([(1, "replace" if i % 2 == 0 else "equal", i, i + 1, i, i + 1) for i in range(4)] + shifted)
+
+
+def test_postings_without_a_shuffle_and_of_repeated_keys(spark):
+    rows = [("p", 0, ["a", "b", None, "a"]), ("p", 1, None), ("q", None, ["b"]), (None, 2, [])]
+    table = lambda rows: spark.createDataFrame(rows, "link string, block_idx int, t array<string>")
+    single = index.postings_of(table(rows), F.col("t"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    want = {("a", "p", 0): [0, 3], ("b", "p", 0): [1], ("b", "q", None): [0]}
+    assert {tuple(r[:3]): r.steps for r in single.collect()} == want
+    both = index.postings_of(table([*rows, ("q", None, ["c", "b"])]), F.col("t"))
+    assert {tuple(r[:3]): (r.n, r.steps) for r in both.collect()} == {k: (len(v), v) for k, v in (want | {("b", "q", None): [0, 1], ("c", "q", None): [0]}).items()}
