@@ -32,6 +32,32 @@ def test_alignment_by_places_where_the_longest_match_shifts(spark):
     assert got == sorted([(1, "replace" if i % 2 == 0 else "equal", i, i + 1, i, i + 1) for i in range(4)] + shifted)
 
 
+def test_damage_by_place_where_the_longest_match_shifts(spark):
+    row = ("The the The the", "the The the The", "The the The the")
+    pairs = spark.createDataFrame([(1, row[0], row[1], row[2]), (2, "x a x a", "a x a y", "x a x a")], "pair_id long, raw_text string, gold_text string, fixed_text string")
+    assert {r.pair_id: r.clean_token_count for r in quality.damage(pairs).collect()} == {1: 3, 2: 3}
+    pairs = spark.createDataFrame([(1, "a b b", "b b c", "a b b"), (2, "a c b d", "x c b d", "a c y d")], pairs.schema)
+    assert {r.pair_id: (r.damage_count, r.clean_token_count) for r in quality.damage(pairs, by_place=True).collect()} == {1: (0, 2), 2: (1, 3)}
+
+
+def test_word_errors_by_place_and_by_table(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    texts = [tuple(" ".join(rng.choice("abcdef") for _ in range(rng.choice((4, 4, 5)))) for _ in range(2)) for _ in range(120)]
+    texts += [("a b0 c", "a b c"), ("", "a"), ("a", ""), (None, "a")]
+    got = [r.w for r in spark.createDataFrame(texts, "a string, b string").coalesce(1).select(quality.wer(F.col("a"), F.col("b")).alias("w")).collect()]
+    want = [None if a is None else distance(a.split(), b.split()) / len(b.split()) if b else 0.0 for a, b in texts]
+    assert got == want
+
+
 def test_postings_without_a_shuffle_and_of_repeated_keys(spark):
     rows = [("p", 0, ["a", "b", None, "a"]), ("p", 1, None), ("q", None, ["b"]), (None, 2, [])]
     table = lambda rows: spark.createDataFrame(rows, "link string, block_idx int, t array<string>")
