@@ -32,6 +32,21 @@ def test_alignment_by_places_where_the_longest_match_shifts(spark):
     assert got == sorted([(1, "replace" if i % 2 == 0 else "equal", i, i + 1, i, i + 1) for i in range(4)] + shifted)
 
 
+def test_scripts_by_place_need_no_table(monkeypatch):
+    def told(src, dst):
+        with monkeypatch.context() as m:
+            m.setattr(scripts, "in_place", lambda a, b: None)
+            return scripts.edit_script(src, dst)
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(9))]
+        b = [rng.choice("abxy") if rng.random() < 0.3 else x for x in a]
+        assert scripts.edit_script(a, b) == told(a, b)
+    monkeypatch.setattr(scripts, "isqrt", None)  # the table's step
+    assert scripts.edit_script(["a", "b"], ["a", "c"]) == [("replace", 1, 1)]
+
+
 def test_damage_by_place_where_the_longest_match_shifts(spark):
     row = ("The the The the", "the The the The", "The the The the")
     pairs = spark.createDataFrame([(1, row[0], row[1], row[2]), (2, "x a x a", "a x a y", "x a x a")], "pair_id long, raw_text string, gold_text string, fixed_text string")
