@@ -73,6 +73,12 @@ def test_word_errors_by_place_and_by_table(spark):
     assert got == want
 
 
+def test_only_texts_that_may_change_are_composed(spark):
+    texts = ["plain", "e\u0301", "caf\u00e9", "\u1100\u1161", "\u2126", None, "", "\u02ff", "a\u0300"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(nfc(F.col("t")).alias("t")).collect()]
+    assert got == [t and unicodedata.normalize("NFC", t) for t in texts]
+
+
 def test_postings_without_a_shuffle_and_of_repeated_keys(spark):
     rows = [("p", 0, ["a", "b", None, "a"]), ("p", 1, None), ("q", None, ["b"]), (None, 2, [])]
     table = lambda rows: spark.createDataFrame(rows, "link string, block_idx int, t array<string>")
