@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import is_word
 from ..operators import mining, quality, relevance, tagging, terms, timelines
+from ..operators.scripts import small_batches
 from ..sources import index
 from ..sources import pages as sources
 from ..sources.shared import shared_folder
@@ -75,7 +76,7 @@ def glu7_tolerant_answers(spark, d):
     whole = F.concat(F.lit("["), text, F.lit(', {"raw_text": "b"}]'))
     kinds = [whole, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```")), F.concat(F.lit("["), text, F.lit(', {"raw_text": "b"},\n]')), F.concat(F.lit("["), text, F.lit(', {"raw_te'))]
     answer = sources.correction_answer(F.get(F.array(*kinds), F.col("block_id") % 4))
-    return blocks(spark, d).select("block_id", F.size(answer).alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))
+    return small_batches(blocks(spark, d)).select("block_id", F.size(answer).alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))
 
 
 @query(f"WITH {TIMELINE}, sums AS (SELECT year, title, {TOTALS} FROM pg GROUP BY year, title), span AS (SELECT title, unnest(range(min(year), max(year) + 1)) AS year FROM sums GROUP BY title) SELECT title, year, {', '.join(f'coalesce({m}, 0) AS {m}' for m in MEASURES)} FROM span LEFT JOIN sums USING (title, year)")
@@ -175,7 +176,7 @@ def glu7_repaired_answers(spark, d):
         F.concat(F.lit("```[{raw_text: "), F.to_json(F.array(plain)).substr(F.lit(2), F.length(F.to_json(F.array(plain))) - 2), F.lit(" }  "), second),
     ]
     answer = sources.correction_answer(F.get(F.array(*kinds), F.col("block_id") % 3))
-    return blocks(spark, d).select("block_id", F.size(answer).cast("long").alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))
+    return small_batches(blocks(spark, d)).select("block_id", F.size(answer).cast("long").alias("n"), F.md5(F.get(answer, F.lit(0))["raw_text"].cast("binary")).alias("first_md5"))
 
 
 def new_path(spark, name: str) -> str:
