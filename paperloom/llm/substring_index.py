@@ -30,8 +30,8 @@ WINDOW, GRAM, RUN = 13, 5, 20
 SHARD, CROWD = 1 << 18, 512
 #: Bits of the filter of shared anchors, whatever the input's size.
 FILTER_BITS = 1 << 26
-#: Pieces that are joined by broadcast because they stand in many places: so many at most.
-HOT = 50_000
+#: Pieces that every task holds because they stand in many places: so many at most, and those in this many places or more.
+HOT, OFTEN = 50_000, 1000
 #: A null id stands after all others.
 LAST = (1 << 63) - 1
 
@@ -82,9 +82,13 @@ def _bucket(anchor: np.ndarray) -> np.ndarray:
     return (anchor & U(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _pieces(shared: np.ndarray, said: bool):
-    """Of the anchors in the filter: anchor, piece (hash) and id of the document, with the words' hashes if ``said``, else the
-    hash of the document, the first word and how many they are."""
+def _pieces(shared: np.ndarray, hot: pa.Table | None = None):
+    """Of the anchors in the filter: anchor, piece (hash) and id of the document, with the words' hashes if no ``hot`` table is
+    given, else the hash of the document, the first word, how many they are, and owner and bits of the pieces in ``hot``."""
+    said = hot is None
+    if not said:
+        hot = hot.sort_by("piece")
+        hot_anchor, hot_piece, hot_owner, hot_bits = (hot[n].to_numpy() for n in ("anchor", "piece", "owner", "bits"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +108,13 @@ def _pieces(shared: np.ndarray, said: bool):
                 columns = [pa.array(x) for x in (anchor.view(np.int64), piece.view(np.int64), ids[start + row])]
                 if not said:
                     columns += [pa.array(x) for x in (texts[start + row], (first - at[row]).astype(np.int32), sizes.astype(np.int32))]
-                    yield pa.record_batch(columns, ["anchor", "piece", "id", "hash", "start", "n"])
+                    owner, bits, other = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.ones(len(row), bool)
+                    if len(hot_piece):
+                        near = np.minimum(np.searchsorted(hot_piece, piece.view(np.int64)), len(hot_piece) - 1)
+                        other = (hot_piece[near] != piece.view(np.int64)) | (hot_anchor[near] != anchor.view(np.int64))
+                        owner, bits = hot_owner[near], hot_bits[near]
+                    columns += [pa.array(owner, mask=other), pa.array(bits, mask=other)]
+                    yield pa.record_batch(columns, ["anchor", "piece", "id", "hash", "start", "n", "owner", "bits"])
                     continue
                 inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 content = hashes[np.repeat(first, sizes) + inside]
@@ -310,11 +320,12 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     bits = _filter(shared)
     discard(shared)
     # the words of a piece are written once, not wherever it stands
-    said = docs.select("id", "hash", "text").mapInArrow(_pieces(bits, True), "anchor long, piece long, id long, words binary")
+    said = docs.select("id", "hash", "text").mapInArrow(_pieces(bits), "anchor long, piece long, id long, words binary")
     one = said.groupBy("anchor", "piece").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("places"), F.first("words").alias("words"))
     one = materialise(one, "distinct")
     crowds = materialise(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("anchor"), "crowds")
     n_crowds = crowds.count()
+    often = max(OFTEN, (one.agg(F.sum("places")).first()[0] or 0) // HOT + 1)
     small_batches(spark, 20_000)
     quiet, found, left = one, None, []
     if n_crowds:
@@ -327,14 +338,12 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     searched = materialise(searched, "searched")
     found = searched if found is None else found.unionByName(searched)
     discard(one, crowds)
-    pieces = materialise(docs.select("id", "hash", "text").mapInArrow(_pieces(bits, False), "anchor long, piece long, id long, hash long, start int, n int"), "pieces")
-    # a piece that stands in very many places is joined by broadcast: of those there are HOT at most
-    often = max(1000, pieces.count() // HOT + 1)
-    key = ["anchor", "piece"]
-    hot = F.broadcast(found.filter(F.col("places") >= often).select(*key, F.col("owner").alias("hot_owner"), F.col("bits").alias("hot_bits")))
-    tried = pieces.join(hot, key, "left")
-    rest = tried.filter("hot_owner is null").join(found.filter(F.col("places") < often).select(*key, "owner", "bits"), key)
-    both = tried.filter("hot_owner is not null").select("id", "hash", "start", "n", F.col("hot_owner").alias("owner"), F.col("hot_bits").alias("bits"))
+    # what becomes of a piece that stands in very many places is told where it is cut: of those there are HOT at most
+    hot = found.filter(F.col("places") >= often).select("anchor", "piece", "owner", "bits").toArrow()
+    cut = docs.select("id", "hash", "text").mapInArrow(_pieces(bits, hot), "anchor long, piece long, id long, hash long, start int, n int, owner long, bits long")
+    pieces = materialise(cut, "pieces")
+    rest = pieces.filter("owner is null").drop("owner", "bits").join(found.select("anchor", "piece", "owner", "bits"), ["anchor", "piece"])
+    both = pieces.filter("owner is not null").select("id", "hash", "start", "n", "owner", "bits")
     both = both.unionByName(rest.select("id", "hash", "start", "n", "owner", "bits"))
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     marks = both.select("id", "hash", F.struct("start", F.when(F.col("id") > F.col("owner"), whole).otherwise(F.col("bits")).alias("bits")).alias("mark")).filter("mark.bits <> 0")

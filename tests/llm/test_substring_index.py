@@ -67,6 +67,23 @@ def test_small_shards_crowded_anchors_and_hot_pieces(spark, monkeypatch):
     assert found(spark, docs) == plain(docs)
 
 
+def test_pieces_in_many_places_meet_no_join(spark, monkeypatch):
+    rng = random.Random(6)
+    own = lambda: " ".join(f"q{rng.randrange(10**6)}" for _ in range(15))
+    passages = [" ".join(f"p{a}x{k}" for k in range(30)) for a in range(3)]
+    docs = corpus(4) + [(20_000 + k, f"{own()} {passages[k % 3]} {own()}") for k in range(120)]
+    told, real = [], module._pieces
+
+    def pieces(shared, hot=None):
+        told.append(hot)
+        return real(shared, hot)
+
+    monkeypatch.setattr(module, "OFTEN", 30)
+    monkeypatch.setattr(module, "_pieces", pieces)
+    assert found(spark, docs) == plain(docs)
+    assert told[0] is None and 0 < len(told[1]) <= module.HOT
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).collect() == []
 
