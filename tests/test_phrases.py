@@ -59,3 +59,17 @@ def test_frequent_phrases_held_and_the_rest_joined(spark, monkeypatch):
     assert 0 < hashed.filter(f"rank >= {least}").count() < hashed.count()
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     assert {r.id: r.text_patched for r in correct.apply_phrases(rows, index).collect()} == {k: plain(t, patches) for k, t in enumerate(texts)}
+
+
+def test_pairs_of_neighbours_are_rows_without_a_lambda(spark, tmp_path):
+    from collections import Counter
+
+    from paperloom.plans.analysis_queries import phrases
+
+    texts = ["a b a b", "a", "", None, "a b. a", "b .  a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = phrases(spark, str(tmp_path))
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    split = [(t or "").replace(".", " .").split() for t in texts]
+    pairs = Counter(p for t in split for p in zip(t, t[1:]))
+    assert {tuple(r.raw_span): r["count"] for r in found.collect()} == {p: n for p, n in pairs.items() if n >= 2}
