@@ -3,8 +3,10 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from paperloom.functions import tokens
 from paperloom.functions.text import nfc
 from paperloom.operators import alto, mining, quality, scripts
 from paperloom.sources import index
@@ -32,6 +34,38 @@ def test_alignment_by_places_where_the_longest_match_shifts(spark):
     assert got == sorted([(1, "replace" if i % 2 == 0 else "equal", i, i + 1, i, i + 1) for i in range(4)] + shifted)
 
 
+def test_places_of_many_lines_at_once(spark, monkeypatch):
+    """Lines of like places never reach the matcher, whose table of one line took half a millisecond."""
+    rng = random.Random(6)
+    words = ["a", "A", "b", "B", "c", "\u0130", "i\u0307", "x", "y", ""]
+    rows = []
+    for _ in range(600):
+        a = [rng.choice(words) for _ in range(rng.randrange(9))]
+        b = [rng.choice(words) if rng.random() < 0.3 else w for w in a] + ["z"] * (rng.random() < 0.1)
+        rows.append((a, b))
+    left, right = (pa.array([["q"], *(r[k] for r in rows)], pa.list_(pa.string()))[1:] for k in (0, 1))
+    for lower, tags, sizes in ((True, None, None), (False, ("replace",), None), (True, ("replace",), (2, 3))):
+        low = lambda w: [t.lower() for t in w] if lower else w  # noqa: B023, E731
+        rest, told, spans = scripts.in_places(left, right, lower, tags, sizes)
+        want = [scripts.in_place(low(a), low(b)) for a, b in rows]
+        assert rest == [k for k, w in enumerate(want) if w is None]
+        got = list(zip(*(t.tolist() for t in told), *(s.to_pylist() for s in spans), strict=True))
+        keep = lambda op: (tags is None or op[0] in tags) and (sizes is None or sizes[0] <= op[2] - op[1] <= sizes[1])  # noqa: B023, E731
+        assert got == [(k, op[0] == "equal", op[1], op[2], rows[k][0][op[1] : op[2]], rows[k][1][op[3] : op[4]]) for k, w in enumerate(want) if w is not None for op in w if keep(op)]
+    assert scripts.in_places(left[:0], right[:0], True)[0] == []
+    monkeypatch.setattr(mining, "opcodes_of", None)
+    pairs = spark.createDataFrame([(1, "th0 c0 a", "the co a"), (2, "", "")], "pair_id long, raw_text string, gold_text string")
+    assert [tuple(r) for r in mining.opcodes(pairs, ("replace",), True, (2, 5)).collect()] == [(1, "replace", 0, 2, 0, 2, ["th0", "c0"], ["the", "co"])]
+
+
+def test_tokens_without_groups(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("aB1é.,-\u00a0\u2003 \t\n\x0b\u0301\U0001d7d8") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = [F.regexp_extract_all("t", F.lit(tokens.TOKEN), F.lit(k)) for k in (1, 0)]
+    assert rows.filter(~(tokens.token_texts(F.col("t")).eqNullSafe(old[0]) & tokens.token_wholes(F.col("t")).eqNullSafe(old[1]))).count() == 0
+
+
 def test_scripts_by_place_need_no_table(monkeypatch):
     def told(src, dst):
         with monkeypatch.context() as m:
