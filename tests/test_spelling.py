@@ -39,3 +39,28 @@ def test_candidates_with_swaps_equal_all_pairs(spark, closest):
             least[t] = min(v, least.get(t, 9))
         want = {(t, w): v for (t, w), v in want.items() if v == least[t]}
     assert {(r.term, r.candidate): r.distance for r in got.collect()} == want
+
+
+def test_long_terms_do_not_meet_short_words(spark):
+    """All share their prefix: by prefixes alone each term met each word."""
+    terms = spark.createDataFrame([("prefixes" + "x" * k,) for k in range(10, 14)], "term string")
+    dictionary = spark.createDataFrame([("prefixes" + c, 10) for c in "abcdefgh"] + [("prefixesxxxxxxxxxxxy", 11)], "word string, count long")
+    got = spelling.candidates(terms, dictionary, closest=False)
+    assert {(len(r.term), r.candidate, r.distance) for r in got.collect()} == {(18, "prefixesxxxxxxxxxxxy", 2), (19, "prefixesxxxxxxxxxxxy", 1), (20, "prefixesxxxxxxxxxxxy", 1), (21, "prefixesxxxxxxxxxxxy", 2)}
+    join = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "key" in x)
+    assert "size" in join
+
+
+def test_tokens_and_words_of_chunks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from paperloom.functions.tokens import token_texts
+    from paperloom.plans import adapter
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aBñ1é.,-\u03a3\u0130\u00a0\u2003 \t\n\x0b") for _ in range(rng.randrange(60))) for _ in range(300)] + ["", None, "  ", "uno dos uno"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    tokens, words = adapter.tokens_and_words(spark, str(tmp_path))
+    assert sorted(r.token for r in tokens.collect()) == sorted(r[0] for r in rows.select(F.explode(token_texts(F.col("text")))).distinct().collect())
+    assert {(r.word, r.n) for r in words.collect()} == {(r.word, r.n) for r in adapter.words(spark, str(tmp_path)).collect()}
