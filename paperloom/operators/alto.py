@@ -15,6 +15,8 @@ from .scripts import small_batches
 SPACE = "http://www.loc.gov/standards/alto/ns-v"
 #: Bytes of parsed blocks, about, that a task holds before it hands them on.
 PARSED = 4 << 20
+#: Rows of an Arrow batch of pages at most: a page's XML is many times its text.
+PAGES = 64
 BLOCK = "id string, height string, width string, hpos string, vpos string, lines array<struct<v:string,h:string,text:string>>"
 
 
@@ -74,7 +76,7 @@ def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     well-formed have ``bad_xml`` set and no block.  A column of ``pages`` named like one of a block's comes back as ``page_`` and its name.
     The other columns stay Arrow data; any version of the page format's namespace counts."""
     own = ["block_idx", "bad_xml", "id", "height", "width", "hpos", "vpos", "lines", "text"]
-    pages = small_batches(pages).withColumnsRenamed({c: f"page_{c}" for c in pages.columns if c != xml and c.lower() in own})
+    pages = small_batches(pages, PAGES).withColumnsRenamed({c: f"page_{c}" for c in pages.columns if c != xml and c.lower() in own})
     keys = [c for c in pages.columns if c != xml]
     fields = ("id", "height", "width", "hpos", "vpos")
     line = pa.list_(pa.struct([("v", pa.string()), ("h", pa.string()), ("text", pa.string())]))

@@ -25,6 +25,16 @@ def test_pages_that_fill_their_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_pages_come_in_small_batches(spark):
+    """A thousand pages at a time were held as XML and parsed by each worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    alto.parse_pages(spark.createDataFrame([], "k long, xml string"))
+    assert int(spark.conf.get(name)) <= 64
+    spark.conf.set(name, before)
+
+
 def test_alignment_by_places_where_the_longest_match_shifts(spark):
     gold, raw = "the The the The", "tbe The tbe The"
     assert scripts.opcodes_of(raw.lower().split(), gold.lower().split())[0][0] == "delete"
