@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .machines import Machines, train
+from .scripts import sliced, small_batches
 
 KEY = ("link", "text_id")
 #: Labelled rows of either label that the machines learn from, at most: a hash of the key picks them.
 LABELLED = 2000
+#: Bytes, about, of the frequent terms that are sent to every task.
+HELD_BYTES = 16 << 20
 
 
 def label_join(blocks: DataFrame, labels: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -64,11 +69,50 @@ def document_frequencies(df: DataFrame, key: str, tokens: str, least: int) -> Da
     return df.select(key, F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
 
 
+def _counts_in_rows(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, term, tf): a row for each term of each row, counted where the row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            lists = batch.column("tokens")
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            coded = pc.list_flatten(lists).dictionary_encode()
+            code, width = pc.fill_null(coded.indices, -1).to_numpy(), max(1, len(coded.dictionary))
+            met, tf = np.unique((row * width + code)[code >= 0], return_counts=True)
+            yield pa.record_batch([batch.column("key").take(pa.array(met // width)), coded.dictionary.take(pa.array(met % width)), pa.array(tf, pa.int64())], ["key", "term", "tf"])
+
+    rows = small_batches(df).select(F.col(key).alias("key"), F.col(tokens).alias("tokens"))
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, term string, tf long")
+
+
+def _frequent(found: DataFrame) -> int:
+    """The least rank from which on the terms of ``found`` (term, df, rank) are held together in HELD_BYTES."""
+    total, least = 0, 1 << 30
+    for r in sorted(found.groupBy("rank").agg((F.sum(F.octet_length("term")) + 64 * F.count(F.lit(1))).alias("bytes")).collect(), key=lambda r: -r["rank"]):  # some hundreds
+        total += r["bytes"]
+        if total > HELD_BYTES:
+            break
+        least = r["rank"]
+    return least
+
+
 def tf_idf(df: DataFrame, key: str, tokens: str, least: int = 2) -> DataFrame:
-    """(key, term, tf, tfidf) with idf = ln((n + 1) / (df + 1))."""
-    counts = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf, tfidf) with idf = ln((n + 1) / (df + 1)) of terms in at least ``least`` rows; rows that share a key are one.
+
+    Each row's terms are counted in the row and written once; frequencies are those of the written terms.  The most frequent
+    terms, up to HELD_BYTES, are sent to every task, so that no common term is shuffled; only the others meet by a join."""
     n = df.count()
-    return counts.join(document_frequencies(df, key, tokens, least), "term").select(key, "term", "tf", (F.col("tf") * F.log(F.lit(n + 1.0) / (F.col("df") + 1))).alias("tfidf"))
+    stored = written(_counts_in_rows(df, key, tokens), "counts")
+    repeated = not df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    counts = stored.groupBy("key", "term").agg(F.sum("tf").alias("tf")) if repeated else stored
+    found = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
+    found = written(found.withColumn("rank", F.floor(8 * F.log2("df")).cast("int")), "frequencies")
+    known, first = found.select("term", "rank", F.log(F.lit(n + 1.0) / (F.col("df") + 1)).alias("idf")), _frequent(found)
+    held, rest = F.broadcast(known.filter(F.col("rank") >= first)), known.filter(F.col("rank") < first)
+    met = counts.join(held, "term")
+    if not rest.isEmpty():
+        met = met.unionByName(counts.join(held, "term", "left_anti").join(rest, "term"))
+    return met.select(F.col("key").alias(key), "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def sampled(rows: DataFrame, label: str = "label", key: str = "block_id", most: int = LABELLED) -> DataFrame:

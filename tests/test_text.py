@@ -144,6 +144,24 @@ def test_pair_vocabulary(spark):
     assert {(r.term, r.df) for r in relevance.document_frequencies(pairs, "block_id", "terms", 1).collect()} == {("a", 2), ("b", 1), ("a b", 1)}
 
 
+def test_weights_by_held_terms_and_by_join(spark, monkeypatch):
+    """Common terms are sent to the tasks, never shuffled; rows that share a key are one, null terms none."""
+    import math
+    from collections import Counter
+
+    rows = [(1, ["a", "b", "a", None]), (2, ["a", "c"]), (2, ["a", "c", "d"]), (None, ["d"]), (3, None), (4, []), (5, ["a"])]
+    table = spark.createDataFrame(rows, "block_id long, tokens array<string>")
+    for given, bound in ((rows, 1 << 20), (rows, 100), (rows, 0), (rows[:2] + rows[5:], 70)):
+        monkeypatch.setattr(relevance, "HELD_BYTES", bound)
+        df = Counter(t for _, w in given for t in {*(w or [])} - {None})
+        tf = Counter((k, t) for k, w in given for t in w or [] if t is not None and df[t] >= 2)
+        want = {(k, t, n): n * math.log((len(given) + 1) / (df[t] + 1)) for (k, t), n in tf.items()}
+        got = relevance.tf_idf(spark.createDataFrame(given, table.schema).repartition(3), "block_id", "tokens")
+        assert {tuple(r[:3]): r.tfidf for r in got.collect()} == pytest.approx(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and "Aggregate" not in plan
+
+
 def test_cross_validation_has_the_area(spark):
     rows = [(k, [w, "the"], [w, "a", "x"], k % 2) for k in range(12) for w in [("good", "bad")[k % 2]]]
     out = relevance.cross_validate(spark.createDataFrame(rows, "block_id long, tokens array<string>, context array<string>, label long"), folds=2, steps=3)
