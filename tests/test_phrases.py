@@ -73,3 +73,13 @@ def test_pairs_of_neighbours_are_rows_without_a_lambda(spark, tmp_path):
     split = [(t or "").replace(".", " .").split() for t in texts]
     pairs = Counter(p for t in split for p in zip(t, t[1:]))
     assert {tuple(r.raw_span): r["count"] for r in found.collect()} == {p: n for p, n in pairs.items() if n >= 2}
+
+
+def test_pairs_are_exploded_without_the_text_beside_them(spark, tmp_path):
+    """Each token's row once held all tokens of its text, and Spark buffers the rows of a text: the square of its tokens."""
+    from paperloom.plans.analysis_queries import phrases
+
+    spark.createDataFrame([(1, "a b a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = phrases(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate " in line]
+    assert made and not [line for line in made if regex.search(r"\), \[\w+#\d+", line)]
