@@ -83,3 +83,29 @@ def test_pairs_are_exploded_without_the_text_beside_them(spark, tmp_path):
     plan = phrases(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     made = [line for line in plan.splitlines() if "Generate " in line]
     assert made and not [line for line in made if regex.search(r"\), \[\w+#\d+", line)]
+
+
+def test_shuffles_go_with_the_table_written(spark):
+    """They stayed until the driver collected its garbage, and filled the disk meanwhile."""
+    from paperloom.sources.shared import written
+
+    known = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = known()
+    assert written(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "sevens").count() == 7
+    assert known() <= before + 1  # that of this count
+
+
+def test_patches_go_once_the_texts_are_written(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    tables = lambda name: set(glob.glob(f"{folder}/{name}-*"))
+    before = {name: tables(name) for name in ("patches", "patched")}
+    texts = spark.createDataFrame([(1, "tbe dog barks"), (2, None)], "id long, text string")
+    index = spark.createDataFrame([(["tbe", "dog"], ["the", "dog"], 2)], "raw_norm array<string>, fixed_span array<string>, count long")
+    words = spark.createDataFrame([("barks", 20)], "word string, count long")
+    zipf = spark.createDataFrame([("barks", 4.0)], "word string, zipf double")
+    out = correct.fix_text(texts, "id", index, words, words, zipf, out="text")
+    assert tables("patches") == before["patches"]
+    assert [spark.read.parquet(x).columns for x in tables("patched") - before["patched"]] == [["id", "__now"]]
+    assert {r.id: r.text for r in out.collect()} == {1: "the dog barks", 2: None}
