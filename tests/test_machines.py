@@ -138,3 +138,12 @@ def test_samples_are_bounded(spark):
     table = spark.createDataFrame([(k, int(k < 5)) for k in range(3000)] + [(9000, None), (9001, 2)], "block_id long, label int")
     kept = {r[0]: r[1] for r in relevance.sampled(table, most=500).groupBy("label").count().collect()}
     assert kept[1] == 5 and 400 < kept[0] < 600 and set(kept) == {0, 1}
+
+
+def test_all_labelled_blocks_are_learnt_from(spark, tmp_path):
+    """Of either label about 2,000 rows were drawn."""
+    from paperloom.plans.analysis_queries import training_rows
+
+    spark.range(6000).selectExpr("id as doc_id", "'a text' as text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(6000).selectExpr("id as doc_id", "cast(id % 4 > 0 as int) as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r[0]: r[1] for r in training_rows(spark, str(tmp_path)).groupBy("label").count().collect()} == {0: 4500, 1: 1500}
